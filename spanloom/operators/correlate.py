@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.judge import DIMENSIONS
 from spanloom.functions.timeparts import ingestion_date, ingestion_hour, now_ms
-from spanloom.operators.interval_join import Measure, aggregate_over_intervals, count_of
+from spanloom.operators.interval_join import Measure, aggregate_over_intervals, count_of, fold_samples
 from spanloom.operators.ordered import top_rows
 from spanloom.options import CORRELATION, ROUTING, CorrelationOptions
 
@@ -15,27 +15,22 @@ QUALITY_COLUMNS = ("overall", *DIMENSIONS)
 
 GPU_MEASURES = [
     count_of("gpu_n"),
-    Measure("contention_sum", "sum", F.col("contention_index")),
-    Measure("contention_max", "max", F.col("contention_index")),
-    Measure("temperature_sum", "sum", F.col("temperature_c")),
-    Measure("temperature_max", "max", F.col("temperature_c")),
-    Measure("memory_sum", "sum", F.col("memory_used_pct")),
-    Measure("power_sum", "sum", F.col("power_draw_pct")),
-    Measure("throttled", "sum", F.when(F.col("throttle_active") != 0, 1).otherwise(0).cast("bigint")),
+    Measure("contention_sum", "sum", "contention_index"),
+    Measure("contention_max", "max", "contention_index"),
+    Measure("temperature_sum", "sum", "temperature_c"),
+    Measure("temperature_max", "max", "temperature_c"),
+    Measure("memory_sum", "sum", "memory_used_pct"),
+    Measure("power_sum", "sum", "power_draw_pct"),
+    Measure("throttled", "sum", "cast(throttle_active <> 0 as bigint)"),
 ]
 
-
-def _measured(latency: Column) -> Column:
-    """Latency where it was measured; -1 stands for 'no peer'."""
-    return F.when(latency > 0, latency)
-
-
+# A latency of -1 stands for 'no peer' and is not measured.
 NETWORK_MEASURES = [
-    Measure("latency_n", "sum", F.when(F.col("inter_node_latency_us") > 0, 1).otherwise(0).cast("bigint")),
-    Measure("latency_sum", "sum", _measured(F.col("inter_node_latency_us"))),
-    Measure("latency_max", "max", _measured(F.col("inter_node_latency_us"))),
-    Measure("drops", "sum", F.coalesce(F.col("packet_drop_count"), F.lit(0)).cast("bigint")),
-    Measure("retransmits", "sum", F.coalesce(F.col("tcp_retransmit_count"), F.lit(0)).cast("bigint")),
+    Measure("latency_n", "sum", "cast(coalesce(inter_node_latency_us > 0, false) as bigint)"),
+    Measure("latency_sum", "sum", "case when inter_node_latency_us > 0 then inter_node_latency_us end"),
+    Measure("latency_max", "max", "case when inter_node_latency_us > 0 then inter_node_latency_us end"),
+    Measure("drops", "sum", "cast(coalesce(packet_drop_count, 0) as bigint)"),
+    Measure("retransmits", "sum", "cast(coalesce(tcp_retransmit_count, 0) as bigint)"),
 ]
 
 
@@ -242,11 +237,6 @@ def uncorrelated(steps: DataFrame, correlated: DataFrame) -> DataFrame:
 LIVE_LEVELS = 5
 
 
-def _network_totals(samples: DataFrame, keys: list[str]) -> DataFrame:
-    fold = {"sum": F.sum, "max": F.max}
-    return samples.groupBy(*keys).agg(*[fold[m.how](m.value).alias(m.name) for m in NETWORK_MEASURES])
-
-
 def correlate_live(
     steps: DataFrame,
     gpu: DataFrame,
@@ -263,8 +253,8 @@ def correlate_live(
     )
     gpu = gpu.withColumn("node_id", F.coalesce(F.nullif(F.col("node_id"), F.lit("")), F.lit(ROUTING.default_node)))
     # The first sample's GPU travels as a negated time, so that 'max' finds the earliest one.
-    tail = F.struct((-F.col("timestamp_ms")).alias("age"), "gpu_id")
-    gpu_measures = [*GPU_MEASURES, Measure("_first", "max", tail)]
+    first = "named_struct('age', -timestamp_ms, 'gpu_id', gpu_id)"
+    gpu_measures = [*GPU_MEASURES, Measure("_first", "max", first)]
     gpu_by_node = aggregate_over_intervals(
         traces, gpu, group_by=["trace_id"], keys=[], sample_groups=["node_id"], lo="lo", hi="hi", ts="timestamp_ms",
         measures=gpu_measures, tile_ms=options.tile_ms, levels=LIVE_LEVELS,
@@ -275,8 +265,7 @@ def correlate_live(
     busiest = gpu_by_node.groupBy("trace_id").agg(F.min(busiest_first).alias("b"))
 
     latest = gpu.orderBy(F.desc("timestamp_ms"), "node_id", "gpu_id").limit(options.live_fallback_samples)
-    folds = [(F.sum if m.how == "sum" else F.max)(m.value).alias(m.name) for m in gpu_measures]
-    fallback = latest.groupBy("node_id").agg(*folds).agg(F.min(busiest_first).alias("b")).scalar()
+    fallback = latest.groupBy("node_id").agg(*fold_samples(gpu_measures)).agg(F.min(busiest_first).alias("b")).scalar()
     placed = (
         traces.join(busiest, "trace_id", "left")
         .withColumn("b", F.coalesce("b", fallback))
@@ -289,9 +278,8 @@ def correlate_live(
         placed, network, group_by=["trace_id"], keys=["node_id"], lo="lo", hi="hi", ts="timestamp_ms",
         measures=[count_of("net_n"), *NETWORK_MEASURES], tile_ms=options.tile_ms, levels=LIVE_LEVELS,
     )
-    net_last = _network_totals(
-        top_rows(network, ["node_id"], [F.desc("timestamp_ms")], options.live_fallback_samples), ["node_id"]
-    )
+    last = top_rows(network, ["node_id"], [F.desc("timestamp_ms")], options.live_fallback_samples)
+    net_last = last.groupBy("node_id").agg(*fold_samples(NETWORK_MEASURES))
     names = [m.name for m in NETWORK_MEASURES]
     wide = (
         placed.join(net_in.select("trace_id", F.struct(*names).alias("_in")), "trace_id", "left")

@@ -20,26 +20,31 @@ FANOUT = 16
 
 @dataclass(frozen=True)
 class Measure:
-    """One aggregate over the matched samples: 'sum' or 'max' of a sample expression."""
+    """One aggregate over the matched samples: 'sum' or 'max' of a sample expression (SQL text)."""
 
     name: str
     how: str
-    value: Column
+    value: str
 
 
 def count_of(name: str) -> Measure:
-    return Measure(name, "sum", F.lit(1).cast("bigint"))
+    return Measure(name, "sum", "1L")
 
 
 def _fold(measure: Measure, column: Column) -> Column:
     return (F.sum(column) if measure.how == "sum" else F.max(column)).alias(measure.name)
 
 
+def fold_samples(measures: list[Measure]) -> list[Column]:
+    """The measures as aggregates over the samples themselves."""
+    return [_fold(m, F.expr(m.value)) for m in measures]
+
+
 def tiled_samples(
     samples: DataFrame, keys: list[str], ts: str, measures: list[Measure], tile_ms: int, levels: int
 ) -> DataFrame:
     """Samples by instant (level -1) together with their rollups per tile (levels 0 and up)."""
-    instants = samples.groupBy(*keys, F.col(ts).alias("_ts")).agg(*[_fold(m, m.value) for m in measures])
+    instants = samples.groupBy(*keys, F.col(ts).alias("_ts")).agg(*fold_samples(measures))
     raw = instants.withColumn("_level", F.lit(RAW)).withColumn("_tile", floor_div(F.col("_ts"), tile_ms))
     marks = F.array(
         *[

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import spans as s
 from spanloom.functions.timeparts import HOUR_MS, floor_div, ns_to_ms
 from spanloom.operators.ordered import running_total
+from spanloom.operators.steps import with_step
 
 # Upper bounds (seconds) of the duration histogram; the last bucket is open.
 DURATION_BOUNDS = (0.1, 0.5, 1.0, 5.0, 10.0, 30.0)
@@ -15,15 +16,13 @@ DURATION_BOUNDS = (0.1, 0.5, 1.0, 5.0, 10.0, 30.0)
 
 def measured_spans(spans: DataFrame) -> DataFrame:
     """Classified spans with the dimensions the metrics are grouped by; narrow."""
-    tagged = spans.withColumn("_t", s.parse_tags(F.col("tags")))
-    step = tagged.withColumn("_s", s.classify(F.col("_t"))).where(F.col("_s").isNotNull())
-    t, unknown = F.col("_t"), F.lit("unknown")
-    return step.select(
+    t, unknown = F.col("_tags"), F.lit("unknown")
+    return with_step(spans).select(
         "trace_id",
         "span_id",
         "parent_span_id",
         "operation_name",
-        F.col("_s.kind").alias("kind"),
+        F.col("_step.kind").alias("kind"),
         F.coalesce(t["gen_ai.request.model"], unknown).alias("model"),
         F.coalesce(t["gen_ai.agent.name"], t["agent.name"], F.lit("default")).alias("agent"),
         F.coalesce(t["db.collection.name"], unknown).alias("collection"),

@@ -129,6 +129,7 @@ def rule_judge() -> Callable[[list[str]], list[str]]:
             "relevance": 4 if f"USER REQUEST: {j.NO_REQUEST}" not in prompt else 3,
         }
         found["hallucination"] = found["groundedness"]
+        found["overall"] = (found["completeness"] + found["groundedness"]) / 2
         body = ", ".join(f'"{k}": {v}' for k, v in found.items())
         return "```json\n{" + body + "}\n```"
 

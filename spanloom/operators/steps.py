@@ -26,11 +26,28 @@ def within_lookback(spans: DataFrame, batch: DataFrame, options: StepOptions = S
     return spans.where(F.col("start_time_unix_nano") >= earliest - F.lit(back).cast("bigint"))
 
 
+def with_step(spans: DataFrame) -> DataFrame:
+    """Adds ``_tags`` (map) and ``_step`` (kind, sub) and leaves out spans no rule matches.
+
+    The tags are parsed once per span. A plain filter on the step would be pushed below the projection, which repeats
+    the JSON parse for every rule; the generator is a barrier to that.
+    """
+    parsed = F.transform(
+        F.array(s.parse_tags(F.col("tags"))), lambda t: F.struct(t.alias("tags"), s.classify(t).alias("step"))
+    )
+    matched = F.explode(F.filter(parsed, lambda c: c["step"].isNotNull()))
+    return (
+        spans.select("*", matched.alias("_c"))
+        .withColumn("_tags", F.col("_c.tags"))
+        .withColumn("_step", F.col("_c.step"))
+        .drop("_c")
+    )
+
+
 def classified(spans: DataFrame, ingested_ms: Column | None = None, with_user_message: bool = False) -> DataFrame:
     """Drop, classify and flatten spans; one narrow stage. Reasoning right under an entry span is still in."""
     ingested_ms = now_ms() if ingested_ms is None else ingested_ms
-    tagged = spans.where(~s.is_dropped(F.col("operation_name"))).withColumn("_tags", s.parse_tags(F.col("tags")))
-    kinds = tagged.withColumn("_step", s.classify(F.col("_tags"))).where(F.col("_step").isNotNull())
+    kinds = with_step(spans.where(~s.is_dropped(F.col("operation_name"))))
     kind, tags = F.col("_step.kind"), F.col("_tags")
     attributes = s.step_attributes(kind, tags)
     if with_user_message:
