@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ NESTED_FIELDS = ("arrayValue", "kvlistValue")
 # Status codes, and the words that mark a span event as a warning.
 STATUS_NAMES = {0: "UNSET", 1: "OK", 2: "ERROR"}
 WARNING_WORDS = ("warn", "exception", "error")
+MESSAGE_ATTRIBUTES = ("exception.message", "message")
 
 
 def normalise_id(raw: Column) -> Column:
@@ -22,15 +25,15 @@ def normalise_id(raw: Column) -> Column:
 
 
 def attribute_text(value: Column) -> Column:
-    """Text of one attribute value: the first scalar field present, else a nested value as JSON."""
-    scalar = F.coalesce(
-        *[F.when(F.map_contains_key(value, field), F.coalesce(value[field], F.lit(""))) for field in SCALAR_FIELDS],
-        F.lit(""),
-    )
-    text = scalar
-    for field in NESTED_FIELDS:
-        text = F.when((text == "") & F.map_contains_key(value, field), value[field]).otherwise(text)
-    return F.coalesce(text, F.lit(""))
+    """Text of one attribute value: the first scalar field, else (when that is empty) a nested value as JSON."""
+    scalar = F.coalesce(*[value[field] for field in SCALAR_FIELDS])
+    nested = [F.nullif(value[field], F.lit("")) for field in NESTED_FIELDS]
+    return F.coalesce(F.nullif(scalar, F.lit("")), *nested, F.lit(""))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` mentions it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def first_value(value: Column) -> Column:
@@ -40,13 +43,18 @@ def first_value(value: Column) -> Column:
 
 def _last_wins(entries: Column) -> Column:
     """Entries -> map where a repeated key keeps its last value, whatever the session's map policy."""
-    keys = F.transform(entries, lambda e: e["key"])
-    kept = F.filter(
-        entries,
-        lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]),
-    )
-    unique = F.size(F.array_distinct(keys)) == F.size(keys)
-    return F.map_from_entries(F.when(unique, entries).otherwise(kept))
+
+    def without_earlier(all_entries: Column) -> Column:
+        kept = F.filter(
+            all_entries,
+            lambda e, i: ~F.exists(
+                F.slice(all_entries, i + 2, F.size(all_entries)), lambda later: later["key"] == e["key"]
+            ),
+        )
+        unique = F.size(F.array_distinct(all_entries["key"])) == F.size(all_entries)
+        return F.map_from_entries(F.when(unique, all_entries).otherwise(kept))
+
+    return once(entries, without_earlier)
 
 
 def _entries(attributes: Column) -> Column:
@@ -109,9 +117,7 @@ def warning_text(events: Column, status: Column) -> Column:
     messages = F.transform(
         F.filter(events, is_warning),
         lambda e: F.coalesce(
-            _lookup(e["attributes"], "exception.message"),
-            _lookup(e["attributes"], "message"),
-            F.lower(F.coalesce(e["name"], F.lit(""))),
+            *[_lookup(e["attributes"], key) for key in MESSAGE_ATTRIBUTES], F.lower(F.coalesce(e["name"], F.lit("")))
         ),
     )
     nothing = F.array().cast("array<string>")

@@ -255,36 +255,41 @@ def correlate_live(
     # The first sample's GPU travels as a negated time, so that 'max' finds the earliest one.
     first = "named_struct('age', -timestamp_ms, 'gpu_id', gpu_id)"
     gpu_measures = [*GPU_MEASURES, Measure("_first", "max", first)]
+    trace = [c for c in traces.columns if c != "trace_id"]
     gpu_by_node = aggregate_over_intervals(
         traces, gpu, group_by=["trace_id"], keys=[], sample_groups=["node_id"], lo="lo", hi="hi", ts="timestamp_ms",
-        measures=gpu_measures, tile_ms=options.tile_ms, levels=LIVE_LEVELS,
+        measures=gpu_measures, tile_ms=options.tile_ms, levels=LIVE_LEVELS, carry=trace,
     )
     busiest_first = F.struct(
         (-F.try_divide(F.col("contention_sum"), F.col("gpu_n"))).alias("calm"), "node_id", *[m.name for m in gpu_measures]
     )
-    busiest = gpu_by_node.groupBy("trace_id").agg(F.min(busiest_first).alias("b"))
-
+    found = F.when(F.col("node_id").isNotNull(), busiest_first)
     latest = gpu.orderBy(F.desc("timestamp_ms"), "node_id", "gpu_id").limit(options.live_fallback_samples)
     fallback = latest.groupBy("node_id").agg(*fold_samples(gpu_measures)).agg(F.min(busiest_first).alias("b")).scalar()
     placed = (
-        traces.join(busiest, "trace_id", "left")
+        gpu_by_node.groupBy("trace_id")
+        .agg(F.min(found).alias("b"), *[F.any_value(c).alias(c) for c in trace])
         .withColumn("b", F.coalesce("b", fallback))
-        .select("*", F.coalesce("b.node_id", F.lit(ROUTING.default_node)).alias("node_id"), *[
-            F.col(f"b.{m.name}").alias(m.name) for m in gpu_measures
-        ])
-        .drop("b")
+        .select(
+            "trace_id",
+            *trace,
+            F.coalesce("b.node_id", F.lit(ROUTING.default_node)).alias("node_id"),
+            *[F.col(f"b.{m.name}").alias(m.name) for m in gpu_measures],
+        )
     )
-    net_in = aggregate_over_intervals(
+    names = [m.name for m in NETWORK_MEASURES]
+    with_network = aggregate_over_intervals(
         placed, network, group_by=["trace_id"], keys=["node_id"], lo="lo", hi="hi", ts="timestamp_ms",
         measures=[count_of("net_n"), *NETWORK_MEASURES], tile_ms=options.tile_ms, levels=LIVE_LEVELS,
+        carry=[*trace, "node_id", *[m.name for m in gpu_measures]],
     )
     last = top_rows(network, ["node_id"], [F.desc("timestamp_ms")], options.live_fallback_samples)
-    net_last = last.groupBy("node_id").agg(*fold_samples(NETWORK_MEASURES))
-    names = [m.name for m in NETWORK_MEASURES]
+    net_last = last.groupBy("node_id").agg(*fold_samples(NETWORK_MEASURES)).select("node_id", F.struct(*names).alias("_last"))
+    seen = F.when(F.col("net_n").isNotNull(), F.struct(*names))
+    others = [c for c in with_network.columns if c not in names]
     wide = (
-        placed.join(net_in.select("trace_id", F.struct(*names).alias("_in")), "trace_id", "left")
-        .join(net_last.select("node_id", F.struct(*names).alias("_last")), "node_id", "left")
-        .withColumn("_net", F.coalesce("_in", "_last"))
+        with_network.join(net_last, "node_id", "left")
+        .select(*others, F.coalesce(seen, "_last").alias("_net"))
         .select("*", *[F.col(f"_net.{n}").alias(n) for n in names])
     )
     start, end = F.col("start_ts_ms"), F.col("end_ts_ms")

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import infra as i
 from spanloom.functions.timeparts import HOUR_MS, floor_div, ingestion_date, ingestion_hour, now_ms
-from spanloom.operators.interval_join import FANOUT, covered_intervals
-from spanloom.operators.ordered import running_total, with_previous
+from spanloom.operators.ordered import running_max_before, running_total, with_previous
 from spanloom.operators.steps import reasoning_calls
 from spanloom.options import FRESHNESS, ROUTING, FreshnessOptions, RoutingOptions
 
@@ -140,39 +139,46 @@ def route_calls(
     )
 
 
+def incident_segments(incidents: DataFrame, keys: list[str], slice_ms: int = HOUR_MS) -> DataFrame:
+    """Overlapping incidents -> disjoint segments, each won by the earliest-starting incident that covers it.
+
+    An incident wins from where all earlier-starting ones have ended; one that ends before that never wins.
+    """
+    ended = running_max_before(
+        incidents.where(F.col("start_ms") <= F.col("end_ms")),
+        ["start_ms", "name", "intensity"],
+        F.col("end_ms"),
+        floor_div(F.col("start_ms"), slice_ms),
+        "_ended",
+        keys,
+    )
+    opens = F.greatest(F.col("start_ms"), F.coalesce(F.col("_ended") + 1, F.col("start_ms")))
+    return ended.where(F.col("_ended").isNull() | (F.col("end_ms") > F.col("_ended"))).select(
+        *keys, opens.alias("from_ms"), F.col("end_ms").alias("to_ms"), "name", "intensity"
+    )
+
+
 def label_incidents(
-    samples: DataFrame, incidents: DataFrame, keys: list[str], ts: str = "timestamp_ms", tile_ms: int = 1, levels: int = 9
+    samples: DataFrame, incidents: DataFrame, keys: list[str], ts: str = "timestamp_ms", tile_ms: int = 300_000
 ) -> DataFrame:
     """Adds name and intensity of the earliest-starting incident that covers a sample (intensity 0.0 when none).
 
-    Incidents are cut into whole tiles down to one millisecond and every tile keeps only its earliest incident, so a
-    sample meets at most one row per tile width however many incidents overlap. Neither side is collected.
+    Incidents become disjoint segments first, so a sample matches at most one however many incidents overlap, and the
+    segments are cut at tile borders to meet the samples by an equality of (keys, tile). Neither side is collected.
     """
-    winner = F.struct("start_ms", "name", "intensity")
-    tiles = (
-        covered_intervals(incidents, "start_ms", "end_ms", tile_ms, levels)
-        .groupBy(*keys, "_level", "_tile")
-        .agg(F.min(winner).alias("_hit"))
-    )
-    instants = samples.select(*keys, ts).distinct()
-    marks = F.array(
-        *[
-            F.struct(F.lit(level).alias("level"), floor_div(F.col(ts), tile_ms * FANOUT**level).alias("tile"))
-            for level in range(levels)
-        ]
-    )
-    hits = (
-        instants.withColumn("_mark", F.explode(marks))
-        .select(*keys, ts, F.col("_mark.level").alias("_level"), F.col("_mark.tile").alias("_tile"))
-        .join(tiles, keys + ["_level", "_tile"])
-        .groupBy(*keys, ts)
-        .agg(F.min("_hit").alias("_hit"))
+    tiles = F.sequence(floor_div(F.col("from_ms"), tile_ms), floor_div(F.col("to_ms"), tile_ms))
+    segments = incident_segments(incidents, keys).select(
+        *keys, "from_ms", "to_ms", F.col("name").alias("incident"), "intensity", F.explode(tiles).alias("_tile")
     )
-    return samples.join(hits, keys + [ts], "left").select(
-        *samples.columns,
-        F.col("_hit").isNotNull().cast("int").alias("contended"),
-        F.col("_hit.name").alias("incident"),
-        F.coalesce(F.col("_hit.intensity"), F.lit(0.0)).alias("intensity"),
+    timed = samples.withColumn("_tile", floor_div(F.col(ts), tile_ms))
+    match = F.col(ts).between(F.col("from_ms"), F.col("to_ms"))
+    for key in [*keys, "_tile"]:
+        match = match & (timed[key] == segments[key])
+    return timed.join(segments, match, "left").select(
+        *[timed[c] for c in samples.columns],
+        F.col("from_ms").isNotNull().cast("int").alias("contended"),
+        "incident",
+        F.coalesce(F.col("intensity"), F.lit(0.0)).alias("intensity"),
     )
 
 

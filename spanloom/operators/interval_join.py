@@ -75,31 +75,35 @@ def _tiles(level: int, start: Column, end: Column) -> Column:
 def covered_intervals(intervals: DataFrame, lo: str, hi: str, tile_ms: int, levels: int) -> DataFrame:
     """One row per tile of each interval's cover: columns _level and _tile are added."""
     width = F.lit(tile_ms).cast("bigint")
+    df = intervals.where(F.col(lo) <= F.col(hi)).select(
+        "*",
+        floor_div(F.col(lo) + width - 1, tile_ms).alias("_a0"),
+        floor_div(F.col(hi) + 1, tile_ms).alias("_b0"),
+    )
     first, last = floor_div(F.col(lo), tile_ms), floor_div(F.col(hi), tile_ms)
-    df = intervals.where(F.col(lo) <= F.col(hi)).withColumn("_a0", floor_div(F.col(lo) + width - 1, tile_ms))
-    df = df.withColumn("_b0", floor_div(F.col(hi) + 1, tile_ms))
     cut = F.array_distinct(
         F.array_compact(F.array(F.when(first < F.col("_a0"), first), F.when(last >= F.col("_b0"), last)))
     )
     cover = [F.transform(cut, lambda t: F.struct(F.lit(RAW).alias("level"), t.cast("bigint").alias("tile")))]
-    fan = F.lit(FANOUT).cast("bigint")
+    fan, zero = F.lit(FANOUT).cast("bigint"), F.lit(0).cast("bigint")
     for level in range(levels):
         a, b = F.col(f"_a{level}"), F.col(f"_b{level}")
         if level == levels - 1:
             cover.append(_tiles(level, a, b))
             break
-        up_a, up_b = floor_div(a + fan - 1, FANOUT), floor_div(b, FANOUT)
-        climbs = (a < b) & (up_a < up_b)
-        df = df.withColumn(f"_a{level + 1}", F.when(climbs, up_a).otherwise(F.lit(0).cast("bigint")))
-        df = df.withColumn(f"_b{level + 1}", F.when(climbs, up_b).otherwise(F.lit(0).cast("bigint")))
-        cover.append(_tiles(level, a, F.when(climbs, up_a * fan).otherwise(b)))
-        cover.append(_tiles(level, F.when(climbs, up_b * fan).otherwise(b), b))
-    helpers = [f"_{side}{level}" for level in range(levels) for side in "ab"]
-    return (
-        df.withColumn("_cover", F.explode(F.concat(*cover)))
-        .withColumn("_level", F.col("_cover.level"))
-        .withColumn("_tile", F.col("_cover.tile"))
-        .drop("_cover", *helpers)
+        up_a, up_b = F.col(f"_a{level + 1}"), F.col(f"_b{level + 1}")
+        ceil, floor = floor_div(a + fan - 1, FANOUT), floor_div(b, FANOUT)
+        climbs = (a < b) & (ceil < floor)
+        df = df.select(
+            "*",
+            F.when(climbs, ceil).otherwise(zero).alias(f"_a{level + 1}"),
+            F.when(climbs, floor).otherwise(zero).alias(f"_b{level + 1}"),
+        )
+        # Whole tiles of the next level take the middle; this level keeps what sticks out on both sides.
+        cover.append(_tiles(level, a, F.when(up_a < up_b, up_a * fan).otherwise(b)))
+        cover.append(_tiles(level, F.when(up_a < up_b, up_b * fan).otherwise(b), b))
+    return df.select(*intervals.columns, F.explode(F.concat(*cover)).alias("_cover")).select(
+        *intervals.columns, F.col("_cover.level").alias("_level"), F.col("_cover.tile").alias("_tile")
     )
 
 
@@ -116,18 +120,25 @@ def aggregate_over_intervals(
     tile_ms: int,
     levels: int = 1,
     sample_groups: list[str] | None = None,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """Measures of the samples with equal ``keys`` and lo <= ts <= hi, per ``group_by`` (+ ``sample_groups``).
 
-    A sample counts once for every interval it lies in. Groups without samples have no row.
+    A sample counts once for every interval it lies in. Groups without samples have no row, unless ``carry`` is given:
+    then every group is kept, with null measures if need be, together with those columns of its intervals (they must
+    depend on ``group_by`` alone).
     """
     sample_groups = sample_groups or []
     tiled = tiled_samples(samples, keys + sample_groups, ts, measures, tile_ms, levels)
-    covered = covered_intervals(intervals.select(*dict.fromkeys(group_by + keys + [lo, hi])), lo, hi, tile_ms, levels)
-    joined = covered.join(tiled, keys + ["_level", "_tile"])
-    inside = (F.col("_level") > RAW) | F.col("_ts").between(F.col(lo), F.col(hi))
+    wanted = intervals.select(*dict.fromkeys(group_by + keys + [lo, hi] + (carry or [])))
+    covered = covered_intervals(wanted, lo, hi, tile_ms, levels)
+    on = keys + ["_level", "_tile"]
+    renamed = tiled.select(*[F.col(c).alias(f"_s{c}") if c in on else F.col(c) for c in tiled.columns])
+    match = (F.col("_level") > RAW) | F.col("_ts").between(F.col(lo), F.col(hi))
+    for column in on:
+        match = match & (F.col(column) == F.col(f"_s{column}"))
     return (
-        joined.where(inside)
+        covered.join(renamed, match, "inner" if carry is None else "left")
         .groupBy(*group_by, *sample_groups)
-        .agg(*[_fold(m, F.col(m.name)) for m in measures])
+        .agg(*[_fold(m, F.col(m.name)) for m in measures], *[F.any_value(c).alias(c) for c in carry or []])
     )

@@ -13,6 +13,8 @@ from spanloom.operators.steps import with_step
 # Upper bounds (seconds) of the duration histogram; the last bucket is open.
 DURATION_BOUNDS = (0.1, 0.5, 1.0, 5.0, 10.0, 30.0)
 
+NANOS = 1_000_000_000.0
+
 
 def measured_spans(spans: DataFrame) -> DataFrame:
     """Classified spans with the dimensions the metrics are grouped by; narrow."""
@@ -29,7 +31,8 @@ def measured_spans(spans: DataFrame) -> DataFrame:
         F.coalesce(t["rpc.method"], t["url.full"], unknown).alias("tool"),
         (F.col("status_code") != "ERROR").alias("success"),
         "status_code",
-        (F.col("duration_ns") / F.lit(1_000_000_000.0)).alias("seconds"),
+        "duration_ns",
+        (F.col("duration_ns") / F.lit(NANOS)).alias("seconds"),
         F.coalesce(s.safe_int(t["gen_ai.usage.input_tokens"]), F.lit(0)).alias("input_tokens"),
         F.coalesce(s.safe_int(t["gen_ai.usage.output_tokens"]), F.lit(0)).alias("output_tokens"),
         F.coalesce(s.safe_int(t["db.response.returned_rows"]), F.lit(0)).alias("documents"),
@@ -46,7 +49,8 @@ def _calls(measured: DataFrame, kind: str, by: list[str], **extra: Column) -> Da
         .agg(
             F.count("*").alias("calls"),
             F.count_if(~F.col("success")).alias("errors"),
-            F.sum("seconds").alias("seconds"),
+            # Whole nanoseconds add up exactly, in whatever order tasks deliver them.
+            (F.sum("duration_ns") / F.lit(NANOS)).alias("seconds"),
             *[column.alias(name) for name, column in extra.items()],
         )
     )
@@ -141,11 +145,11 @@ PERCENTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 def latency_report(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Requests, success rate and mean per key, with exact percentiles over the successful ones."""
     ok = F.col("status_code") != "ERROR"
-    timed = spans.withColumn("_seconds", F.col("duration_ns") / F.lit(1_000_000_000.0))
+    timed = spans.withColumn("_seconds", F.col("duration_ns") / F.lit(NANOS))
     rates = timed.groupBy(*keys).agg(
         F.count("*").alias("requests"),
         F.round(F.count_if(ok) / F.count("*") * 100, 1).alias("success_pct"),
-        F.round(F.avg(F.when(ok, F.col("_seconds"))), 2).alias("mean_s"),
+        F.round(F.try_divide(F.sum(F.when(ok, F.col("duration_ns"))), F.count_if(ok)) / F.lit(NANOS), 2).alias("mean_s"),
     )
     ranks = nearest_rank(timed.where(ok), keys, "_seconds", PERCENTILES)
     return rates.join(ranks.drop("n"), keys, "left")
@@ -153,7 +157,7 @@ def latency_report(spans: DataFrame, keys: list[str]) -> DataFrame:
 
 def approximate_latency(spans: DataFrame, keys: list[str], accuracy: int = 10_000) -> DataFrame:
     """The same percentiles from a mergeable sketch: one aggregation, for dashboards over very large tables."""
-    seconds = F.col("duration_ns") / F.lit(1_000_000_000.0)
+    seconds = F.col("duration_ns") / F.lit(NANOS)
     return spans.where(F.col("status_code") != "ERROR").groupBy(*keys).agg(
         *[F.percentile_approx(seconds, q, accuracy).alias(name) for name, q in PERCENTILES.items()]
     )

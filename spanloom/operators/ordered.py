@@ -6,20 +6,14 @@ of the ordering column first: the heavy work is per (key, slice), and only one s
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.timeparts import floor_div
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality of key columns (right side uses the same names)."""
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
-
-
 def step_slice(ts_ms: Column, span_id: Column, slice_ms: int) -> Column:
     """Slice of a step within its trace, in step order.
 
@@ -33,34 +27,44 @@ def step_slice(ts_ms: Column, span_id: Column, slice_ms: int) -> Column:
     )
 
 
+def _with_earlier_slices(
+    sliced: DataFrame, inside: Column, fold: Callable[[Column | str], Column], keys: list[str]
+) -> DataFrame:
+    """Adds ``_inside`` (a fold over the rows before within the slice) and ``_before`` (over the earlier slices)."""
+    per_slice = sliced.groupBy(*keys, "_slice").agg(fold("_value").alias("_folded"))
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_slice.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_slice").alias("_at"), fold("_folded").over(earlier).alias("_before")
+    )
+    match = F.col("_slice").eqNullSafe(F.col("_at"))
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return sliced.withColumn("_inside", inside).join(offsets, match).drop("_at", *[f"_k_{k}" for k in keys])
+
+
 def running_total(
     df: DataFrame, order_by: list[str], weight: Column, slice_of: Column, name: str, keys: list[str] | None = None
 ) -> DataFrame:
-    """Adds the running total of ``weight`` in the order of ``order_by`` within ``keys``.
+    """Adds the running total of ``weight``, this row included, in the order of ``order_by`` within ``keys``.
 
     ``slice_of`` must not decrease along ``order_by``. With weight 1 the result is a row number.
     """
     keys = keys or []
-    sliced = df.withColumn("_slice", slice_of).withColumn("_weight", weight)
-    totals = sliced.groupBy(*keys, "_slice").agg(F.sum("_weight").alias("_sum"))
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_slice").alias("_at"),
-        F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"),
-    )
-    match = F.col("_slice").eqNullSafe(F.col("_at"))
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    inside = (
-        Window.partitionBy(*keys, "_slice").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
-        sliced.withColumn("_inside", F.sum("_weight").over(inside))
-        .join(offsets, match)
-        .withColumn(name, F.col("_before") + F.col("_inside"))
-        .drop("_slice", "_weight", "_at", "_before", "_inside", *[f"_k_{k}" for k in keys])
-    )
+    rows = Window.partitionBy(*keys, "_slice").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sliced = df.select("*", slice_of.alias("_slice"), weight.alias("_value"))
+    summed = _with_earlier_slices(sliced, F.sum("_value").over(rows), F.sum, keys)
+    total = F.coalesce(F.col("_before"), F.lit(0)) + F.col("_inside")
+    return summed.select(*df.columns, total.alias(name))
+
+
+def running_max_before(
+    df: DataFrame, order_by: list[str], value: Column, slice_of: Column, name: str, keys: list[str]
+) -> DataFrame:
+    """Adds the largest ``value`` of the rows before this one (null for the first), like ``running_total``."""
+    rows = Window.partitionBy(*keys, "_slice").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
+    sliced = df.select("*", slice_of.alias("_slice"), value.alias("_value"))
+    folded = _with_earlier_slices(sliced, F.max("_value").over(rows), F.max, keys)
+    return folded.select(*df.columns, F.greatest("_before", "_inside").alias(name))
 
 
 def with_previous(

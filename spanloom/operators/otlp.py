@@ -8,34 +8,20 @@ from pyspark.sql import functions as F
 from spanloom.functions import otlp as o
 from spanloom.schemas import OTLP_MESSAGE
 
-CORRUPT = "_corrupt_record"
 
+def undecodable(messages: DataFrame, column: str = "value") -> DataFrame:
+    """Messages to set aside: text that is not a JSON object."""
+    return messages.where(F.from_json(F.col(column), "map<string,string>").isNull())
 
-def decode(messages: DataFrame, column: str = "value") -> DataFrame:
-    """Adds ``message`` (null when the text is no JSON object) next to the original text."""
-    parsed = F.from_json(F.col(column), f"{OTLP_MESSAGE}, {CORRUPT} STRING", {"columnNameOfCorruptRecord": CORRUPT})
-    return (
-        messages.withColumn("_m", parsed)
-        .withColumn(
-            "message",
-            F.when(
-                F.col(f"_m.{CORRUPT}").isNull() | F.col("_m.resourceSpans").isNotNull(),
-                F.struct(F.col("_m.resourceSpans")),
-            ),
-        )
-        .drop("_m")
-    )
-
-
-def undecodable(decoded: DataFrame) -> DataFrame:
-    """Messages to set aside: text that is not a JSON object of the expected shape."""
-    return decoded.where(F.col("message").isNull()).drop("message")
 
+def flatten(messages: DataFrame, ingested_at: Column | None = None, column: str = "value") -> DataFrame:
+    """Message texts -> spans (15 columns). A text that cannot be decoded has no spans.
 
-def flatten(decoded: DataFrame, ingested_at: Column | None = None) -> DataFrame:
-    """Decoded messages -> spans (15 columns)."""
+    The text is parsed inside the first generator: once per message, with nothing for a filter to repeat.
+    """
     ingested_at = F.current_timestamp() if ingested_at is None else ingested_at
-    resources = decoded.select(F.explode("message.resourceSpans").alias("rs"))
+    parsed = F.from_json(F.col(column), OTLP_MESSAGE)
+    resources = messages.select(F.explode(parsed["resourceSpans"]).alias("rs"))
     scopes = resources.select(
         o.service_name(F.col("rs.resource.attributes")).alias("service_name"),
         F.explode("rs.scopeSpans").alias("ss"),

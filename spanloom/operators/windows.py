@@ -92,24 +92,22 @@ def _avg(name: str) -> Column:
 
 
 def window_measures(distribution: DataFrame) -> DataFrame:
-    """Per window: totals of its signatures. Empty signatures count as traces, not in the distribution."""
+    """Per window: totals of its signatures. Empty signatures count as traces, not in the distribution.
+
+    Entropy (bits) comes from counts alone: H = log2 N - sum(n log2 n) / N.
+    """
     known = F.col("signature") != ""
+    n = F.when(known, F.col("n").cast("double"))
+    entropy = F.log2(F.sum(n)) - F.sum(n * F.log2(n)) / F.sum(n)
     return distribution.groupBy(*WINDOW, "size_ms").agg(
         *_fold_all(),
         F.sum(F.when(known, F.col("n"))).alias("known_n"),
         F.count_if(known).cast("int").alias("unique_signatures"),
+        F.coalesce(F.round(entropy, 4), F.lit(0.0)).alias("entropy"),
         F.min(F.when(known, F.struct((-F.col("n")).alias("rank"), F.col("signature").alias("signature")))).alias("top"),
     )
 
 
-def window_entropy(distribution: DataFrame) -> DataFrame:
-    """Shannon entropy (bits) of the signatures of each window, from H = log2 N - sum(n log2 n) / N."""
-    known = distribution.where(F.col("signature") != "")
-    n = F.col("n").cast("double")
-    total = F.sum(n)
-    return known.groupBy(*WINDOW).agg(F.round(F.log2(total) - F.sum(n * F.log2(n)) / total, 4).alias("entropy"))
-
-
 def baselines(measures: DataFrame) -> DataFrame:
     """The earliest window of each size: one row per window size."""
     return measures.groupBy("window_size").agg(
@@ -168,7 +166,6 @@ def drift_windows(correlated: DataFrame, options: DriftOptions = DRIFT) -> DataF
     bases = baselines(measures)
     wide = (
         measures.join(F.broadcast(bases), "window_size")
-        .join(window_entropy(distribution), WINDOW, "left")
         .join(jensen_shannon(distribution, measures, bases), WINDOW)
         .select(
             *WINDOW,
@@ -177,7 +174,7 @@ def drift_windows(correlated: DataFrame, options: DriftOptions = DRIFT) -> DataF
             F.coalesce("top.signature", F.lit("")).alias("dominant_signature"),
             F.round(F.coalesce(-F.col("top.rank") / F.col("known_n"), F.lit(0.0)), 4).alias("dominant_share"),
             "unique_signatures",
-            F.coalesce("entropy", F.lit(0.0)).alias("trajectory_entropy"),
+            F.col("entropy").alias("trajectory_entropy"),
             F.col("jsd").alias("trajectory_drift_jsd"),
             (F.col("window_start_ms") == F.col("baseline_start_ms")).cast("int").alias("is_baseline"),
             _avg("q").alias("q"),

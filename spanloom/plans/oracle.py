@@ -924,7 +924,7 @@ cte(
     "spans",
 )
 CALLS = "count(*) as calls, count(*) filter (not success) as errors, {} as seconds"
-SECONDS = "sum(seconds)"
+SECONDS = "sum(duration_ns) / 1000000000e0"
 oracle(
     "model_calls",
     "measured",
@@ -969,10 +969,10 @@ oracle(
     "latency_percentiles",
     "spans",
     f"""select service_name, count(*) as requests, {rnd("count(*) filter (status_code <> 'ERROR') / count(*) * 100", 1)} as success_pct,
-    {rnd("avg(s) filter (status_code <> 'ERROR')", 2)} as mean_s, v[cast(floor(len(v) * 0.5e0) as bigint) + 1] as p50,
+    {rnd("sum(duration_ns) filter (status_code <> 'ERROR') / count(*) filter (status_code <> 'ERROR') / 1000000000e0", 2)} as mean_s, v[cast(floor(len(v) * 0.5e0) as bigint) + 1] as p50,
     v[cast(floor(len(v) * 0.95e0) as bigint) + 1] as p95, v[cast(floor(len(v) * 0.99e0) as bigint) + 1] as p99
     from (select *, duration_ns / 1000000000e0 as s, list(case when status_code <> 'ERROR' then duration_ns / 1000000000e0 end)
-      over (partition by service_name) as l, list_sort(list_filter(l, x -> x is not null)) as v from spans) group by service_name, v""",
+      over (partition by service_name) as l, list_sort(list_filter(l, lambda x: x is not null)) as v from spans) group by service_name, v""",
 )
 
 # --- sessions and retrieval ---

@@ -47,13 +47,12 @@ def query(fn: Query) -> Query:
 
 @query
 def otlp_flatten(spark, sf_dir):
-    decoded = otlp.decode(b.otlp_messages(Inputs(spark, sf_dir).events))
-    return otlp.flatten(decoded.where(F.col("message").isNotNull())).drop("ingested_at")
+    return otlp.flatten(b.otlp_messages(Inputs(spark, sf_dir).events)).drop("ingested_at")
 
 
 @query
 def undecodable_messages(spark, sf_dir):
-    return otlp.undecodable(otlp.decode(b.otlp_messages(Inputs(spark, sf_dir).events))).select(
+    return otlp.undecodable(b.otlp_messages(Inputs(spark, sf_dir).events)).select(
         "event_id", F.length("value").alias("chars")
     )
 

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from spanloom import schemas
 from spanloom.operators.correlate import correlate, in_time_range
 from spanloom.operators.infra import route_calls
-from spanloom.operators.otlp import decode, flatten, undecodable
+from spanloom.operators.otlp import flatten, undecodable
 from spanloom.operators.scoring import JudgeFactory, evaluate, rule_judge
 from spanloom.operators.steps import agent_steps, impacted_traces, of_traces, within_lookback
 from spanloom.operators.trajectory import trajectories
@@ -89,11 +89,10 @@ def _write(df: DataFrame, chain: Pipeline, table: str, batch_id: int, keys: bool
 
 def start_spans(spark: SparkSession, chain: Pipeline, landing: str) -> StreamingQuery:
     """Message files -> span table, and undecodable messages -> ``dead_letters``."""
-    messages = decode(tables.message_stream(spark, landing, chain.max_files))
+    messages = tables.message_stream(spark, landing, chain.max_files)
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        spans = flatten(batch.where(F.col("message").isNotNull()))
-        changelog.write_batch(spans, chain.path("trace_delta_table"), batch_id)
+        changelog.write_batch(flatten(batch), chain.path("trace_delta_table"), batch_id)
         changelog.write_batch(undecodable(batch), chain.path("dead_letters"), batch_id)
 
     return start(messages, "spans", work, chain)
