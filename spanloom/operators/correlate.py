@@ -252,9 +252,8 @@ def correlate_live(
         .withColumn("hi", F.col("end_ts_ms") + options.live_margin_ms)
     )
     gpu = gpu.withColumn("node_id", F.coalesce(F.nullif(F.col("node_id"), F.lit("")), F.lit(ROUTING.default_node)))
-    # The first sample's GPU travels as a negated time, so that 'max' finds the earliest one.
-    first = "named_struct('age', -timestamp_ms, 'gpu_id', gpu_id)"
-    gpu_measures = [*GPU_MEASURES, Measure("_first", "max", first)]
+    # Numbers only, so that the wide aggregation stays a hash aggregation; the GPU's name is looked up at the end.
+    gpu_measures = [*GPU_MEASURES, Measure("first_age", "max", "-timestamp_ms")]
     trace = [c for c in traces.columns if c != "trace_id"]
     gpu_by_node = aggregate_over_intervals(
         traces, gpu, group_by=["trace_id"], keys=[], sample_groups=["node_id"], lo="lo", hi="hi", ts="timestamp_ms",
@@ -267,8 +266,8 @@ def correlate_live(
     latest = gpu.orderBy(F.desc("timestamp_ms"), "node_id", "gpu_id").limit(options.live_fallback_samples)
     fallback = latest.groupBy("node_id").agg(*fold_samples(gpu_measures)).agg(F.min(busiest_first).alias("b")).scalar()
     placed = (
-        gpu_by_node.groupBy("trace_id")
-        .agg(F.min(found).alias("b"), *[F.any_value(c).alias(c) for c in trace])
+        gpu_by_node.groupBy("trace_id", *trace)
+        .agg(F.min(found).alias("b"))
         .withColumn("b", F.coalesce("b", fallback))
         .select(
             "trace_id",
@@ -285,11 +284,13 @@ def correlate_live(
     )
     last = top_rows(network, ["node_id"], [F.desc("timestamp_ms")], options.live_fallback_samples)
     net_last = last.groupBy("node_id").agg(*fold_samples(NETWORK_MEASURES)).select("node_id", F.struct(*names).alias("_last"))
+    first_gpu = gpu.groupBy("node_id", (-F.col("timestamp_ms")).alias("first_age")).agg(F.min("gpu_id").alias("first_gpu"))
     seen = F.when(F.col("net_n").isNotNull(), F.struct(*names))
     others = [c for c in with_network.columns if c not in names]
     wide = (
         with_network.join(net_last, "node_id", "left")
-        .select(*others, F.coalesce(seen, "_last").alias("_net"))
+        .join(first_gpu, ["node_id", "first_age"], "left")
+        .select(*others, "first_gpu", F.coalesce(seen, "_last").alias("_net"))
         .select("*", *[F.col(f"_net.{n}").alias(n) for n in names])
     )
     start, end = F.col("start_ts_ms"), F.col("end_ts_ms")
@@ -314,7 +315,7 @@ def correlate_live(
         zero.alias("queue_wait_max"),
         F.concat(F.lit(ROUTING.pod_prefix), "node_id").alias("primary_pod_id"),
         F.col("node_id").alias("primary_node_id"),
-        F.coalesce(F.nullif(F.col("_first.gpu_id"), F.lit("")), F.lit(ROUTING.default_gpu)).alias("primary_gpu_id"),
+        F.coalesce(F.nullif(F.col("first_gpu"), F.lit("")), F.lit(ROUTING.default_gpu)).alias("primary_gpu_id"),
         ingestion_date(ingested_ms).alias("ingestion_date"),
         ingestion_hour(ingested_ms).alias("ingestion_hour"),
     )

@@ -139,6 +139,6 @@ def aggregate_over_intervals(
         match = match & (F.col(column) == F.col(f"_s{column}"))
     return (
         covered.join(renamed, match, "inner" if carry is None else "left")
-        .groupBy(*group_by, *sample_groups)
-        .agg(*[_fold(m, F.col(m.name)) for m in measures], *[F.any_value(c).alias(c) for c in carry or []])
+        .groupBy(*dict.fromkeys(group_by + sample_groups + (carry or [])))
+        .agg(*[_fold(m, F.col(m.name)) for m in measures])
     )

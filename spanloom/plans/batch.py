@@ -62,6 +62,10 @@ class Inputs:
     def events(self) -> DataFrame:
         return _spread(self.table("events"))
 
+    @property
+    def landed_messages(self) -> DataFrame:
+        return self._table("landed_messages", lambda: b.otlp_messages(self.events))
+
     @property
     def spans(self) -> DataFrame:
         return b.spans(self.events)

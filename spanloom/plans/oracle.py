@@ -708,7 +708,7 @@ cte(
 GPU_FOLD = """count(*) as gpu_n, sum(contention_index) as contention_sum, max(contention_index) as contention_max,
 sum(temperature_c) as temperature_sum, max(temperature_c) as temperature_max, sum(memory_used_pct) as memory_sum,
 sum(power_draw_pct) as power_sum, count(*) filter (throttle_active <> 0) as throttled,
-max({age: -timestamp_ms, gpu_id: gpu_id}) as first_gpu"""
+min({s: timestamp_ms, gpu_id: gpu_id}) as first_gpu"""
 NET_FOLD = """count(*) as net_n, count(*) filter (inter_node_latency_us > 0) as latency_n,
 sum(inter_node_latency_us) filter (inter_node_latency_us > 0) as latency_sum,
 max(inter_node_latency_us) filter (inter_node_latency_us > 0) as latency_max,

@@ -47,12 +47,12 @@ def query(fn: Query) -> Query:
 
 @query
 def otlp_flatten(spark, sf_dir):
-    return otlp.flatten(b.otlp_messages(Inputs(spark, sf_dir).events)).drop("ingested_at")
+    return otlp.flatten(Inputs(spark, sf_dir).landed_messages).drop("ingested_at")
 
 
 @query
 def undecodable_messages(spark, sf_dir):
-    return otlp.undecodable(b.otlp_messages(Inputs(spark, sf_dir).events)).select(
+    return otlp.undecodable(Inputs(spark, sf_dir).landed_messages).select(
         "event_id", F.length("value").alias("chars")
     )
 
@@ -703,7 +703,7 @@ def stream_backfill(spark, sf_dir):
     """Message and metric files through the whole streaming chain to the window table."""
     i = Inputs(spark, sf_dir)
     folder = scratch(spark)
-    b.otlp_messages(i.events).select("value").write.text(f"{folder}/messages")
+    i.landed_messages.select("value").write.text(f"{folder}/messages")
     i.gpu.write.json(f"{folder}/gpu")
     i.network.write.json(f"{folder}/network")
     chain = jobs.Pipeline(folder=f"{folder}/tables", trigger=None, correlation=SPARSE)
