@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call sites for error messages cost several gateway calls per column expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
