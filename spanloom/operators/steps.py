@@ -19,11 +19,21 @@ def of_traces(df: DataFrame, traces: DataFrame) -> DataFrame:
     return df.join(traces.select("trace_id"), "trace_id", "left_semi")
 
 
+def lookback_start_ms(batch: DataFrame, options: StepOptions = STEPS) -> Column:
+    """Start of the time a batch of spans looks back to: the lookback before its earliest span."""
+    back = F.lit(options.lookback_hours * 3_600_000).cast("bigint")
+    earliest = batch.agg(F.coalesce(F.min("start_time_unix_nano"), F.lit(0).cast("bigint")).alias("t")).scalar()
+    return ns_to_ms(earliest) - back
+
+
 def within_lookback(spans: DataFrame, batch: DataFrame, options: StepOptions = STEPS) -> DataFrame:
     """Spans that start at most the lookback before the earliest span of the batch."""
-    back = options.lookback_hours * 3600 * 1_000_000_000
-    earliest = batch.agg(F.coalesce(F.min("start_time_unix_nano"), F.lit(0)).alias("t")).scalar()
-    return spans.where(F.col("start_time_unix_nano") >= earliest - F.lit(back).cast("bigint"))
+    return spans.where(F.col("start_time_unix_nano") >= lookback_start_ms(batch, options) * 1_000_000)
+
+
+def before_lookback(steps: DataFrame, batch: DataFrame, options: StepOptions = STEPS) -> DataFrame:
+    """The steps whose spans ``within_lookback`` leaves out."""
+    return steps.where(F.col("start_ts_ms") < lookback_start_ms(batch, options))
 
 
 def with_step(spans: DataFrame) -> DataFrame:

@@ -369,7 +369,7 @@ oracle(
     "spans",
     """select trace_id, span_id, start_time_unix_nano from spans where trace_id in (select trace_id from spans
     where status_code = 'ERROR' and start_time_unix_nano > 0) and start_time_unix_nano >= (select min(start_time_unix_nano)
-    from spans where status_code = 'ERROR' and start_time_unix_nano > 0) - 3600000000000""",
+    from spans where status_code = 'ERROR' and start_time_unix_nano > 0) // 1000000 * 1000000 - 3600000000000""",
 )
 oracle(
     "trace_search",

@@ -18,7 +18,7 @@ from spanloom.operators.correlate import correlate, in_time_range
 from spanloom.operators.infra import route_calls
 from spanloom.operators.otlp import flatten, undecodable
 from spanloom.operators.scoring import JudgeFactory, evaluate, rule_judge
-from spanloom.operators.steps import agent_steps, impacted_traces, of_traces, within_lookback
+from spanloom.operators.steps import agent_steps, before_lookback, impacted_traces, of_traces, within_lookback
 from spanloom.operators.trajectory import trajectories
 from spanloom.operators.windows import drift_windows
 from spanloom.options import CORRELATION, DRIFT, ROUTING, STEPS, CorrelationOptions, DriftOptions, RoutingOptions, StepOptions
@@ -99,13 +99,19 @@ def start_spans(spark: SparkSession, chain: Pipeline, landing: str) -> Streaming
 
 
 def start_agent_steps(spark: SparkSession, chain: Pipeline) -> StreamingQuery:
-    """New spans -> all steps of their traces, replacing what was there (a late entry span retracts steps)."""
+    """New spans -> all steps of their traces, replacing what was there (a late entry span retracts steps).
+
+    Spans are read again within the lookback; steps from before it are carried over from the batches before this one.
+    """
     stream = _changes(spark, chain, "trace_delta_table")
 
     def work(batch: DataFrame, batch_id: int) -> None:
+        traces = impacted_traces(batch)
         log = _log(spark, chain, "trace_delta_table")
-        spans = within_lookback(of_traces(log, impacted_traces(batch)), batch, chain.steps).drop(changelog.BATCH)
-        _write(agent_steps(spans), chain, "agent_steps", batch_id)
+        spans = within_lookback(of_traces(log, traces), batch, chain.steps).drop(changelog.BATCH)
+        written = _log(spark, chain, "agent_steps").where(F.col(changelog.BATCH) < batch_id)
+        kept = before_lookback(of_traces(changelog.current_by_trace(written), traces), batch, chain.steps)
+        _write(agent_steps(spans).unionByName(kept), chain, "agent_steps", batch_id)
 
     return start(stream, "agent_steps", work, chain)
 

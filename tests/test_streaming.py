@@ -53,6 +53,15 @@ def test_late_entry_retracts_its_reasoning(spark, chain):
     assert [r["value"] for r in letters.collect()] == ["{broken"]
 
 
+def test_steps_from_before_the_lookback_stay(spark, chain):
+    pipeline, landing = chain
+    (landing / "1.json").write_text(message(ENTRY, TOOL, OTHER) + "\n")
+    run(spark, pipeline, landing)
+    (landing / "2.json").write_text(message(span("aa", "09", "03", 100 + 3 * 3600, agent__name="late")) + "\n")
+    run(spark, pipeline, landing)
+    assert paths(spark, pipeline) == {"aa": "ENTRY|TOOL|AGENT", "bb": "AGENT"}
+
+
 def test_stream_equals_batch(spark, chain):
     pipeline, landing = chain
     texts = [message(s) for s in (ENTRY, DIRECT, TOOL, OTHER)]
