@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +29,7 @@ from spanloom.llm.tables import small_batches
 
 DIMENSIONS = 1 << 20
 PREFIX_LETTERS = 5
-PER_LABEL, LONGEST = 4000, 40_000
+PER_LABEL, LONGEST = 3000, 40_000
 THRESHOLD = 0.7
 # A feature must occur in so many fitted documents, and differ between the labels by so many standard errors.
 SUPPORT, CLEAR = 4, 3.0
@@ -67,33 +68,30 @@ class Model:
     bias: float
 
 
-def fit(labels: np.ndarray, bags: list[list[list[int]]], rounds: int = 400, pace: float = 3.0, sparsity: float = 3e-4) -> Model:
+def fit(labels: np.ndarray, bags: pa.Array, rounds: int = 400, pace: float = 3.0, sparsity: float = 3e-4) -> Model:
     """Weights that minimise the noisy-or log loss of the bags (documents: sentences: slots) plus an L1 penalty.
 
     Features that documents of both labels hold about equally often (less than ``CLEAR`` standard errors apart) are screened
     out. Accelerated proximal gradient steps, restarted when they overshoot; the penalty keeps chance words at zero.
     """
-    kept = [i for i, bag in enumerate(bags) if bag]
-    y = np.asarray(labels, float)[kept]
+    y = np.asarray(labels, float)
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(DIMENSIONS, np.float32), -50.0)
-    held = np.zeros((2, DIMENSIONS))
-    for i, label in zip(kept, y.astype(int).tolist(), strict=True):
-        held[label, np.unique([s for sentence in bags[i] for s in sentence])] += 1
+    in_bag = bags.flatten()
+    slots = in_bag.flatten().to_numpy()
+    bag_of = np.repeat(np.arange(len(bags)), pc.list_value_length(bags).to_numpy())
+    sentence_of = np.repeat(np.arange(len(bag_of)), pc.list_value_length(in_bag).to_numpy())
+    # Documents of each label that hold a feature.
+    pairs = np.unique(bag_of[sentence_of] * DIMENSIONS + slots)
+    label_of = y[pairs // DIMENSIONS]
+    held = np.stack([np.bincount(pairs[label_of == v] % DIMENSIONS, minlength=DIMENSIONS) for v in (0, 1)])
     many = np.array([[(y == 0).sum()], [(y == 1).sum()]])
     both = held.sum(axis=0) / many.sum()
     spread = np.sqrt(both * (1 - both) * (1 / many).sum()) + 1e-12
     used = (held.sum(axis=0) >= SUPPORT) & (np.abs((held / many)[1] - (held / many)[0]) >= CLEAR * spread)
     count, place = int(used.sum()), np.cumsum(used) - 1
-    feature, sentence_of, bag_of = [], [], []
-    for b, i in enumerate(kept):
-        for sentence in bags[i]:
-            slots = np.array(sentence, np.int64)
-            slots = place[slots[used[slots]]]
-            feature.append(slots)
-            sentence_of.append(np.full(len(slots), len(bag_of)))
-            bag_of.append(b)
-    feature, sentence_of, bag_of = np.concatenate(feature), np.concatenate(sentence_of), np.array(bag_of)
+    listed = used[slots]
+    feature, sentence_of = place[slots[listed]], sentence_of[listed]
     w, bias = np.zeros(count), -5.0
     before, bias_before, run = w, bias, 0
     share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
@@ -141,7 +139,7 @@ def learn(
     # The sample is bounded by its parameters, so it can be sent to every task.
     sample = docs.join(F.broadcast(chosen), doc_id).select("_label", F.col(text).alias("text"))
     rows = sample.mapInArrow(features, "label int, bags array<array<int>>").toArrow()
-    return fit(rows["label"].to_numpy(), rows["bags"].to_pylist())
+    return fit(rows["label"].to_numpy(), rows["bags"].combine_chunks())
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
