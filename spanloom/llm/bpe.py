@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from spanloom.llm.tables import small_batches
 
 # Entries of a worker's newer table; when it is full it becomes the older one, which is then dropped.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 200_000
 
 # The byte-level format's split pattern, with its white space spelled out.
 _WHITE = r"\t-\r \x85\xa0  -     　"

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 # Keys per bucket: bounds the arrays of one task.
-BUCKET_KEYS = 1 << 21
+BUCKET_KEYS = 1 << 20
 
 
 def bucket_count(keys: int) -> int:

@@ -34,7 +34,7 @@ FITTED_WORDS = 60_000
 UNKNOWN, SMOOTHING = 1e-6, 0.05
 # Probabilities are scaled per letter so that those of words of up to LONG letters stay within doubles.
 LETTER_SCALE, LONG = 16.0, 120
-_KEPT_WORDS = 400_000
+_KEPT_WORDS = 250_000
 _WORD = re.compile(r"[^\W\d_]+")
 _MARK = "▁"
 

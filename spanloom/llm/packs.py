@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from spanloom.llm.tables import small_batches, written
 
-PACK_BYTES = 4 << 20
+PACK_BYTES = 2 << 20
 SCHEMA = "pack_id bigint, body binary"
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spanloom.session import shared_folder, ship_package
 
 # Rows per Arrow batch: bounds what a Python worker holds of long texts.
-ARROW_ROWS = 256
+ARROW_ROWS = 128
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -27,7 +27,7 @@ class _Powers:
 
     def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
+            size = n + n // 8
             for name, step in (("up", self.base), ("down", self.inverse)):
                 powers = np.full(size, step, np.uint64)
                 powers[0] = 1

@@ -35,7 +35,7 @@ THRESHOLD = 0.7
 SUPPORT, CLEAR = 4, 3.0
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"\w+")
-_KEPT_WORDS = 500_000
+_KEPT_WORDS = 150_000
 
 
 def _slot(token: str) -> int:
