@@ -3,7 +3,7 @@
 Two sets of n and m shingles reach similarity t (a rational) only if they share c(n, m) = ceil(t (n + m) / (1 + t)) of them.
 
 * Light pairs: both sets have at most x shingles. Each set lists all its subsets of the fixed size c(n, m) for every m that
-  can match; two sets link exactly if they share a subset of a size pair. x balances the subsets against list entries.
+  can match, so two sets that link share one. x balances the number of subsets against that of list entries.
 * Heavy pairs: inverted lists, scanned for the rarest n - ceil(t n) + 1 shingles of each set (two sets that link share one of
   these). Shingles no other document has cannot join anything, so they open no list; in most documents none is left.
 
