@@ -102,7 +102,9 @@ def parse_scores(reply: Column) -> Column:
 
     scores = {}
     for d in DIMENSIONS:
-        whole = F.when(F.map_contains_key(raw, d), numbers[d].cast("int")).otherwise(F.lit(SCORE_DEFAULT))
+        # Bounded before the cast: a reply can hold any number. The cast cuts the fraction off.
+        bounded = F.greatest(F.least(numbers[d], F.lit(SCORE_MAX + 1.0)), F.lit(SCORE_MIN - 1.0))
+        whole = F.when(F.map_contains_key(raw, d), bounded.cast("int")).otherwise(F.lit(SCORE_DEFAULT))
         scores[d] = F.greatest(F.least(whole, F.lit(SCORE_MAX)), F.lit(SCORE_MIN)).cast("double")
     total = scores[DIMENSIONS[0]]
     for d in DIMENSIONS[1:]:

@@ -144,12 +144,12 @@ def _signals(gpu: int = 4, other: int = 2) -> list[Column]:
         _mean("temperature_sum", "gpu_n", other).alias("gpu_temperature_avg"),
         _peak("temperature_max", other).alias("gpu_temperature_max"),
         _mean("memory_sum", "gpu_n", other).alias("gpu_memory_pressure_avg"),
-        F.coalesce("throttled", F.lit(0)).cast("int").alias("gpu_throttle_count"),
+        F.coalesce("throttled", F.lit(0)).cast("bigint").alias("gpu_throttle_count"),
         _mean("power_sum", "gpu_n", other).alias("gpu_power_avg"),
         _mean("latency_sum", "latency_n", other).alias("inter_node_latency_avg"),
         _peak("latency_max", other).alias("inter_node_latency_max"),
-        F.coalesce("drops", F.lit(0)).cast("int").alias("packet_drop_total"),
-        F.coalesce("retransmits", F.lit(0)).cast("int").alias("tcp_retransmit_total"),
+        F.coalesce("drops", F.lit(0)).cast("bigint").alias("packet_drop_total"),
+        F.coalesce("retransmits", F.lit(0)).cast("bigint").alias("tcp_retransmit_total"),
     ]
 
 

@@ -165,9 +165,16 @@ def label_incidents(
 
     Incidents become disjoint segments first, so a sample matches at most one however many incidents overlap, and the
     segments are cut at tile borders to meet the samples by an equality of (keys, tile). Neither side is collected.
+    An incident without an end goes on; segments are cut to the time the samples cover before they are tiled.
     """
+    open_end = F.coalesce(F.col("end_ms"), F.lit(2**62))
+    earliest, latest = samples.agg(F.min(ts)).scalar(), samples.agg(F.max(ts)).scalar()
+    covered = incident_segments(incidents.withColumn("end_ms", open_end), keys)
+    covered = covered.where((F.col("to_ms") >= earliest) & (F.col("from_ms") <= latest)).withColumns(
+        {"from_ms": F.greatest("from_ms", earliest), "to_ms": F.least("to_ms", latest)}
+    )
     tiles = F.sequence(floor_div(F.col("from_ms"), tile_ms), floor_div(F.col("to_ms"), tile_ms))
-    segments = incident_segments(incidents, keys).select(
+    segments = covered.select(
         *keys, "from_ms", "to_ms", F.col("name").alias("incident"), "intensity", F.explode(tiles).alias("_tile")
     )
     timed = samples.withColumn("_tile", floor_div(F.col(ts), tile_ms))

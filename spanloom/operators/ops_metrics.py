@@ -108,8 +108,10 @@ def duration_histogram(measured: DataFrame) -> DataFrame:
 def active_agents(measured: DataFrame, slice_ms: int = HOUR_MS) -> DataFrame:
     """Number of agent steps in flight after each instant at which it changes."""
     agents = measured.where(F.col("kind") == "AGENT")
-    changes = agents.select(F.col("start_ms").alias("at_ms"), F.lit(1).alias("d")).unionByName(
-        agents.select(F.col("end_ms").alias("at_ms"), F.lit(-1).alias("d"))
+    # A step without an end is still in flight, one without a start cannot be placed: neither may leave without entering.
+    begun = agents.where(F.col("start_ms") > 0)
+    changes = begun.select(F.col("start_ms").alias("at_ms"), F.lit(1).alias("d")).unionByName(
+        begun.where(F.col("end_ms") > 0).select(F.col("end_ms").alias("at_ms"), F.lit(-1).alias("d"))
     )
     net = changes.groupBy("at_ms").agg(F.sum("d").alias("change")).where(F.col("change") != 0)
     counted = running_total(net, ["at_ms"], F.col("change"), floor_div(F.col("at_ms"), slice_ms), "active")
@@ -117,8 +119,8 @@ def active_agents(measured: DataFrame, slice_ms: int = HOUR_MS) -> DataFrame:
 
 
 def _value_slice(value: Column) -> Column:
-    """Coarse logarithmic bucket that grows with the value."""
-    return F.floor(F.log2(F.greatest(value, F.lit(0.0)) + 1) * 32)
+    """Logarithmic bucket that grows with the value, fine from a billionth of the unit on."""
+    return F.floor(F.log2(F.greatest(value, F.lit(0.0)) * 1e9 + 1) * 32)
 
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:

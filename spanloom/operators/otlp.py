@@ -9,9 +9,18 @@ from spanloom.functions import otlp as o
 from spanloom.schemas import OTLP_MESSAGE
 
 
+BAD = "_undecodable"
+
+
+def _parsed(column: str) -> Column:
+    """The message, with the text itself in ``BAD`` if it is no JSON or any part has another shape than it should."""
+    return F.from_json(F.col(column), f"{OTLP_MESSAGE}, {BAD} STRING", {"columnNameOfCorruptRecord": BAD})
+
+
 def undecodable(messages: DataFrame, column: str = "value") -> DataFrame:
-    """Messages to set aside: text that is not a JSON object."""
-    return messages.where(F.from_json(F.col(column), "map<string,string>").isNull())
+    """Messages to set aside: text that is not a JSON object of the message's shape."""
+    parsed = _parsed(column)
+    return messages.where(parsed.isNull() | parsed[BAD].isNotNull() | F.from_json(F.col(column), "map<string,string>").isNull())
 
 
 def flatten(messages: DataFrame, ingested_at: Column | None = None, column: str = "value") -> DataFrame:
@@ -20,8 +29,10 @@ def flatten(messages: DataFrame, ingested_at: Column | None = None, column: str
     The text is parsed inside the first generator: once per message, with nothing for a filter to repeat.
     """
     ingested_at = F.current_timestamp() if ingested_at is None else ingested_at
-    parsed = F.from_json(F.col(column), OTLP_MESSAGE)
-    resources = messages.select(F.explode(parsed["resourceSpans"]).alias("rs"))
+    parsed = _parsed(column)
+    resources = messages.select(F.explode(F.array(parsed)).alias("m")).select(
+        F.explode(F.when(F.col(f"m.{BAD}").isNull(), F.col("m.resourceSpans"))).alias("rs")
+    )
     scopes = resources.select(
         o.service_name(F.col("rs.resource.attributes")).alias("service_name"),
         F.explode("rs.scopeSpans").alias("ss"),

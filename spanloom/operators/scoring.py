@@ -84,16 +84,25 @@ def with_prompts(contexts: DataFrame, template: str = j.PROMPT_TEMPLATE) -> Data
 def ask(df: DataFrame, judge: JudgeFactory, prompt: str = "prompt", reply: str = "reply") -> DataFrame:
     """Adds the judge's reply to each prompt. The judge is made once per partition and sees Arrow batches.
 
-    A judge that raises gives a null reply for that batch, which is scored as an error row.
+    If the judge raises on a batch, its prompts are asked one by one; one that fails alone has a null reply, which is scored
+    as an error row.
     """
 
+    def alone(answer: Callable[[list[str]], list[str]], text: str) -> str | None:
+        try:
+            return answer([text])[0]
+        except Exception:  # any judge failure becomes an error row, as an unreadable reply does
+            return None
+
     def replies(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         answer = judge()
         for prompts in batches:
+            texts = prompts.tolist()
             try:
-                yield pd.Series(answer(prompts.tolist()), dtype="object")
-            except Exception:  # any judge failure becomes an error row, as an unreadable reply does
-                yield pd.Series([None] * len(prompts), dtype="object")
+                found = answer(texts)
+            except Exception:
+                found = [alone(answer, text) for text in texts]
+            yield pd.Series(found, dtype="object")
 
     return df.withColumn(reply, F.pandas_udf(replies, "string")(F.col(prompt)))
 

@@ -184,7 +184,7 @@ def drift_windows(correlated: DataFrame, options: DriftOptions = DRIFT) -> DataF
             F.round(_avg("c"), 4).alias("gpu_contention_avg"),
             F.round(F.coalesce("c_max", F.lit(0.0)), 4).alias("gpu_contention_max"),
             F.round(_avg("l"), 2).alias("net_latency_avg"),
-            F.col("drops").cast("int").alias("packet_drop_total"),
+            F.col("drops").alias("packet_drop_total"),
             _pearson().alias("contention_quality_corr"),
         )
     )

@@ -35,12 +35,6 @@ def forget_tables() -> None:
     _written.clear()
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Inputs with fewer splits than cores (small test files) are spread over them; large ones stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 class Inputs:
     """The analysis tables of one data folder."""
 
@@ -60,7 +54,7 @@ class Inputs:
 
     @property
     def events(self) -> DataFrame:
-        return _spread(self.table("events"))
+        return self.table("events")
 
     @property
     def landed_messages(self) -> DataFrame:

@@ -165,12 +165,12 @@ def signals(other: int) -> str:
     {mean('temperature_sum', 'gpu_n', other)} as gpu_temperature_avg,
     {rnd('coalesce(temperature_max, 0e0)', other)} as gpu_temperature_max,
     {mean('memory_sum', 'gpu_n', other)} as gpu_memory_pressure_avg,
-    cast(coalesce(throttled, 0) as integer) as gpu_throttle_count,
+    cast(coalesce(throttled, 0) as bigint) as gpu_throttle_count,
     {mean('power_sum', 'gpu_n', other)} as gpu_power_avg,
     {mean('latency_sum', 'latency_n', other)} as inter_node_latency_avg,
     {rnd('coalesce(latency_max, 0e0)', other)} as inter_node_latency_max,
-    cast(coalesce(drops, 0) as integer) as packet_drop_total,
-    cast(coalesce(retransmits, 0) as integer) as tcp_retransmit_total"""
+    cast(coalesce(drops, 0) as bigint) as packet_drop_total,
+    cast(coalesce(retransmits, 0) as bigint) as tcp_retransmit_total"""
 
 
 def correlated_sql(quality: str) -> str:
@@ -283,7 +283,7 @@ def window_ctes(prefix: str, correlated: str) -> None:
         entropy as trajectory_entropy, jsd as trajectory_drift_jsd, is_baseline, {rnd('q', 4)} as quality_overall_avg,
         {rnd('h', 4)} as quality_hallucination_avg, {rnd('base_q', 4)} as quality_overall_baseline, delta as quality_delta,
         gpu_avg as gpu_contention_avg, {rnd('c_max', 4)} as gpu_contention_max, lat as net_latency_avg,
-        cast(drops as integer) as packet_drop_total, quality_drop, trajectory_drift, gpu_pressure, network_pressure,
+        cast(drops as bigint) as packet_drop_total, quality_drop, trajectory_drift, gpu_pressure, network_pressure,
         corr as contention_quality_corr,
         case when quality_drop = 1 and trajectory_drift = 1 and gpu_pressure = 1 then 'gpu_induced_degradation'
           when quality_drop = 1 and trajectory_drift = 1 and network_pressure = 1 then 'network_induced_degradation'

@@ -58,8 +58,8 @@ quality_overall DOUBLE, quality_completeness DOUBLE, quality_coherence DOUBLE,
 quality_hallucination DOUBLE, quality_groundedness DOUBLE, quality_relevance DOUBLE,
 quality_explanation STRING, gpu_contention_avg DOUBLE, gpu_contention_max DOUBLE,
 gpu_temperature_avg DOUBLE, gpu_temperature_max DOUBLE, gpu_memory_pressure_avg DOUBLE,
-gpu_throttle_count INT, gpu_power_avg DOUBLE, inter_node_latency_avg DOUBLE,
-inter_node_latency_max DOUBLE, packet_drop_total INT, tcp_retransmit_total INT,
+gpu_throttle_count BIGINT, gpu_power_avg DOUBLE, inter_node_latency_avg DOUBLE,
+inter_node_latency_max DOUBLE, packet_drop_total BIGINT, tcp_retransmit_total BIGINT,
 queue_wait_avg DOUBLE, queue_wait_max DOUBLE, primary_pod_id STRING, primary_node_id STRING,
 primary_gpu_id STRING, ingestion_date STRING, ingestion_hour INT"""
 
@@ -68,7 +68,7 @@ dominant_signature STRING, dominant_share DOUBLE, unique_signatures INT, traject
 trajectory_drift_jsd DOUBLE, is_baseline INT, quality_overall_avg DOUBLE,
 quality_hallucination_avg DOUBLE, quality_overall_baseline DOUBLE, quality_delta DOUBLE,
 gpu_contention_avg DOUBLE, gpu_contention_max DOUBLE, net_latency_avg DOUBLE,
-packet_drop_total INT, quality_drop INT, trajectory_drift INT, gpu_pressure INT,
+packet_drop_total BIGINT, quality_drop INT, trajectory_drift INT, gpu_pressure INT,
 network_pressure INT, contention_quality_corr DOUBLE, correlation_flag STRING,
 correlation_details STRING"""
 

@@ -25,6 +25,7 @@ def local_session(app: str = "spanloom", cpus: int = 8, **extra: str) -> SparkSe
     settings = {
         **SETTINGS,
         "spark.sql.shuffle.partitions": str(cpus),
+        "spark.sql.files.minPartitionNum": str(cpus),
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",

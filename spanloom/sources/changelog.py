@@ -55,10 +55,3 @@ def current_by_trace(log: DataFrame, trace: str = "trace_id") -> DataFrame:
     """Replace-by-trace view: all rows of the newest batch of each trace, so steps can also disappear."""
     newest = log.groupBy(trace).agg(F.max(BATCH).alias(BATCH))
     return log.join(newest, [trace, BATCH], "left_semi").drop(BATCH)
-
-
-def compact(spark: SparkSession, path: str, schema: str, keys: Sequence[str], target: str, by_trace: bool = False) -> None:
-    """Write the current rows of a log as the first batch of a new log."""
-    log = read_log(spark, path, schema)
-    rows = current_by_trace(log) if by_trace else current(log, keys)
-    write_batch(rows, target, 0)

@@ -70,13 +70,24 @@ def _log(spark: SparkSession, chain: Pipeline, table: str) -> DataFrame:
     return changelog.read_log(spark, chain.path(table), schemas.TABLES[table][0])
 
 
+# A batch of these holds all rows of its traces, so the newest batch of a trace replaces the ones before it.
+BY_TRACE = ("agent_steps", "trajectory_templates", "quality_scores", "trace_correlated")
+
+
 def _current(spark: SparkSession, chain: Pipeline, table: str) -> DataFrame:
     schema, keys = schemas.TABLES[table]
-    return changelog.current(changelog.read_log(spark, chain.path(table), schema), keys)
+    log = changelog.read_log(spark, chain.path(table), schema)
+    return changelog.current_by_trace(log) if table in BY_TRACE else changelog.current(log, keys)
 
 
 def current_steps(spark: SparkSession, chain: Pipeline) -> DataFrame:
-    return changelog.current_by_trace(_log(spark, chain, "agent_steps"))
+    return _current(spark, chain, "agent_steps")
+
+
+def current_routing(spark: SparkSession, chain: Pipeline, traces: DataFrame) -> DataFrame:
+    """Routed calls of some traces that are still among their steps (a late entry span can retract a call)."""
+    steps = of_traces(current_steps(spark, chain), traces).select("trace_id", "span_id")
+    return of_traces(_current(spark, chain, "request_routing"), traces).join(steps, ["trace_id", "span_id"], "left_semi")
 
 
 def _changes(spark: SparkSession, chain: Pipeline, table: str) -> DataFrame:
@@ -163,10 +174,10 @@ def start_network_metrics(spark: SparkSession, chain: Pipeline, landing: str) ->
 
 
 def start_correlated(spark: SparkSession, chain: Pipeline) -> StreamingQuery:
-    """Driven by new scores and by new trajectories, so a trace is correlated whichever of them comes last."""
-    touched = _changes(spark, chain, "quality_scores").select("trace_id").unionByName(
-        _changes(spark, chain, "trajectory_templates").select("trace_id")
-    )
+    """Driven by new scores, trajectories and routed calls, so a trace is correlated whichever of them comes last."""
+    touched = _changes(spark, chain, "quality_scores").select("trace_id")
+    for table in ("trajectory_templates", "request_routing"):
+        touched = touched.unionByName(_changes(spark, chain, table).select("trace_id"))
 
     def work(batch: DataFrame, batch_id: int) -> None:
         traces = impacted_traces(batch)
@@ -174,7 +185,7 @@ def start_correlated(spark: SparkSession, chain: Pipeline) -> StreamingQuery:
         rows = correlate(
             paths,
             of_traces(_current(spark, chain, "quality_scores"), traces),
-            of_traces(_current(spark, chain, "request_routing"), traces),
+            current_routing(spark, chain, traces),
             in_time_range(_current(spark, chain, "gpu_metrics"), paths, chain.correlation),
             in_time_range(_current(spark, chain, "network_metrics"), paths, chain.correlation),
             options=chain.correlation,

@@ -4,7 +4,7 @@ import pytest
 from test_steps import message
 
 from spanloom import schemas
-from spanloom.operators.otlp import flatten
+from spanloom.operators.otlp import flatten, undecodable
 from spanloom.operators.scoring import evaluate, rule_judge
 from spanloom.operators.steps import agent_steps
 from spanloom.operators.trajectory import trajectories
@@ -95,8 +95,6 @@ def test_replaying_a_batch_changes_nothing(spark, tmp_path):
     log = changelog.read_log(spark, path, schema)
     assert log.count() == 4
     assert {tuple(r) for r in changelog.current(log, ["k"]).collect()} == {("a", 1), ("b", 2), ("c", 2)}
-    changelog.compact(spark, path, schema, ["k"], str(tmp_path / "small"))
-    assert changelog.read_log(spark, str(tmp_path / "small"), schema).count() == 3
 
 
 def test_create_all_tables_once(spark, tmp_path):
@@ -117,3 +115,43 @@ def test_judge_failure_is_an_error_row(spark, step):
     assert row["overall"] == 0.0 and row["explanation"].startswith("eval_error")
     good = evaluate(steps, rule_judge, "rules").first()
     assert good["completeness"] == 4.0 and good["groundedness"] == 2.0
+
+
+def test_one_failing_prompt_costs_one_trace(spark, step):
+    def picky():
+        answer = rule_judge()
+
+        def judge(prompts):
+            if any("poison" in p for p in prompts):
+                raise RuntimeError("refused")
+            return answer(prompts)
+
+        return judge
+
+    steps = step(*[(f"t{i}", f"{i:02}", "REASON", 0, {"response": "poison" if i == 3 else "fine"}) for i in range(20)])
+    rows = evaluate(steps, picky, "picky").collect()
+    assert [r["trace_id"] for r in rows if r["explanation"].startswith("eval_error")] == ["t3"] and len(rows) == 20
+
+
+def test_late_session_replaces_the_trace_everywhere(spark, chain):
+    """A late entry span brings another session and retracts a call: no second row, no stale call downstream."""
+    pipeline, landing = chain
+    others = landing.parent / "none"
+    others.mkdir()
+    (landing / "1.json").write_text(message(DIRECT, TOOL) + "\n")
+    jobs.run_to_end(spark, pipeline, str(landing), str(others), str(others))
+    (landing / "2.json").write_text(message(span("aa", "01", "", 100, http__route="/chat", session__id="s1")) + "\n")
+    jobs.run_to_end(spark, pipeline, str(landing), str(others), str(others))
+    for table in ("trajectory_templates", "quality_scores", "trace_correlated"):
+        rows = jobs._current(spark, pipeline, table).collect()
+        assert [(r["trace_id"], r["session_id"]) for r in rows] == [("aa", "s1")], table
+    traces = jobs._current(spark, pipeline, "trajectory_templates").select("trace_id")
+    assert jobs.current_routing(spark, pipeline, traces).count() == 0
+
+
+def test_messages_of_another_shape_are_dead_letters(spark):
+    good = message(ENTRY)
+    bad = ['{"resourceSpans":"x"}', '{"resourceSpans":[{"scopeSpans":[{"spans":"oops"}]}]}', "[1]", "nothing", "3"]
+    messages = spark.createDataFrame([(m,) for m in [good, *bad]], "value STRING")
+    assert {r["value"] for r in undecodable(messages).collect()} == set(bad)
+    assert [r["span_id"] for r in flatten(messages).collect()] == ["01"]
