@@ -210,7 +210,8 @@ def learn(
     usable = docs.where(learnable & F.col(text).isNotNull() & F.col(lang).isNotNull())
     counts = usable.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("_rows"))
     place = F.pmod(F.xxhash64(doc_id), F.lit(1_000_000)) / F.lit(1e6)
-    sample = usable.join(counts, F.col(lang) == F.col("_lang")).where(place < F.lit(float(per_language)) / F.col("_rows"))
+    # One row per language, as the model has one column for each: small enough for every task, so no text is shuffled.
+    sample = usable.join(F.broadcast(counts), F.col(lang) == F.col("_lang")).where(place < F.lit(float(per_language)) / F.col("_rows"))
 
     def count(batches):
         for b in batches:
