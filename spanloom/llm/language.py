@@ -49,25 +49,41 @@ def pieces(vocabulary: str | Path) -> list[str]:
     return list(dict.fromkeys(p for p in listed if p == p.lower()))
 
 
+def piece_numbers(listed: list[str]) -> dict[str, int]:
+    """The number of each piece; beginnings that only longer pieces have are there with -1, so that a search can stop early."""
+    begun = {p[:i]: -1 for p in listed for i in range(1, len(p))}
+    return {**begun, **{p: i for i, p in enumerate(listed)}}
+
+
 class Lattice:
     """All pieces of some words as edges (word, start, end, piece), ordered by end within the word."""
 
-    def __init__(self, words: list[str], number: dict[str, int], longest: int):
-        word_of, start, end, piece = [], [], [], []
-        unknown = len(number)
+    def __init__(self, words: list[str], number: dict[str, int], width: np.ndarray):
+        unknown = len(width) - 1
+        piece, upto = [], []  # pieces in order of their start, and how many there are after each position
         self.sizes = np.array([len(w) + 1 for w in words], np.int64)
-        for w, word in enumerate(words):
+        find = number.get
+        for word in words:
             marked = _MARK + word
-            for i in range(len(marked)):
-                single = False
-                for j in range(i + 1, min(i + longest, len(marked)) + 1):
-                    p = number.get(marked[i:j])
-                    if p is not None:
-                        word_of.append(w), start.append(i), end.append(j), piece.append(p)
-                        single |= j == i + 1
-                if not single:
-                    word_of.append(w), start.append(i), end.append(i + 1), piece.append(unknown)
-        columns = [np.array(x, np.int64) for x in (word_of, start, end, piece)]
+            size = len(marked)
+            for i in range(size):
+                j = i + 1
+                p = find(marked[i:j])
+                if p is None or p < 0:
+                    piece.append(unknown)
+                while p is not None:
+                    if p >= 0:
+                        piece.append(p)
+                    if j == size:
+                        break
+                    j += 1
+                    p = find(marked[i:j])
+                upto.append(len(piece))
+        edges = np.diff(np.array(upto, np.int64), prepend=0)
+        word_of = np.repeat(np.arange(len(words)), self.sizes)
+        start = np.arange(len(upto)) - (np.cumsum(self.sizes) - self.sizes)[word_of]
+        word_of, start, piece = np.repeat(word_of, edges), np.repeat(start, edges), np.array(piece, np.int64)
+        columns = [word_of, start, start + width[piece], piece]
         order = np.argsort(columns[2], kind="stable")
         self.word, self.start, self.end, self.piece = (c[order] for c in columns)
         self.longest_word = int(self.sizes.max(initial=0))
@@ -94,23 +110,26 @@ class Lattice:
         return beta
 
 
+def widths(listed: list[str]) -> np.ndarray:
+    """Letters of each piece; the last one is the unknown letter."""
+    return np.array([len(x) for x in listed] + [1], np.int64)
+
+
 def scaled(p: np.ndarray, listed: list[str]) -> np.ndarray:
     """Probabilities times the letter scale; the last row is the unknown letter's."""
-    width = np.array([len(x) for x in listed] + [1], float)
-    return p * (LETTER_SCALE ** width)[:, None]
+    return p * (LETTER_SCALE ** widths(listed))[:, None]
 
 
 def fit_pieces(words: dict[str, int], listed: list[str], rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities of one language from its word counts; one more for the unknown letter."""
-    number = {x: i for i, x in enumerate(listed)}
+    number = piece_numbers(listed)
     used = [w for w in words if len(w) <= LONG]
     if len(used) > FITTED_WORDS:
         used = [w for w in used if words[w] > 1]
     p = np.full(len(listed) + 1, 1 / len(listed))
     p[-1] = UNKNOWN
-    longest = max(map(len, listed), default=1)
     parts = [used[i : i + 4096] for i in range(0, len(used), 4096)]
-    lattices = [(Lattice(part, number, longest), np.array([words[w] for w in part], float)) for part in parts]
+    lattices = [(Lattice(part, number, widths(listed)), np.array([words[w] for w in part], float)) for part in parts]
     for _ in range(rounds if used else 0):
         expected, q = np.zeros(len(p)), scaled(p[:, None], listed)
         for lattice, counts in lattices:
@@ -136,8 +155,9 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.number = {x: i for i, x in enumerate(model.listed)}
-        self.longest = max(map(len, model.listed), default=1)
+        self.number = piece_numbers(model.listed)
+        self.width = widths(model.listed)
+        self.longest = int(self.width.max())
         self.scaled = scaled(model.probabilities, model.listed)
         self.rows: dict[str, int] = {}
         self.table = np.zeros((0, len(model.languages)))
@@ -150,10 +170,10 @@ class Scorer:
         for j in range(1, len(marked) + 1):
             total = np.zeros(p.shape[1])
             for i in range(max(0, j - self.longest), j):
-                piece = self.number.get(marked[i:j])
-                if piece is None and i == j - 1:
-                    piece = len(self.number)
-                if piece is not None:
+                piece = self.number.get(marked[i:j], -1)
+                if piece < 0 and i == j - 1:
+                    piece = len(self.model.listed)
+                if piece >= 0:
                     total += window[i - j] * p[piece]
             scale = np.maximum(total, 1e-290)
             window = [x / scale for x in window[-self.longest :]] + [total / scale]
@@ -168,7 +188,7 @@ class Scorer:
         blocks = [self.table]
         for i in range(0, len(short), 2048):
             part = sorted(short[i : i + 2048], key=len)
-            lattice = Lattice(part, self.number, self.longest)
+            lattice = Lattice(part, self.number, self.width)
             alpha = lattice.forward(self.scaled)
             whole = alpha[np.arange(len(part)), lattice.sizes]
             blocks.append(np.log(np.maximum(whole, 1e-300)) - lattice.sizes[:, None] * np.log(LETTER_SCALE))
@@ -209,7 +229,7 @@ def learn(
     listed = pieces(vocabulary)
     usable = docs.where(learnable & F.col(text).isNotNull() & F.col(lang).isNotNull())
     counts = usable.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("_rows"))
-    place = F.pmod(F.xxhash64(doc_id), F.lit(1_000_000)) / F.lit(1e6)
+    place = F.pmod(F.xxhash64(doc_id), F.lit(1 << 52)) / F.lit(float(1 << 52))
     # One row per language, as the model has one column for each: small enough for every task, so no text is shuffled.
     sample = usable.join(F.broadcast(counts), F.col(lang) == F.col("_lang")).where(place < F.lit(float(per_language)) / F.col("_rows"))
 
