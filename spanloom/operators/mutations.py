@@ -1,4 +1,7 @@
-"""Which paths lead to bad outcomes: one aggregation per signature, everything else from its result."""
+"""Which paths lead to bad outcomes: one aggregation per signature, everything else from its result.
+
+Totals and rows both come from ``path_outcomes``; jobs write it once and call the ``*_of`` functions on it.
+"""
 
 from __future__ import annotations
 
@@ -41,8 +44,11 @@ def outcome_totals(paths: DataFrame) -> DataFrame:
 
 
 def mutations(correlated: DataFrame, bad_below: float = DRIFT.quality_bad_abs) -> DataFrame:
+    return mutations_of(path_outcomes(correlated, bad_below))
+
+
+def mutations_of(paths: DataFrame) -> DataFrame:
     """Per path: bad rate, lift over the global bad rate, structural difference from the dominant path."""
-    paths = path_outcomes(correlated, bad_below)
     totals = outcome_totals(paths).select(F.struct("total", "bad", "dominant").alias("t")).scalar()
     t = F.col("_t")
     bad_rate = F.col("bad") / F.col("count")
@@ -81,8 +87,11 @@ def mutations(correlated: DataFrame, bad_below: float = DRIFT.quality_bad_abs) -
 
 
 def mutation_summary(correlated: DataFrame, bad_below: float = DRIFT.quality_bad_abs) -> DataFrame:
+    return mutation_summary_of(path_outcomes(correlated, bad_below))
+
+
+def mutation_summary_of(paths: DataFrame) -> DataFrame:
     """One row: total traces, global bad rate, dominant signature, number of harmful paths."""
-    paths = path_outcomes(correlated, bad_below)
     totals = outcome_totals(paths).select(F.struct("total", "bad", "dominant").alias("t")).scalar()
     t = F.col("_t")
     lift = F.round(F.try_divide(F.col("bad") / F.col("count"), t["bad"] / t["total"]), 3)

@@ -12,6 +12,8 @@ from spanloom.operators.steps import with_step
 
 # Upper bounds (seconds) of the duration histogram; the last bucket is open.
 DURATION_BOUNDS = (0.1, 0.5, 1.0, 5.0, 10.0, 30.0)
+# The same for the number of documents of a retrieval.
+DOCUMENT_BOUNDS = (0, 1, 3, 5, 10, 20)
 
 NANOS = 1_000_000_000.0
 
@@ -30,6 +32,8 @@ def measured_spans(spans: DataFrame) -> DataFrame:
         F.coalesce(t["db.collection.name"], unknown).alias("collection"),
         F.coalesce(t["rpc.method"], t["url.full"], unknown).alias("tool"),
         (F.col("status_code") != "ERROR").alias("success"),
+        # The attribute, else the message's first word.
+        F.coalesce(t["error.type"], F.nullif(F.substring_index("status_message", " ", 1), F.lit("")), unknown).alias("error_type"),
         "status_code",
         "duration_ns",
         (F.col("duration_ns") / F.lit(NANOS)).alias("seconds"),
@@ -97,12 +101,36 @@ def handoffs(measured: DataFrame) -> DataFrame:
     )
 
 
-def duration_histogram(measured: DataFrame) -> DataFrame:
-    """Steps per kind and duration bucket, by the bucket's upper bound (null is the open one)."""
-    bound = F.coalesce(
-        *[F.when(F.col("seconds") <= b, F.lit(b)) for b in DURATION_BOUNDS], F.lit(None).cast("double")
+def _bucket(value: str, bounds: tuple) -> Column:
+    """The smallest bound a value does not exceed; null above all of them."""
+    return F.coalesce(*[F.when(F.col(value) <= b, F.lit(b)) for b in bounds], F.lit(None))
+
+
+def _hour() -> Column:
+    return (floor_div(F.col("start_ms"), HOUR_MS) * HOUR_MS).alias("hour_ms")
+
+
+def duration_histogram(measured: DataFrame, kind: str | None, by: list[str], hourly: bool = True) -> DataFrame:
+    """Steps (of one kind) per dimensions, hour and duration bucket, by the bucket's upper bound (null is the open one)."""
+    steps = measured if kind is None else measured.where(F.col("kind") == kind)
+    hour = [_hour()] if hourly else []
+    return steps.groupBy(*by, *hour, _bucket("seconds", DURATION_BOUNDS).alias("seconds_up_to")).agg(
+        F.count("*").alias("count")
     )
-    return measured.groupBy("kind", bound.alias("seconds_up_to")).agg(F.count("*").alias("count"))
+
+
+def documents_histogram(measured: DataFrame) -> DataFrame:
+    """Retrievals per collection, hour and number of documents, by the bucket's upper bound (null is the open one)."""
+    found = measured.where(F.col("kind") == "RETRIEVE")
+    return found.groupBy("collection", _hour(), _bucket("documents", DOCUMENT_BOUNDS).alias("documents_up_to")).agg(
+        F.count("*").alias("count")
+    )
+
+
+def errors_by_type(measured: DataFrame) -> DataFrame:
+    """Failed steps per kind, model, agent, hour and type of error."""
+    failed = measured.where(~F.col("success"))
+    return failed.groupBy("kind", "model", "agent", "error_type", _hour()).agg(F.count("*").alias("errors"))
 
 
 def active_agents(measured: DataFrame, slice_ms: int = HOUR_MS) -> DataFrame:

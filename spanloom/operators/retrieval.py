@@ -1,12 +1,13 @@
 """Batch vector search by cosine distance, and text embedding with a pluggable embedder.
 
-Exact: every stored vector is compared with every query, as matrix products inside Arrow batches. Both ways keep the
-best k per query inside each task, so only k rows per query and task are shuffled, never the pairs.
+Exact: every stored vector is compared with every query, as matrix products of bounded blocks. Each block keeps the best k
+per query, so only k rows per query and block are shuffled, never the pairs. Distances are rounded to ``DIGITS`` places,
+so that vectors equally far tie by id however the products were summed.
 """
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,10 +17,10 @@ from pyspark.sql import functions as F
 
 from spanloom.operators.ordered import top_rows
 
-# Query vectors are broadcast only up to this many values (64 MiB as doubles).
-BROADCAST_VALUES = 8_388_608
-# Beyond it both sides are cut into blocks of about this many rows.
+# Both sides are cut into blocks of about this many rows, and a block is compared in slices of so many stored vectors.
 BLOCK_ROWS = 8_192
+SLICE_ROWS = 1_024
+DIGITS = 9
 
 RESULT = "query_id long, id long, distance double"
 
@@ -39,7 +40,11 @@ class _Best:
         self.distances = np.empty((len(query_ids), 0))
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        distances = np.hstack([self.distances, 1.0 - self.queries @ vectors.T])
+        for i in range(0, len(ids), SLICE_ROWS):
+            self._add(ids[i : i + SLICE_ROWS], vectors[i : i + SLICE_ROWS])
+
+    def _add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        distances = np.hstack([self.distances, np.round(1.0 - self.queries @ vectors.T, DIGITS)])
         candidates = np.hstack([self.ids, np.broadcast_to(ids, (len(self.query_ids), len(ids)))])
         order = np.lexsort((candidates, distances), axis=1)[:, : self.k]
         self.distances = np.take_along_axis(distances, order, axis=1)
@@ -61,25 +66,6 @@ def _ranked(partial: DataFrame, k: int) -> DataFrame:
     return top_rows(partial, ["query_id"], order, k)
 
 
-def nearest_by_broadcast(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """One pass over the vectors; the (size-checked) queries go to every task."""
-    local = queries.select("query_id", "embedding").toPandas()
-    if local.empty:
-        return vectors.sparkSession.createDataFrame([], RESULT)
-    shared = vectors.sparkSession.sparkContext.broadcast(
-        (local["query_id"].to_numpy(np.int64), _unit(local["embedding"]))
-    )
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = _Best(*shared.value, k)
-        for batch in batches:
-            if len(batch):
-                best.add(batch["id"].to_numpy(np.int64), _unit(batch["embedding"]))
-        yield best.frame()
-
-    return _ranked(vectors.select("id", "embedding").mapInPandas(search, RESULT), k)
-
-
 def nearest_by_blocks(
     vectors: DataFrame, queries: DataFrame, k: int, vector_blocks: int, query_blocks: int
 ) -> DataFrame:
@@ -107,17 +93,13 @@ def nearest_by_blocks(
     return _ranked(pairs.applyInPandas(search, RESULT), k)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 3, broadcast_values: int = BROADCAST_VALUES) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     """The k nearest vectors of each query: (query_id, id, distance).
 
-    ``vectors`` has (id, embedding), ``queries`` (query_id, embedding). The size of the query side decides the way.
+    ``vectors`` has (id, embedding), ``queries`` (query_id, embedding).
     """
-    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("embedding")), F.lit(0)).alias("values")).first()
-    if size["values"] <= broadcast_values:
-        return nearest_by_broadcast(vectors, queries, k)
-    query_blocks = -(-size["n"] // BLOCK_ROWS)
-    vector_blocks = max(1, -(-vectors.count() // BLOCK_ROWS))
-    return nearest_by_blocks(vectors, queries, k, vector_blocks, query_blocks)
+    asked, stored = (-(-df.count() // BLOCK_ROWS) for df in (queries, vectors))
+    return nearest_by_blocks(vectors, queries, k, max(1, stored), max(1, asked))
 
 
 def with_documents(hits: DataFrame, documents: DataFrame) -> DataFrame:
@@ -140,12 +122,12 @@ def embed(df: DataFrame, text: str, embedder: Callable[[], Embedder], name: str
 
 
 def hashing_embedder(dimensions: int = 64) -> Callable[[], Embedder]:
-    """Deterministic embedder for tests: words counted in hashed dimensions."""
+    """Deterministic embedder for tests: words counted in dimensions named by the first byte of their MD5 digest."""
 
     def one(text: str) -> list[float]:
         vector = [0.0] * dimensions
         for word in text.lower().split():
-            vector[zlib.crc32(word.encode()) % dimensions] += 1.0
+            vector[hashlib.md5(word.encode()).digest()[0] % dimensions] += 1.0
         return vector
 
     return lambda: lambda texts: [one(t) for t in texts]

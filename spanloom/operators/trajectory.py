@@ -104,8 +104,8 @@ def span_errors(spans: DataFrame) -> DataFrame:
     return spans.groupBy("trace_id").agg(F.count_if(F.col("status_code") == "ERROR").cast("int").alias("error_count"))
 
 
-def template_distribution(trajectories: DataFrame) -> DataFrame:
-    """Traces per signature with share and the columns of its earliest trace, most frequent first."""
+def template_counts(trajectories: DataFrame) -> DataFrame:
+    """Traces per signature with the columns of its earliest trace."""
     example = F.struct(
         "step_count",
         "llm_call_count",
@@ -114,10 +114,18 @@ def template_distribution(trajectories: DataFrame) -> DataFrame:
         "step_sequence",
         "step_sequence_detailed",
     )
-    per_signature = trajectories.groupBy(F.col("trajectory_signature").alias("signature")).agg(
+    return trajectories.groupBy(F.col("trajectory_signature").alias("signature")).agg(
         F.count("*").alias("count"),
         F.min_by(example, F.struct("start_ts_ms", "trace_id")).alias("example"),
     )
+
+
+def template_distribution(trajectories: DataFrame) -> DataFrame:
+    return distribution_of(template_counts(trajectories))
+
+
+def distribution_of(per_signature: DataFrame) -> DataFrame:
+    """``template_counts`` with each signature's share, most frequent first."""
     total = per_signature.agg(F.sum("count").alias("n")).scalar()
     return per_signature.select(
         "signature", "count", F.round(F.col("count") / total, 4).alias("share"), "example.*"

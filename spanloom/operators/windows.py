@@ -27,7 +27,7 @@ def _fold_all() -> list[Column]:
 
 
 def signature_slices(correlated: DataFrame, options: DriftOptions = DRIFT) -> DataFrame:
-    """Measures per (finest bucket, signature). The only pass over the traces, combined before it shuffles."""
+    """Measures per (finest bucket, signature): one pass over the traces, combined before it shuffles."""
     finest = reduce(gcd, (ms for _, ms in options.window_sizes))
     zero = F.lit(0.0)
     rows = correlated.where(F.coalesce("start_ts_ms", F.lit(0)) != 0).select(
@@ -74,6 +74,11 @@ def sized_distribution(slices: DataFrame, options: DriftOptions = DRIFT) -> Data
     ).agg(*_fold_all())
 
 
+def signature_windows(correlated: DataFrame, options: DriftOptions = DRIFT) -> DataFrame:
+    """The table everything about windows derives from. It is used several times over, so jobs write it once."""
+    return sized_distribution(signature_slices(correlated, options), options)
+
+
 WINDOW = ["window_size", "window_start_ms"]
 
 
@@ -160,8 +165,12 @@ def jensen_shannon(distribution: DataFrame, measures: DataFrame, bases: DataFram
 
 
 def drift_windows(correlated: DataFrame, options: DriftOptions = DRIFT) -> DataFrame:
-    """All window sizes: distribution, drift from the baseline window, signals and verdict (25 columns)."""
-    distribution = sized_distribution(signature_slices(correlated, options), options)
+    """All window sizes in one plan, for small tables; jobs put a written ``signature_windows`` in between."""
+    return drift_of(signature_windows(correlated, options), options)
+
+
+def drift_of(distribution: DataFrame, options: DriftOptions = DRIFT) -> DataFrame:
+    """Per window of ``signature_windows``: drift from the baseline window, signals and verdict (25 columns)."""
     measures = window_measures(distribution)
     bases = baselines(measures)
     wide = (

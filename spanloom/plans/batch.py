@@ -12,7 +12,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.operators import correlate, infra, ops_metrics, steps, trajectory, windows
+from spanloom.operators import correlate, infra, mutations, ops_metrics, retrieval, steps, trajectory, windows
 from spanloom.options import CorrelationOptions
 from spanloom.plans import bindings as b
 from spanloom.session import shared_folder
@@ -103,9 +103,21 @@ class Inputs:
             ),
         )
 
+    @property
+    def templates(self) -> DataFrame:
+        return self._table("template_counts", lambda: trajectory.template_counts(self.trajectories))
+
+    @property
+    def paths(self) -> DataFrame:
+        return self._table("path_outcomes", lambda: mutations.path_outcomes(self.correlated))
+
+    @property
+    def signature_windows(self) -> DataFrame:
+        return self._table("signature_windows", lambda: windows.signature_windows(self.correlated))
+
     @property
     def windows(self) -> DataFrame:
-        return self._table("analytics_windows", lambda: windows.drift_windows(self.correlated))
+        return self._table("analytics_windows", lambda: windows.drift_of(self.signature_windows))
 
     @property
     def measured(self) -> DataFrame:
@@ -114,3 +126,12 @@ class Inputs:
     @property
     def messages(self) -> DataFrame:
         return b.messages(self.table("conversations"))
+
+    @property
+    def embedded_messages(self) -> DataFrame:
+        """Messages embedded once; searches read the vectors from the table, however often they need them."""
+        key = (F.col("session_id").cast("bigint") * 1000 + F.col("turn_number")).alias("id")
+        messages = self.messages.select(key, "role", "content")
+        return self._table(
+            "embedded_messages", lambda: retrieval.embed(messages, "content", retrieval.hashing_embedder()).drop("content")
+        )

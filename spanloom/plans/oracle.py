@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from spanloom.functions.judge import NO_EVIDENCE, NO_REASONING, NO_REQUEST, NO_RESPONSE, PROMPT_TEMPLATE
 from spanloom.plans import bindings as b
+from spanloom.plans.reports import SUMMARY_PROMPT
 
 INGESTED = "'2024-01-02' as ingestion_date, 3 as ingestion_hour"
 
@@ -897,18 +898,50 @@ oracle(
     """select trace_id, quality_overall, gpu_contention_avg, step_count from correlated
     order by gpu_contention_avg desc, trace_id limit 3""",
 )
+SUMMARY_SQL = "'" + SUMMARY_PROMPT.replace("'", "''").replace("%s", "' || context || '") + "'"
 oracle(
     "fleet_summary",
     "correlated windows traj",
     f"""select n as total_traces, {rnd('q', 3)} as avg_quality, {rnd('c', 4)} as avg_contention, {rnd('h', 3)} as avg_hallucination,
-    u as unique_templates, a as alert_count, 'Traces analyzed: ' || n || chr(10) || 'Average quality: ' || {fmt('q', 2)} || '/5'
+    u as unique_templates, a as alert_count, context, {SUMMARY_SQL} as prompt, summary from (select *, 'Traces analyzed: ' || n || chr(10) || 'Average quality: ' || {fmt('q', 2)} || '/5'
     || chr(10) || 'Average hallucination score: ' || {fmt('h', 2)} || '/5' || chr(10) || 'Average GPU contention: ' || {fmt('c', 3)}
-    || chr(10) || 'Unique trajectory templates: ' || u || chr(10) || 'Correlation alerts: ' || a as context,
+    || chr(10) || 'Unique trajectory templates: ' || u || chr(10) || 'Traces per template: ' || dist || chr(10)
+    || 'Correlation alerts: ' || a || chr(10) || 'Kinds of alerts: ' || kinds || chr(10)
+    || 'Traces under the highest GPU contention:' || busiest as context,
     'Analytics summary (auto-generated): ' || n || ' traces analyzed. Avg quality: ' || {fmt('q', 2)} || '/5. Avg GPU contention: '
     || {fmt('c', 3)} || '. ' || a || ' correlation alerts detected.' as summary
     from (select count(*) as n, avg(quality_overall) as q, avg(gpu_contention_avg) as c, avg(quality_hallucination) as h,
     (select count(distinct trajectory_signature) from traj) as u,
-    (select count(*) from windows where correlation_flag <> 'normal') as a from correlated)""",
+    (select count(*) from windows where correlation_flag <> 'normal') as a,
+    (select '{{' || coalesce(string_agg('"' || s || '": ' || c, ', ' order by c desc, s), '') || '}}' from (
+      select trajectory_signature as s, count(*) as c from traj group by 1)) as dist,
+    (select '{{' || coalesce(string_agg('"' || f || '": "' || d || '"', ', ' order by rn), '') || '}}' from (
+      select correlation_flag as f, min(rn) as rn, last(correlation_details order by rn) as d from (select *,
+      row_number() over (order by window_start_ms, window_size) as rn from windows where correlation_flag <> 'normal')
+      where rn <= 5 group by 1)) as kinds,
+    (select string_agg(chr(10) || '  - trace ' || trace_id[1:12] || ': quality=' || {fmt('quality_overall', 1)} || ', gpu_contention='
+      || {fmt('gpu_contention_avg', 3)} || ', steps=' || step_count, '' order by gpu_contention_avg desc, trace_id) from (
+      select * from correlated order by gpu_contention_avg desc, trace_id limit 3)) as busiest from correlated))""",
+)
+
+oracle(
+    "trajectory_report",
+    "steps traj",
+    """select s.trace_id, span_id, span_kind, s.start_ts_ms, trajectory_signature, step_count from steps s
+    left join traj t on t.trace_id = s.trace_id where s.trace_id = (select min(trace_id) from traj)""",
+)
+oracle(
+    "quality_report",
+    "quality traj",
+    "select trace_id, overall, start_ts_ms from quality where trace_id = (select min(trace_id) from traj)",
+)
+oracle("correlated_report", "correlated", "select * exclude (ingestion_date, ingestion_hour) from correlated")
+oracle("window_report", "windows", "select * from windows where window_size = '1h'")
+oracle(
+    "gpu_report_one_device",
+    "gpu",
+    """select timestamp_ms, node_id, gpu_id, contention_index from (select *, row_number() over (order by timestamp_ms, node_id,
+    gpu_id) as rn from gpu where gpu_id = 'gpu-0') where (rn - 1) % 2 = 0""",
 )
 
 # --- operational metrics ---
@@ -965,6 +998,33 @@ oracle(
     when seconds <= 5e0 then 5e0 when seconds <= 10e0 then 10e0 when seconds <= 30e0 then 30e0 end as seconds_up_to,
     count(*) as count from measured group by all""",
 )
+SECONDS_UP_TO = """case when seconds <= 0.1e0 then 0.1e0 when seconds <= 0.5e0 then 0.5e0 when seconds <= 1e0 then 1e0
+when seconds <= 5e0 then 5e0 when seconds <= 10e0 then 10e0 when seconds <= 30e0 then 30e0 end as seconds_up_to"""
+HOUR = "start_ms // 3600000 * 3600000 as hour_ms"
+for metric, step_kind, dimensions in (
+    ("model", "REASON", "model, agent"),
+    ("retrieval", "RETRIEVE", "collection"),
+    ("tool", "TOOL", "tool, success"),
+    ("workflow", "ENTRY", "status_code"),
+):
+    oracle(
+        f"{metric}_duration_histogram",
+        "measured",
+        f"select {dimensions}, {HOUR}, {SECONDS_UP_TO}, count(*) as count from measured where kind = '{step_kind}' group by all",
+    )
+oracle(
+    "retrieved_documents_histogram",
+    "measured",
+    f"""select collection, {HOUR}, cast(case when k % 6 <= 1 then k % 6 when k % 6 <= 3 then 3 else 5 end as integer)
+    as documents_up_to, count(*) as count from measured where kind = 'RETRIEVE' group by all""",
+)
+oracle(
+    "errors_by_type",
+    "measured",
+    f"""select kind, case when kind = 'REASON' then model else 'unknown' end as model, case when kind in ('AGENT', 'REASON')
+    then agent else 'default' end as agent, split_part(status_message, ' ', 1) as error_type, {HOUR}, count(*) as errors
+    from measured where not success group by all""",
+)
 oracle(
     "latency_percentiles",
     "spans",
@@ -1015,6 +1075,17 @@ select query_id, id, label, {rnd('d', 5)} as distance from (select *, row_number
 from (select q.vec_id as query_id, v.vec_id as id, v.label, 1 - list_dot_product(q.e, v.e)
   / sqrt(list_dot_product(q.e, q.e) * list_dot_product(v.e, v.e)) as d from v q, v)) where rn <= 3"""
 
+ORACLES["nearest_messages"] = f"""with m as (select conv_id * 1000 + turn as id, role, text from conversations),
+words as (select id, cast('0x' || substr(md5(w), 1, 2) as integer) % 64 as dim from (
+  select id, unnest(regexp_split_to_array(trim(lower(text)), '\\s+')) as w from m) where w <> ''),
+v as (select id, any_value(role) as role, list_transform(range(64), lambda d: cast(len(list_filter(l, lambda x: x = d)) as double))
+  as e from (select m.id, m.role, list(words.dim) filter (words.dim is not null) as l from m left join words on words.id = m.id
+  group by all) group by id, l)
+select query_id, id, {rnd('d', 5)} as distance from (select *, row_number() over (partition by query_id order by d, id) as rn
+from (select q.id as query_id, v.id, round(1 - coalesce(list_dot_product(q.e, v.e)
+  / nullif(sqrt(list_dot_product(q.e, q.e) * list_dot_product(v.e, v.e)), 0e0), 0e0), 9) as d
+  from v q, v where q.role = 'user' and v.role = 'assistant')) where rn <= 3"""
+
 # --- upsert and streams ---
 
 ORACLES["upsert_current"] = """select o_custkey, o_orderkey, o_totalprice from (select *, row_number() over (
@@ -1036,14 +1107,15 @@ oracle(
 )
 
 
-def _backfill() -> str:
-    """The windows again, over the decodable messages only and with the rule judge's scores."""
+def _streamed(names: str, select: str) -> str:
+    """A statement over the decodable messages only and with the rule judge's scores."""
     original = dict(CTES)
     CTES["spans"] = (("keyed",), f"{original['spans'][1]} where k <> {b.BROKEN_MESSAGE_K}")
     CTES["correlated"] = (("traj", "judged", "pods", "gpu_side", "net_side"), correlated_sql("judged"))
-    statement = using("windows", "select * from windows")
+    statement = using(names, select)
     CTES.update(original)
     return statement
 
 
-ORACLES["stream_backfill"] = _backfill()
+ORACLES["stream_backfill"] = _streamed("windows", "select * from windows")
+ORACLES["stream_in_batches"] = _streamed("correlated", "select * exclude (ingestion_date, ingestion_hour) from correlated")

@@ -151,7 +151,7 @@ def trajectories(spark, sf_dir):
 
 @query
 def template_distribution(spark, sf_dir):
-    return trajectory.template_distribution(Inputs(spark, sf_dir).trajectories)
+    return trajectory.distribution_of(Inputs(spark, sf_dir).templates)
 
 
 @query
@@ -441,8 +441,7 @@ def drift_windows(spark, sf_dir):
 @query
 def signature_distribution(spark, sf_dir):
     """Count and probability of each signature per window of every size."""
-    slices = windows.signature_slices(Inputs(spark, sf_dir).correlated)
-    dist = windows.sized_distribution(slices)
+    dist = Inputs(spark, sf_dir).signature_windows
     totals = dist.groupBy(*windows.WINDOW).agg(F.sum("n").alias("total"))
     return dist.join(totals, windows.WINDOW).select(
         *windows.WINDOW, "signature", "n", F.round(F.col("n") / F.col("total"), 6).alias("probability")
@@ -479,17 +478,17 @@ def first_alerts(spark, sf_dir):
 
 @query
 def path_mutations(spark, sf_dir):
-    return mutations.mutations(Inputs(spark, sf_dir).correlated)
+    return mutations.mutations_of(Inputs(spark, sf_dir).paths)
 
 
 @query
 def mutation_summary(spark, sf_dir):
-    return mutations.mutation_summary(Inputs(spark, sf_dir).correlated)
+    return mutations.mutation_summary_of(Inputs(spark, sf_dir).paths)
 
 
 @query
 def worst_mutation(spark, sf_dir):
-    return mutations.worst_mutation(mutations.mutations(Inputs(spark, sf_dir).correlated)).select(
+    return mutations.worst_mutation(mutations.mutations_of(Inputs(spark, sf_dir).paths)).select(
         "signature", "bad_rate", "count", "lift", "why"
     )
 
@@ -527,7 +526,43 @@ def highest_contention(spark, sf_dir):
 @query
 def fleet_summary(spark, sf_dir):
     i = Inputs(spark, sf_dir)
-    return reports.fleet_summary(i.correlated, i.windows, i.trajectories)
+    return reports.fleet_summary(i.correlated, i.windows, i.templates)
+
+
+def _first_trace(i: Inputs):
+    """The smallest trace id, for the reports about one trace."""
+    return i.trajectories.agg(F.min("trace_id")).scalar()
+
+
+@query
+def trajectory_report(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return reports.trajectory_detail(i.steps, i.trajectories, _first_trace(i)).select(
+        "trace_id", "span_id", "span_kind", "start_ts_ms", "trajectory_signature", "step_count"
+    )
+
+
+@query
+def quality_report(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return reports.quality_detail(i.quality, _first_trace(i)).select("trace_id", "overall", "start_ts_ms")
+
+
+@query
+def correlated_report(spark, sf_dir):
+    return reports.correlated_traces(Inputs(spark, sf_dir).correlated).drop("ingestion_date", "ingestion_hour")
+
+
+@query
+def window_report(spark, sf_dir):
+    """The windows of one size."""
+    return reports.windows(Inputs(spark, sf_dir).windows, "1h")
+
+
+@query
+def gpu_report_one_device(spark, sf_dir):
+    series = reports.gpu_series(Inputs(spark, sf_dir).gpu, gpu_id="gpu-0", every=2)
+    return series.select("timestamp_ms", "node_id", "gpu_id", "contention_index")
 
 
 # --- operational metrics ---
@@ -570,7 +605,37 @@ def active_agents(spark, sf_dir):
 
 @query
 def duration_histogram(spark, sf_dir):
-    return ops_metrics.duration_histogram(Inputs(spark, sf_dir).measured)
+    return ops_metrics.duration_histogram(Inputs(spark, sf_dir).measured, None, ["kind"], hourly=False)
+
+
+@query
+def model_duration_histogram(spark, sf_dir):
+    return ops_metrics.duration_histogram(Inputs(spark, sf_dir).measured, "REASON", ["model", "agent"])
+
+
+@query
+def retrieval_duration_histogram(spark, sf_dir):
+    return ops_metrics.duration_histogram(Inputs(spark, sf_dir).measured, "RETRIEVE", ["collection"])
+
+
+@query
+def tool_duration_histogram(spark, sf_dir):
+    return ops_metrics.duration_histogram(Inputs(spark, sf_dir).measured, "TOOL", ["tool", "success"])
+
+
+@query
+def workflow_duration_histogram(spark, sf_dir):
+    return ops_metrics.duration_histogram(Inputs(spark, sf_dir).measured, "ENTRY", ["status_code"])
+
+
+@query
+def retrieved_documents_histogram(spark, sf_dir):
+    return ops_metrics.documents_histogram(Inputs(spark, sf_dir).measured)
+
+
+@query
+def errors_by_type(spark, sf_dir):
+    return ops_metrics.errors_by_type(Inputs(spark, sf_dir).measured)
 
 
 @query
@@ -627,17 +692,12 @@ def nearest_vectors(spark, sf_dir):
 
 @query
 def nearest_messages(spark, sf_dir):
-    """Assistant answers nearest to each user message, by the hashing embedder (no SQL equivalent)."""
-    embedded = retrieval.embed(
-        Inputs(spark, sf_dir).messages.withColumn(
-            "id", F.col("session_id").cast("bigint") * 1000 + F.col("turn_number")
-        ),
-        "content",
-        retrieval.hashing_embedder(),
-    )
+    """Assistant answers nearest to each user message, by the hashing embedder."""
+    embedded = Inputs(spark, sf_dir).embedded_messages
     answers = embedded.where(F.col("role") == "assistant").select("id", "embedding")
     asked = embedded.where(F.col("role") == "user").select(F.col("id").alias("query_id"), "embedding")
-    return retrieval.nearest(answers, asked)
+    hits = retrieval.nearest(answers, asked)
+    return hits.select("query_id", "id", F.round("distance", 5).alias("distance"))
 
 
 # --- upsert and streams ---
@@ -709,3 +769,24 @@ def stream_backfill(spark, sf_dir):
     chain = jobs.Pipeline(folder=f"{folder}/tables", trigger=None, correlation=SPARSE)
     jobs.run_to_end(spark, chain, f"{folder}/messages", f"{folder}/gpu", f"{folder}/network")
     return tables.scan(spark, chain.path("analytics_windows"), schemas.ANALYTICS_WINDOWS)
+
+
+@query
+def stream_in_batches(spark, sf_dir):
+    """The spans of every trace land in four sets of files, children before their parents; the whole chain runs after two of
+    them and again after all.
+
+    What comes out in the end are the correlated traces of the batch form: late entry spans retract calls, and every table
+    replaces what it said about a trace before.
+    """
+    i = Inputs(spark, sf_dir)
+    folder = scratch(spark)
+    i.gpu.write.json(f"{folder}/gpu")
+    i.network.write.json(f"{folder}/network")
+    chain = jobs.Pipeline(folder=f"{folder}/tables", trigger=None, correlation=SPARSE)
+    for parts in ((3, 1), (2, 0)):
+        for part in parts:
+            landed = i.landed_messages.where(F.col("event_id") % 4 == part).select("value")
+            landed.write.mode("append").text(f"{folder}/messages")
+        jobs.run_to_end(spark, chain, f"{folder}/messages", f"{folder}/gpu", f"{folder}/network")
+    return jobs.current(spark, chain, "trace_correlated").drop("ingestion_date", "ingestion_hour")

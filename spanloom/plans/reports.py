@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -184,40 +186,98 @@ def highest_contention(correlated: DataFrame, limit: int = 3) -> DataFrame:
     )
 
 
-def fleet_summary(correlated: DataFrame, analytics_windows: DataFrame, trajectories: DataFrame) -> DataFrame:
-    """One row of fleet numbers with a context text for a language model and the sentence used without one."""
+SUMMARY_PROMPT = (
+    "You review a fleet of agents. From the numbers below, say in three to five short sentences how good the answers are, "
+    "whether paths are stable, whether contention harms quality, and what to do.\n\n%s\n\nSummary:"
+)
+
+
+def _template_text(templates: DataFrame) -> Column:
+    """Number of templates, and all of them as a JSON object in order of frequency: one short entry per template."""
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("rank"), "signature")))
+    entries = F.transform(ranked, lambda t: F.format_string('"%s": %d', t["signature"], -t["rank"]))
+    text = F.concat(F.lit("{"), F.array_join(entries, ", "), F.lit("}"))
+    return templates.agg(F.struct(F.count("*").alias("n"), text.alias("text")).alias("t")).scalar()
+
+
+def _alert_text(analytics_windows: DataFrame) -> Column:
+    """The kinds among the first five alerts as a JSON object, each with the details of its last one."""
+    first = first_alerts(analytics_windows)
+    order = F.struct("window_start_ms", "window_size", F.col("correlation_flag").alias("flag"), F.col("correlation_details").alias("d"))
+    listed = F.array_sort(F.collect_list(order))
+    kinds = F.array_distinct(F.transform(listed, lambda a: a["flag"]))
+    entry = F.transform(
+        kinds,
+        lambda kind: F.format_string('"%s": "%s"', kind, F.element_at(F.filter(listed, lambda a: a["flag"] == kind), -1)["d"]),
+    )
+    return first.agg(F.concat(F.lit("{"), F.array_join(entry, ", "), F.lit("}")).alias("text")).scalar()
+
+
+def _contention_text(correlated: DataFrame) -> Column:
+    top = highest_contention(correlated)
+    ranked = F.array_sort(
+        F.collect_list(F.struct((-F.col("gpu_contention_avg")).alias("rank"), "trace_id", "quality_overall", "step_count"))
+    )
+    lines = F.transform(
+        ranked,
+        lambda r: F.format_string(
+            "\n  - trace %s: quality=%.1f, gpu_contention=%.3f, steps=%d",
+            F.substring(r["trace_id"], 1, 12), r["quality_overall"], -r["rank"], r["step_count"],
+        ),
+    )
+    return top.agg(F.array_join(lines, "").alias("text")).scalar()
+
+
+def fleet_summary(
+    correlated: DataFrame, analytics_windows: DataFrame, templates: DataFrame, model: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    """One row of fleet numbers with a context text, the prompt for a language model, and its answer as the summary.
+
+    ``templates`` is ``trajectory.template_counts``. ``model`` gives the answer to a prompt column (a pandas UDF, say);
+    without one, or where it gives null, the summary is a fixed sentence.
+    """
 
     def mean(column: str) -> Column:
         return F.coalesce(F.avg(column), F.lit(0.0))
 
     alert_count = analytics_windows.agg(F.count_if(F.col("correlation_flag") != "normal").alias("n")).scalar()
-    templates = trajectories.agg(F.count_distinct("trajectory_signature").alias("n")).scalar()
     stats = correlated.agg(
         F.count("*").alias("total_traces"),
         mean("quality_overall").alias("q"),
         mean("gpu_contention_avg").alias("c"),
         mean("quality_hallucination").alias("h"),
-    ).select("*", templates.alias("unique_templates"), alert_count.alias("alert_count"))
+    ).select(
+        "*",
+        _template_text(templates).alias("t"),
+        alert_count.alias("alert_count"),
+        _alert_text(analytics_windows).alias("alert_types"),
+        _contention_text(correlated).alias("busiest"),
+    )
+    stats = stats.withColumn("unique_templates", F.col("t.n"))
     q, c, h = F.col("q"), F.col("c"), F.col("h")
     context = F.format_string(
         "Traces analyzed: %d\nAverage quality: %.2f/5\nAverage hallucination score: %.2f/5\n"
-        "Average GPU contention: %.3f\nUnique trajectory templates: %d\nCorrelation alerts: %d",
-        "total_traces", q, h, c, "unique_templates", "alert_count",
+        "Average GPU contention: %.3f\nUnique trajectory templates: %d\nTraces per template: %s\nCorrelation alerts: %d\n"
+        "Kinds of alerts: %s\nTraces under the highest GPU contention:%s",
+        "total_traces", q, h, c, "unique_templates", "t.text", "alert_count", "alert_types", "busiest",
     )
+    prompt = F.format_string(SUMMARY_PROMPT, "context")
     sentence = F.format_string(
         "Analytics summary (auto-generated): %d traces analyzed. Avg quality: %.2f/5. "
         "Avg GPU contention: %.3f. %d correlation alerts detected.",
         "total_traces", q, c, "alert_count",
     )
-    return stats.select(
+    answered = stats.withColumn("context", context).withColumn("prompt", prompt)
+    return answered.select(
         "total_traces",
         F.round(q, 3).alias("avg_quality"),
         F.round(c, 4).alias("avg_contention"),
         F.round(h, 3).alias("avg_hallucination"),
         "unique_templates",
         "alert_count",
-        context.alias("context"),
-        sentence.alias("summary"),
+        "context",
+        "prompt",
+        (F.coalesce(model(F.col("prompt")), sentence) if model else sentence).alias("summary"),
     )
 
 

@@ -20,7 +20,7 @@ from spanloom.operators.otlp import flatten, undecodable
 from spanloom.operators.scoring import JudgeFactory, evaluate, rule_judge
 from spanloom.operators.steps import agent_steps, before_lookback, impacted_traces, of_traces, within_lookback
 from spanloom.operators.trajectory import trajectories
-from spanloom.operators.windows import drift_windows
+from spanloom.operators.windows import drift_of, signature_windows
 from spanloom.options import CORRELATION, DRIFT, ROUTING, STEPS, CorrelationOptions, DriftOptions, RoutingOptions, StepOptions
 from spanloom.sources import changelog, tables
 
@@ -74,20 +74,21 @@ def _log(spark: SparkSession, chain: Pipeline, table: str) -> DataFrame:
 BY_TRACE = ("agent_steps", "trajectory_templates", "quality_scores", "trace_correlated")
 
 
-def _current(spark: SparkSession, chain: Pipeline, table: str) -> DataFrame:
+def current(spark: SparkSession, chain: Pipeline, table: str) -> DataFrame:
+    """What a table says now: the newest row per key, or all rows of a trace's newest batch."""
     schema, keys = schemas.TABLES[table]
     log = changelog.read_log(spark, chain.path(table), schema)
     return changelog.current_by_trace(log) if table in BY_TRACE else changelog.current(log, keys)
 
 
 def current_steps(spark: SparkSession, chain: Pipeline) -> DataFrame:
-    return _current(spark, chain, "agent_steps")
+    return current(spark, chain, "agent_steps")
 
 
 def current_routing(spark: SparkSession, chain: Pipeline, traces: DataFrame) -> DataFrame:
     """Routed calls of some traces that are still among their steps (a late entry span can retract a call)."""
     steps = of_traces(current_steps(spark, chain), traces).select("trace_id", "span_id")
-    return of_traces(_current(spark, chain, "request_routing"), traces).join(steps, ["trace_id", "span_id"], "left_semi")
+    return of_traces(current(spark, chain, "request_routing"), traces).join(steps, ["trace_id", "span_id"], "left_semi")
 
 
 def _changes(spark: SparkSession, chain: Pipeline, table: str) -> DataFrame:
@@ -146,7 +147,7 @@ def start_quality(spark: SparkSession, chain: Pipeline) -> StreamingQuery:
 def start_routing(spark: SparkSession, chain: Pipeline) -> StreamingQuery:
     def work(batch: DataFrame, batch_id: int) -> None:
         steps = of_traces(current_steps(spark, chain), impacted_traces(batch))
-        gpus = _current(spark, chain, "gpu_metrics")
+        gpus = current(spark, chain, "gpu_metrics")
         _write(route_calls(steps, gpus, options=chain.routing), chain, "request_routing", batch_id)
 
     return start(_changes(spark, chain, "agent_steps"), "routing", work, chain)
@@ -181,13 +182,13 @@ def start_correlated(spark: SparkSession, chain: Pipeline) -> StreamingQuery:
 
     def work(batch: DataFrame, batch_id: int) -> None:
         traces = impacted_traces(batch)
-        paths = of_traces(_current(spark, chain, "trajectory_templates"), traces)
+        paths = of_traces(current(spark, chain, "trajectory_templates"), traces)
         rows = correlate(
             paths,
-            of_traces(_current(spark, chain, "quality_scores"), traces),
+            of_traces(current(spark, chain, "quality_scores"), traces),
             current_routing(spark, chain, traces),
-            in_time_range(_current(spark, chain, "gpu_metrics"), paths, chain.correlation),
-            in_time_range(_current(spark, chain, "network_metrics"), paths, chain.correlation),
+            in_time_range(current(spark, chain, "gpu_metrics"), paths, chain.correlation),
+            in_time_range(current(spark, chain, "network_metrics"), paths, chain.correlation),
             options=chain.correlation,
         )
         _write(rows, chain, "trace_correlated", batch_id)
@@ -199,8 +200,10 @@ def start_windows(spark: SparkSession, chain: Pipeline) -> StreamingQuery:
     """Full recompute of the small window table per trigger."""
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        rows = drift_windows(_current(spark, chain, "trace_correlated"), chain.drift)
-        tables.overwrite(rows, chain.path("analytics_windows"))
+        # Written first, so that the history of correlated traces is read once per trigger.
+        folder = chain.path("signature_windows")
+        tables.overwrite(signature_windows(current(spark, chain, "trace_correlated"), chain.drift), folder)
+        tables.overwrite(drift_of(spark.read.parquet(folder), chain.drift), chain.path("analytics_windows"))
 
     return start(_changes(spark, chain, "trace_correlated"), "windows", work, chain)
 

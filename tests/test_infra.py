@@ -105,10 +105,17 @@ def test_nearest_ways_agree(spark):
     rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(200)]
     vectors = spark.createDataFrame(rows, "id BIGINT, embedding ARRAY<FLOAT>")
     queries = vectors.where("id < 30").withColumnRenamed("id", "query_id")
-    by_broadcast = {(r["query_id"], r["id"]) for r in retrieval.nearest(vectors, queries).collect()}
+    in_one = {(r["query_id"], r["id"]) for r in retrieval.nearest(vectors, queries).collect()}
     by_blocks = {(r["query_id"], r["id"]) for r in retrieval.nearest_by_blocks(vectors, queries, 3, 5, 4).collect()}
-    assert by_broadcast == by_blocks and len(by_blocks) == 90
-    assert retrieval.nearest(vectors, queries, broadcast_values=10).count() == 90
+    assert in_one == by_blocks and len(by_blocks) == 90
+
+
+def test_nearest_compares_large_blocks_in_slices(spark):
+    """More stored vectors than a slice holds; copies tie by id."""
+    vectors = spark.range(5000).selectExpr("id", "array(cast(id % 7 as float), cast(1 as float)) as embedding")
+    queries = vectors.where("id < 7").withColumnRenamed("id", "query_id")
+    got = {(r["query_id"], r["id"]) for r in retrieval.nearest(vectors, queries).collect()}
+    assert got == {(q, q + 7 * i) for q in range(7) for i in range(3)}
 
 
 def test_sessions(spark):

@@ -26,3 +26,47 @@ def test_classification_parses_tags_once(spark):
     spans = spark.createDataFrame([], schemas.SPANS)
     plan = classified(spans)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("from_json(") <= 1 and "Exchange" not in plan
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_pass_over_the_traces(spark, tmp_path):
+    """Windows, paths and templates read their input once and shuffle it only after partial aggregation."""
+    from spanloom import schemas
+    from spanloom.operators import mutations, trajectory, windows
+
+    for ddl, build in (
+        (schemas.CORRELATED, windows.signature_windows),
+        (schemas.CORRELATED, mutations.path_outcomes),
+        (schemas.TRAJECTORIES, trajectory.template_counts),
+    ):
+        path = f"{tmp_path}/{build.__name__}"
+        spark.createDataFrame([], ddl).write.parquet(path)
+        plan = _plan(build(spark.read.parquet(path)))
+        assert plan.count("FileScan") == 1 and plan.index("partial_") > 0
+        assert plan.count("Exchange hashpartitioning") <= 2 and "Window" not in plan
+
+
+def test_steps_and_correlation_without_cross_join(spark, tmp_path):
+    from spanloom import schemas
+    from spanloom.operators import correlate, steps
+
+    def empty(name, ddl):
+        path = f"{tmp_path}/{name}"
+        spark.createDataFrame([], ddl).write.parquet(path)
+        return spark.read.parquet(path)
+
+    plans = [
+        _plan(steps.agent_steps(empty("spans", schemas.SPANS))),
+        _plan(
+            correlate.correlate(
+                empty("paths", schemas.TRAJECTORIES), empty("quality", schemas.QUALITY), empty("routing", schemas.ROUTING),
+                empty("gpu", schemas.GPU_METRICS), empty("network", schemas.NETWORK_METRICS),
+            )
+        ),
+    ]
+    for plan in plans:
+        for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+            assert operator not in plan

@@ -143,9 +143,9 @@ def test_late_session_replaces_the_trace_everywhere(spark, chain):
     (landing / "2.json").write_text(message(span("aa", "01", "", 100, http__route="/chat", session__id="s1")) + "\n")
     jobs.run_to_end(spark, pipeline, str(landing), str(others), str(others))
     for table in ("trajectory_templates", "quality_scores", "trace_correlated"):
-        rows = jobs._current(spark, pipeline, table).collect()
+        rows = jobs.current(spark, pipeline, table).collect()
         assert [(r["trace_id"], r["session_id"]) for r in rows] == [("aa", "s1")], table
-    traces = jobs._current(spark, pipeline, "trajectory_templates").select("trace_id")
+    traces = jobs.current(spark, pipeline, "trajectory_templates").select("trace_id")
     assert jobs.current_routing(spark, pipeline, traces).count() == 0
 
 
