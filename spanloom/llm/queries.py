@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm import bpe, decontaminate, factor_dedup, language, line_chunks, minhash, page_difference, set_join, sharding, toxicity
@@ -15,6 +15,8 @@ from spanloom.llm.tables import small_batches, table, written
 SHARDS = 24
 # Rows of one slice of ids in the fingerprint query hold about so many bytes of text.
 SLICE_BYTES = 8 << 20
+# Slices whose order one task finds: half a TB of text.
+SECTION_SLICES = 1 << 16
 
 
 def tokenizer_file(name: str) -> str:
@@ -60,57 +62,71 @@ def op4_factor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Slices of ids with their rows, each also holding the first row of the next slice (``after``; the last one's is the first)."""
+    """Slices of ids with their rows, each also holding the first row of the next slice (``after``; the last one's is the first).
+
+    Rows without an id are not part of the order and left out.
+    """
+    docs = docs.where("doc_id IS NOT NULL")
     stats = docs.agg(F.count("doc_id"), F.sum(F.octet_length("text")), F.min("doc_id"), F.max("doc_id")).first()
-    # Slices are fixed ranges of ids, so that a slice never has more rows than its width, whatever the gaps.
+    # Slices are fixed ranges of ids, so that a slice never has more ids than its width, whatever the gaps.
     width = max(1, (stats[0] or 0) * SLICE_BYTES // max(1, stats[1] or 0))
     low = stats[2] or 0
     sliced = docs.withColumn("slice", F.expr(f"(doc_id - {low}) div {width}"))
     firsts = written(sliced.groupBy("slice").agg(F.min("doc_id").alias("doc_id")), "slices")
-    # One row per slice: which slice comes before.
-    from pyspark.sql import Window
-
-    order = Window.orderBy("slice")
-    ends = firsts.select(
-        "doc_id", F.coalesce(F.lag("slice").over(order), F.max("slice").over(Window.partitionBy())).alias("before")
+    # The slice before: within a section of slices, else the last one of the section before, else the last of all.
+    sectioned = firsts.withColumn("section", F.expr(f"slice div {SECTION_SLICES}"))
+    order, sections = Window.partitionBy("section").orderBy("slice"), Window.orderBy("section")
+    last = sectioned.groupBy("section").agg(F.max("slice").alias("last"))
+    entered = last.select("section", F.coalesce(F.lag("last").over(sections), F.max("last").over(Window.partitionBy())).alias("entered"))
+    ends = sectioned.withColumn("inner", F.lag("slice").over(order)).join(entered, "section").select(
+        "doc_id", F.coalesce("inner", "entered").alias("before")
     )
     heads = docs.join(ends, "doc_id").select("doc_id", "text", F.col("before").alias("slice"), F.lit(True).alias("after"))
     return sliced.select("doc_id", "text", "slice", F.lit(False).alias("after")).union(heads)
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of one id follow each other in order of their texts; a row without an id is its own next document."""
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ddl = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
-    def compare(rows: pa.Table) -> pa.Table:
-        # The row after this slice comes last, even if its id is the smallest of all.
-        rows = rows.sort_by([("after", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
-        inside = rows["after"].to_pylist().count(False)
-        texts = rows["text"].to_pylist()[: inside + 1]
-        edited = []
-        for own, following in zip(texts[:inside], texts[1 : inside + 1] or texts, strict=True):
-            cut = len(own) // 4
-            edited.append(own[: len(own) - cut] + following[:cut])
+    def compared(ids: pa.ChunkedArray | pa.Array, texts: list[str], following: list[str]) -> pa.Table:
+        edited = [t[: len(t) - len(t) // 4] + n[: len(t) // 4] for t, n in zip(texts, following, strict=True)]
         permutations = minhash.Permutations()
-        signs = minhash.signatures(pa.array(texts, pa.string()), permutations)
+        # Where the next text is the next row's, it is signed once.
+        chained = following[:-1] == texts[1:]
+        every = minhash.signatures(pa.array([*texts, *(following[-1:] if chained else following)], pa.string()), permutations)
         changed = minhash.signatures(pa.array(edited, pa.string()), permutations)
-        own = signs[:inside]
+        own, after = every[: len(texts)], every[1:] if chained else every[len(texts) :]
         return pa.table(
             [
-                rows["doc_id"].slice(0, inside),
-                pa.array([len(t) for t in texts[:inside]], pa.int64()),
+                ids.cast(pa.int64()),
+                pa.array([len(t) for t in texts], pa.int64()),
                 pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
                 minhash.hexed(own),
                 minhash.hexed(changed),
                 pa.array((own == changed).mean(axis=1), pa.float64()),
-                pa.array((own == signs[1 : inside + 1]).mean(axis=1), pa.float64()),
+                pa.array((own == after).mean(axis=1), pa.float64()),
             ],
             names=names,
         )
 
-    return with_next(docs).groupBy("slice").applyInArrow(compare, ddl)
+    def compare(rows: pa.Table) -> pa.Table:
+        # The row after this slice comes last, even if its id is the smallest of all.
+        rows = rows.sort_by([("after", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
+        inside = rows["after"].to_pylist().count(False)
+        texts = rows["text"].to_pylist()
+        return compared(rows["doc_id"].slice(0, inside), texts[:inside], texts[1 : inside + 1])
+
+    def alone(batches):
+        for b in batches:
+            texts = b["text"].to_pylist()
+            yield from (compared(b["doc_id"], texts, texts).to_batches() if texts else ())
+
+    without_id = docs.where("doc_id IS NULL").mapInArrow(alone, ddl)
+    return with_next(docs).groupBy("slice").applyInArrow(compare, ddl).union(without_id)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

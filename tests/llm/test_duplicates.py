@@ -124,20 +124,33 @@ def test_signatures_estimate_similarity():
     assert (s[0] == s[2]).all() and (s[3] == s[4]).all() and (s[4] != s[5]).any()
 
 
-def test_fingerprint_query(spark, rows, tmp_path):
-    table = [(i, t) for i, t in {r[0]: r[1] for r in rows if r[0] is not None}.items()]
+@pytest.mark.parametrize("sections", [1, 1 << 16])
+def test_fingerprint_query(spark, rows, tmp_path, monkeypatch, sections):
+    monkeypatch.setattr(q, "SLICE_BYTES", 20_000)
+    monkeypatch.setattr(q, "SECTION_SLICES", sections)
+    table = [(i, t) for i, t, *_ in rows]
     spark.createDataFrame(table, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r for r in q.op5_minhash(spark, str(tmp_path)).collect()}
-    order = sorted(table)
-    assert len(got) == len(order)
-    for at, (i, t) in enumerate(order):
-        t, following = t or "", order[(at + 1) % len(order)][1] or ""
-        cut = len(t) // 4
-        edited = t[: len(t) - cut] + following[:cut]
-        assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert got[i]["n_chars"] == len(t)
-        true = len(shingles(t) & shingles(edited)) / len(shingles(t) | shingles(edited)) if shingles(t) | shingles(edited) else 1
-        assert abs(got[i]["near_edited"] - true) < 0.2
+    order = sorted((i, t or "") for i, t in table if i is not None)
+    expected = [(i, t, order[(at + 1) % len(order)][1]) for at, (i, t) in enumerate(order)]
+    expected += [(None, t or "", t or "") for i, t in table if i is None]
+    edited = [t[: len(t) - len(t) // 4] + n[: len(t) // 4] for _, t, n in expected]
+    got = q.op5_minhash(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == Counter(
+        (i, len(t), hashlib.sha256(e.encode()).hexdigest()) for (i, t, _), e in zip(expected, edited, strict=True)
+    )
+    found = {(r["doc_id"], r["edited_sha256"]): r for r in got}
+    for (i, t, following), e in zip(expected, edited, strict=True):
+        row = found[i, hashlib.sha256(e.encode()).hexdigest()]
+        for other, name in ((e, "near_edited"), (following, "near_next")):
+            both = shingles(t) | shingles(other)
+            assert abs(row[name] - (len(shingles(t) & shingles(other)) / len(both) if both else 1)) < 0.2
+
+
+def test_fingerprint_query_of_one_and_of_no_document(spark, tmp_path):
+    for name, table in (("one", [(7, "some words stand here alone")]), ("none", [])):
+        spark.createDataFrame(table, "doc_id bigint, text string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got = q.op5_minhash(spark, f"{tmp_path}/{name}").collect()
+        assert [(r["doc_id"], r["near_next"]) for r in got] == [(i, 1.0) for i, _ in table]
 
 
 def expected_lines(rows):
