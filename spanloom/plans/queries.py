@@ -704,10 +704,9 @@ def nearest_messages(spark, sf_dir):
 
 
 def _order_log(orders: DataFrame) -> DataFrame:
-    """Orders as a change log: a customer's newest order replaces its earlier ones."""
-    return orders.select(
-        "o_custkey", "o_orderkey", "o_totalprice", (F.col("o_orderkey") % 100).alias(changelog.BATCH)
-    )
+    """Orders as a change log of a hundred batches with one row per customer: the newest batch replaces earlier ones."""
+    rows = orders.select("o_custkey", "o_orderkey", "o_totalprice", (F.col("o_orderkey") % 100).alias(changelog.BATCH))
+    return changelog.largest_per_key(rows, ["o_custkey", changelog.BATCH])
 
 
 @query

@@ -1,7 +1,8 @@
 """Keyed upsert on plain parquet: an append-only log of batches, and views that keep the newest rows.
 
-Batch N of a job is the folder ``batch_id=N``. Writing it again replaces it, so a replayed batch changes nothing, and
-readers of the log as a stream never miss rows. A log and the checkpoint of its writer live and die together.
+Batch N of a job is the folder ``batch_id=N``, divided by ingestion date and hour where the table has them, so that bounds on
+these leave out files. Writing it again replaces it, so a replayed batch changes nothing, and readers of the log as a stream
+never miss rows. A log and the checkpoint of its writer live and die together.
 """
 
 from __future__ import annotations
@@ -11,47 +12,59 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.sources.tables import create_if_missing
+from spanloom.sources.tables import PARTITIONS, create_if_missing, parsed_schema
 
 BATCH = "batch_id"
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int, keys: Sequence[str] = ()) -> None:
-    """Write one batch; with ``keys`` it holds one row per key."""
-    rows = newest_per_key(df.withColumn(BATCH, F.lit(batch_id).cast("bigint")), keys).drop(BATCH) if keys else df
-    rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{BATCH}={batch_id}")
+    """Write one batch; with ``keys`` it holds one row per key (ties: the largest row)."""
+    rows = largest_per_key(df, keys) if keys else df
+    target = f"{path.rstrip('/')}/{BATCH}={batch_id}"
+    if set(PARTITIONS) <= set(df.columns):
+        # Few files per hour; an hour with most of the rows is split again.
+        spread = rows.hint("rebalance", *[F.col(c) for c in PARTITIONS])
+        # A replay replaces the whole batch, whatever the session says about partitions.
+        replacing = spread.write.mode("overwrite").option("partitionOverwriteMode", "static")
+        replacing.partitionBy(*PARTITIONS).parquet(target)
+    else:
+        rows.write.mode("overwrite").parquet(target)
 
 
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     create_if_missing(spark, path, schema)
-    return spark.read.schema(f"{schema}, {BATCH} BIGINT").parquet(path)
+    full = parsed_schema(f"{schema}, {BATCH} BIGINT")
+    return spark.read.schema(full).parquet(path).select(full.names)
 
 
 def stream_log(spark: SparkSession, path: str, schema: str, max_files: int | None = None) -> DataFrame:
     """Incremental scan of an upserted table."""
     create_if_missing(spark, path, schema)
-    reader = spark.readStream.schema(f"{schema}, {BATCH} BIGINT")
+    full = parsed_schema(f"{schema}, {BATCH} BIGINT")
+    reader = spark.readStream.schema(full)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path)
+    return reader.parquet(path).select(full.names)
 
 
-def newest_per_key(log: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The row of each key from its newest batch (ties: largest row).
+def largest_per_key(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key: the largest. An aggregation, not a window, so rows of one key are combined before the shuffle."""
+    others = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max(F.struct(*others)).alias("_row")).select(*keys, "_row.*").select(rows.columns)
 
-    An aggregation, not a window: rows of one key are combined before the shuffle, however often it was written.
-    """
-    others = [c for c in log.columns if c not in keys and c != BATCH]
-    newest = F.max(F.struct(BATCH, *others)).alias("_row")
-    return log.groupBy(*keys).agg(newest).select(*keys, "_row.*").select(log.columns)
+
+def _of_newest_batch(log: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All rows of each key's newest batch. Only keys and batch numbers are aggregated; a null is a key like any other."""
+    newest = log.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max(BATCH).alias("_newest"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return log.join(newest, [*same, F.col(BATCH) == F.col("_newest")], "left_semi")
 
 
 def current(log: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Upsert view: update-all on a matching key, insert-all otherwise."""
-    return newest_per_key(log, keys).drop(BATCH)
+    """Upsert view: update-all on a matching key, insert-all otherwise. Batches hold one row per key (``write_batch``)."""
+    return _of_newest_batch(log, keys).drop(BATCH)
 
 
 def current_by_trace(log: DataFrame, trace: str = "trace_id") -> DataFrame:
     """Replace-by-trace view: all rows of the newest batch of each trace, so steps can also disappear."""
-    newest = log.groupBy(trace).agg(F.max(BATCH).alias(BATCH))
-    return log.join(newest, [trace, BATCH], "left_semi").drop(BATCH)
+    return _of_newest_batch(log, [trace]).drop(BATCH)

@@ -1,7 +1,8 @@
 """The streaming chain: spans -> steps -> trajectories, scores, routing -> correlated traces -> windows.
 
 Every job reads the change log of the table before it, works on the traces the micro-batch touches, and writes one
-batch of its own log. Nothing is collected; replaying a batch overwrites that batch.
+batch of its own log. Logs are cut to these traces, or to the dates around them, before they are shuffled. Nothing is
+collected; replaying a batch overwrites that batch.
 """
 
 from __future__ import annotations
@@ -74,21 +75,28 @@ def _log(spark: SparkSession, chain: Pipeline, table: str) -> DataFrame:
 BY_TRACE = ("agent_steps", "trajectory_templates", "quality_scores", "trace_correlated")
 
 
-def current(spark: SparkSession, chain: Pipeline, table: str) -> DataFrame:
-    """What a table says now: the newest row per key, or all rows of a trace's newest batch."""
+def current(spark: SparkSession, chain: Pipeline, table: str, traces: DataFrame | None = None) -> DataFrame:
+    """What a table says now (of some traces): the newest row per key, or all rows of a trace's newest batch.
+
+    The trace id is part of the keys of all tables about traces, so the log is cut to the traces before it is shuffled.
+    """
     schema, keys = schemas.TABLES[table]
     log = changelog.read_log(spark, chain.path(table), schema)
+    if traces is not None:
+        log = of_traces(log, traces)
     return changelog.current_by_trace(log) if table in BY_TRACE else changelog.current(log, keys)
 
 
-def current_steps(spark: SparkSession, chain: Pipeline) -> DataFrame:
-    return current(spark, chain, "agent_steps")
-
-
 def current_routing(spark: SparkSession, chain: Pipeline, traces: DataFrame) -> DataFrame:
     """Routed calls of some traces that are still among their steps (a late entry span can retract a call)."""
-    steps = of_traces(current_steps(spark, chain), traces).select("trace_id", "span_id")
-    return of_traces(current(spark, chain, "request_routing"), traces).join(steps, ["trace_id", "span_id"], "left_semi")
+    steps = current(spark, chain, "agent_steps", traces).select("trace_id", "span_id")
+    return current(spark, chain, "request_routing", traces).join(steps, ["trace_id", "span_id"], "left_semi")
+
+
+def samples_near(spark: SparkSession, chain: Pipeline, table: str, paths: DataFrame) -> DataFrame:
+    """Current samples near some traces. Their time is part of their key, so the log is cut to these dates before anything else."""
+    near = in_time_range(_log(spark, chain, table), paths, chain.correlation)
+    return changelog.current(near, schemas.TABLES[table][1])
 
 
 def _changes(spark: SparkSession, chain: Pipeline, table: str) -> DataFrame:
@@ -122,7 +130,7 @@ def start_agent_steps(spark: SparkSession, chain: Pipeline) -> StreamingQuery:
         log = _log(spark, chain, "trace_delta_table")
         spans = within_lookback(of_traces(log, traces), batch, chain.steps).drop(changelog.BATCH)
         written = _log(spark, chain, "agent_steps").where(F.col(changelog.BATCH) < batch_id)
-        kept = before_lookback(of_traces(changelog.current_by_trace(written), traces), batch, chain.steps)
+        kept = before_lookback(changelog.current_by_trace(of_traces(written, traces)), batch, chain.steps)
         _write(agent_steps(spans).unionByName(kept), chain, "agent_steps", batch_id)
 
     return start(stream, "agent_steps", work, chain)
@@ -130,7 +138,7 @@ def start_agent_steps(spark: SparkSession, chain: Pipeline) -> StreamingQuery:
 
 def start_trajectories(spark: SparkSession, chain: Pipeline) -> StreamingQuery:
     def work(batch: DataFrame, batch_id: int) -> None:
-        steps = of_traces(current_steps(spark, chain), impacted_traces(batch))
+        steps = current(spark, chain, "agent_steps", impacted_traces(batch))
         _write(trajectories(steps, options=chain.steps), chain, "trajectory_templates", batch_id)
 
     return start(_changes(spark, chain, "agent_steps"), "trajectory", work, chain)
@@ -138,7 +146,7 @@ def start_trajectories(spark: SparkSession, chain: Pipeline) -> StreamingQuery:
 
 def start_quality(spark: SparkSession, chain: Pipeline) -> StreamingQuery:
     def work(batch: DataFrame, batch_id: int) -> None:
-        steps = of_traces(current_steps(spark, chain), impacted_traces(batch))
+        steps = current(spark, chain, "agent_steps", impacted_traces(batch))
         _write(evaluate(steps, chain.judge, chain.eval_model), chain, "quality_scores", batch_id)
 
     return start(_changes(spark, chain, "agent_steps"), "quality", work, chain)
@@ -146,7 +154,7 @@ def start_quality(spark: SparkSession, chain: Pipeline) -> StreamingQuery:
 
 def start_routing(spark: SparkSession, chain: Pipeline) -> StreamingQuery:
     def work(batch: DataFrame, batch_id: int) -> None:
-        steps = of_traces(current_steps(spark, chain), impacted_traces(batch))
+        steps = current(spark, chain, "agent_steps", impacted_traces(batch))
         gpus = current(spark, chain, "gpu_metrics")
         _write(route_calls(steps, gpus, options=chain.routing), chain, "request_routing", batch_id)
 
@@ -182,13 +190,13 @@ def start_correlated(spark: SparkSession, chain: Pipeline) -> StreamingQuery:
 
     def work(batch: DataFrame, batch_id: int) -> None:
         traces = impacted_traces(batch)
-        paths = of_traces(current(spark, chain, "trajectory_templates"), traces)
+        paths = current(spark, chain, "trajectory_templates", traces)
         rows = correlate(
             paths,
-            of_traces(current(spark, chain, "quality_scores"), traces),
+            current(spark, chain, "quality_scores", traces),
             current_routing(spark, chain, traces),
-            in_time_range(current(spark, chain, "gpu_metrics"), paths, chain.correlation),
-            in_time_range(current(spark, chain, "network_metrics"), paths, chain.correlation),
+            samples_near(spark, chain, "gpu_metrics", paths),
+            samples_near(spark, chain, "network_metrics", paths),
             options=chain.correlation,
         )
         _write(rows, chain, "trace_correlated", batch_id)

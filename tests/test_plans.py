@@ -70,3 +70,38 @@ def test_steps_and_correlation_without_cross_join(spark, tmp_path):
     for plan in plans:
         for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
             assert operator not in plan
+
+
+def test_views_of_logs_aggregate_keys_only_and_leave_out_dates(spark, tmp_path):
+    from spanloom import schemas
+    from spanloom.operators.infra import with_ingestion_parts
+    from spanloom.sources import changelog
+    from spanloom.streaming import jobs
+
+    chain = jobs.Pipeline(folder=str(tmp_path), trigger=None)
+    day = 86_400_000
+    for batch_id in (0, 1):
+        times = [(d * day + k, f"n{k}", "g") for d in range(4) for k in range(5)]
+        rows = spark.createDataFrame(times, "timestamp_ms BIGINT, node_id STRING, gpu_id STRING")
+        full = spark.createDataFrame([], schemas.GPU_METRICS).unionByName(with_ingestion_parts(rows), allowMissingColumns=True)
+        jobs._write(full, chain, "gpu_metrics", batch_id)
+    folders = sorted(str(p.relative_to(tmp_path)) for p in (tmp_path / "gpu_metrics").glob("*/*/*") if p.is_dir())
+    assert folders == [f"gpu_metrics/batch_id={b}/ingestion_date=1970-01-0{d}/ingestion_hour=0" for b in (0, 1) for d in range(1, 5)]
+    paths = spark.createDataFrame([("t", 2 * day + 1000, 2 * day + 2000)], "trace_id STRING, start_ts_ms BIGINT, end_ts_ms BIGINT")
+    near = jobs.samples_near(spark, chain, "gpu_metrics", paths)
+    assert near.columns == spark.createDataFrame([], schemas.GPU_METRICS).columns
+    assert [r["node_id"] for r in near.orderBy("node_id").collect()] == [f"n{k}" for k in range(5)]
+    plan = _plan(near)
+    assert "SortAggregate" not in plan and plan.count("FileScan") == plan.count("PartitionFilters: [isnotnull(ingestion_date")
+
+
+def test_logs_are_cut_to_the_traces_before_they_are_shuffled(spark, tmp_path):
+    from spanloom import schemas
+    from spanloom.streaming import jobs
+
+    chain = jobs.Pipeline(folder=str(tmp_path), trigger=None)
+    traces = spark.createDataFrame([("t",)], "trace_id STRING")
+    for table in ("agent_steps", "trajectory_templates", "quality_scores", "request_routing"):
+        jobs._write(spark.createDataFrame([], schemas.TABLES[table][0]), chain, table, 0)
+        plan = _plan(jobs.current(spark, chain, table, traces))
+        assert plan.count("LeftSemi") == 3 and "SortAggregate" not in plan
