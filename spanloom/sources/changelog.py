@@ -1,7 +1,7 @@
 """Keyed upsert on plain parquet: an append-only log of batches, and views that keep the newest rows.
 
-Batch N of a job is the folder ``batch_id=N``, divided by ingestion date and hour where the table has them, so that bounds on
-these leave out files. Writing it again replaces it, so a replayed batch changes nothing, and readers of the log as a stream
+Batch N of a job is the folder ``batch_id=N``, divided by ingestion date where the table has one, so that bounds on dates
+leave out files. Writing it again replaces it, so a replayed batch changes nothing, and readers of the log as a stream
 never miss rows. A log and the checkpoint of its writer live and die together.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.sources.tables import PARTITIONS, create_if_missing, parsed_schema
+from spanloom.sources.tables import PARTITIONS, SORTED, create_if_missing, parsed_schema
 
 BATCH = "batch_id"
 
@@ -21,9 +21,9 @@ def write_batch(df: DataFrame, path: str, batch_id: int, keys: Sequence[str] = (
     """Write one batch; with ``keys`` it holds one row per key (ties: the largest row)."""
     rows = largest_per_key(df, keys) if keys else df
     target = f"{path.rstrip('/')}/{BATCH}={batch_id}"
-    if set(PARTITIONS) <= set(df.columns):
-        # Few files per hour; an hour with most of the rows is split again.
-        spread = rows.hint("rebalance", *[F.col(c) for c in PARTITIONS])
+    if {*PARTITIONS, *SORTED} <= set(df.columns):
+        # Few files per date; a date with most of the rows is split again.
+        spread = rows.hint("rebalance", *[F.col(c) for c in PARTITIONS]).sortWithinPartitions(*PARTITIONS, *SORTED)
         # A replay replaces the whole batch, whatever the session says about partitions.
         replacing = spread.write.mode("overwrite").option("partitionOverwriteMode", "static")
         replacing.partitionBy(*PARTITIONS).parquet(target)

@@ -12,7 +12,9 @@ from pyspark.sql.types import StructType
 from spanloom import schemas
 from spanloom.operators.infra import with_ingestion_parts
 
-PARTITIONS = ["ingestion_date", "ingestion_hour"]
+# Tables are divided into folders by date. Within a file rows are sorted by hour: bounds on time are cut to dates, and folders
+# by hour would only mean 24 times the files.
+PARTITIONS, SORTED = ["ingestion_date"], ["ingestion_hour"]
 
 
 def parsed_schema(ddl: str) -> StructType:
@@ -55,7 +57,7 @@ def table_stream(spark: SparkSession, path: str, schema: str, max_files: int | N
 
 
 def create_if_missing(spark: SparkSession, path: str, schema: str) -> bool:
-    """Create an empty table, partitioned by ingestion date and hour where it has them. True when created."""
+    """Create an empty table, partitioned by ingestion date where it has one. True when created."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     if jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
         return False

@@ -85,8 +85,8 @@ def test_views_of_logs_aggregate_keys_only_and_leave_out_dates(spark, tmp_path):
         rows = spark.createDataFrame(times, "timestamp_ms BIGINT, node_id STRING, gpu_id STRING")
         full = spark.createDataFrame([], schemas.GPU_METRICS).unionByName(with_ingestion_parts(rows), allowMissingColumns=True)
         jobs._write(full, chain, "gpu_metrics", batch_id)
-    folders = sorted(str(p.relative_to(tmp_path)) for p in (tmp_path / "gpu_metrics").glob("*/*/*") if p.is_dir())
-    assert folders == [f"gpu_metrics/batch_id={b}/ingestion_date=1970-01-0{d}/ingestion_hour=0" for b in (0, 1) for d in range(1, 5)]
+    folders = sorted(str(p.relative_to(tmp_path)) for p in (tmp_path / "gpu_metrics").glob("*/*") if p.is_dir())
+    assert folders == [f"gpu_metrics/batch_id={b}/ingestion_date=1970-01-0{d}" for b in (0, 1) for d in range(1, 5)]
     paths = spark.createDataFrame([("t", 2 * day + 1000, 2 * day + 2000)], "trace_id STRING, start_ts_ms BIGINT, end_ts_ms BIGINT")
     near = jobs.samples_near(spark, chain, "gpu_metrics", paths)
     assert near.columns == spark.createDataFrame([], schemas.GPU_METRICS).columns
