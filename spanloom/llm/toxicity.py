@@ -5,8 +5,12 @@ document is toxic if at least one sentence is: score = 1 - product of (1 - sente
 the gradient of the document loss decides which sentences of a toxic document take the blame; afterwards the sentence scores
 locate them.
 
-The model is fitted on a bounded sample: at most ``per_label`` documents of each label with texts of at most
-``longest`` characters, the first in the order of a hash of their id. Scoring covers all documents and whole texts.
+The model is fitted on a bounded sample of whole texts, short and long: at most ``per_label`` documents of each label and
+``sample_chars`` characters of them together, the first in the order of a hash of their id (a text longer than the whole
+sample is never learned from). Scoring covers all documents and whole texts.
+
+Length alone never makes a text toxic: the fit ends with a bias of ``LOW``, at which a sentence without a learned feature
+counts 2e-9, and weighs clean documents as if they were ``LONGER`` times as long.
 
 Null and empty texts have no sentence and score 0. Without labelled documents of both kinds every score is 0. Rows with a
 null id are scored but never learned from. Several labels of one id count as toxic if one is. All columns are kept; columns
@@ -21,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,10 +33,12 @@ from spanloom.llm.tables import small_batches
 
 DIMENSIONS = 1 << 20
 PREFIX_LETTERS = 5
-PER_LABEL, LONGEST = 3000, 40_000
+PER_LABEL, SAMPLE_CHARS = 3000, 20_000_000
 THRESHOLD = 0.7
 # A feature must occur in so many fitted documents, and differ between the labels by so many standard errors.
 SUPPORT, CLEAR = 4, 3.0
+# The last bias, and how many times as long clean documents count in the fit to it.
+LOW, LONGER = -20.0, 300
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"\w+")
 _KEPT_WORDS = 150_000
@@ -73,6 +79,10 @@ def fit(labels: np.ndarray, bags: pa.Array, rounds: int = 400, pace: float = 3.0
 
     Features that documents of both labels hold about equally often (less than ``CLEAR`` standard errors apart) are screened
     out. Accelerated proximal gradient steps, restarted when they overshoot; the penalty keeps chance words at zero.
+
+    A free bias settles where a sentence of the sample's usual length of text is harmless, which thousands of sentences are
+    not. So a second run goes on from the first one's weights, scaled to the low bias, which then stays; the weights alone
+    must tell toxic from clean sentences, and clean documents weigh as much as ones many times as long would.
     """
     y = np.asarray(labels, float)
     if len(set(y.tolist())) < 2:
@@ -92,37 +102,49 @@ def fit(labels: np.ndarray, bags: pa.Array, rounds: int = 400, pace: float = 3.0
     count, place = int(used.sum()), np.cumsum(used) - 1
     listed = used[slots]
     feature, sentence_of = place[slots[listed]], sentence_of[listed]
-    w, bias = np.zeros(count), -5.0
-    before, bias_before, run = w, bias, 0
-    share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
-    for _ in range(rounds):
-        ahead = run / (run + 3)
-        v, c = w + ahead * (w - before), bias + ahead * (bias - bias_before)
-        z = c + np.bincount(sentence_of, v[feature], len(bag_of))
-        total = np.bincount(bag_of, np.logaddexp(0, z), len(y))  # -log(1 - document score)
-        blame = np.where(y == 1, -1 / np.expm1(np.clip(total, 1e-9, 500)), 1.0) * share
-        dz = blame[bag_of] * _sigmoid(z)
-        moved = v - pace * np.bincount(feature, dz[sentence_of], count)
-        moved = np.sign(moved) * np.maximum(np.abs(moved) - pace * sparsity, 0)
-        run = 0 if float((v - moved) @ (moved - w)) > 0 else run + 1
-        before, bias_before = w, bias
-        w, bias = moved, c - pace * float(dz.sum())
+
+    def steps(w: np.ndarray, bias: float, longer: float, free: bool, pace: float, sparsity: float) -> tuple[np.ndarray, float]:
+        before, bias_before, run = w, bias, 0
+        share = np.where(y == 1, 0.5 / (y == 1).sum(), longer * 0.5 / (y == 0).sum())
+        for _ in range(rounds):
+            ahead = run / (run + 3)
+            v, c = w + ahead * (w - before), bias + ahead * (bias - bias_before)
+            z = c + np.bincount(sentence_of, v[feature], len(bag_of))
+            total = np.bincount(bag_of, np.logaddexp(0, z), len(y))  # -log(1 - document score)
+            blame = np.where(y == 1, -1 / np.expm1(np.clip(total, 1e-12, 500)), 1.0) * share
+            dz = blame[bag_of] * _sigmoid(z)
+            moved = v - pace * np.bincount(feature, dz[sentence_of], count)
+            moved = np.sign(moved) * np.maximum(np.abs(moved) - pace * sparsity, 0)
+            run = 0 if float((v - moved) @ (moved - w)) > 0 else run + 1
+            before, bias_before = w, bias
+            # Of very long texts the bias takes all the slope there is; its steps are bounded.
+            w, bias = moved, c - min(1.0, max(-1.0, pace * float(dz.sum()))) if free else bias
+        return w, bias
+
+    # A document of the mean length starts out harmless.
+    w, bias = steps(np.zeros(count), -1.5 - float(np.log(max(1.0, len(bag_of) / len(y)))), 1.0, True, pace, sparsity)
+    if bias > LOW:
+        w, bias = steps(w * (LOW / min(bias, -1.0)), LOW, LONGER, False, 3 * pace, sparsity / 3)
     weights = np.zeros(DIMENSIONS, np.float32)
     weights[used] = w
     return Model(weights, float(bias))
 
 
 def learn(
-    docs: DataFrame, labels: DataFrame, learnable: Column, per_label: int = PER_LABEL, longest: int = LONGEST,
+    docs: DataFrame, labels: DataFrame, learnable: Column, per_label: int = PER_LABEL, sample_chars: int = SAMPLE_CHARS,
     doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
 ) -> Model:
     """Fits the model. ``learnable``: which rows of ``docs`` may be learned from."""
     small_batches(docs.sparkSession)
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(doc_id).agg(F.max(label).cast("int").alias("_label"))
-    usable = docs.where(learnable & F.col(text).isNotNull() & (F.length(text) <= longest)).select(doc_id)
+    length = F.length(text).cast("bigint")
+    usable = docs.where(learnable & F.col(text).isNotNull() & (length <= sample_chars))
     order = F.xxhash64(doc_id)
-    chosen = known.join(usable.distinct(), doc_id)
-    chosen = chosen.where("_label = 1").orderBy(order).limit(per_label).union(chosen.where("_label = 0").orderBy(order).limit(per_label))
+    ids = known.join(usable.groupBy(doc_id).agg(F.max(length).alias("_length")), doc_id)
+    first = ids.where("_label = 1").orderBy(order).limit(per_label).union(ids.where("_label = 0").orderBy(order).limit(per_label))
+    # At most 2 * per_label rows.
+    so_far = F.sum("_length").over(Window.partitionBy("_label").orderBy(order, doc_id))
+    chosen = first.withColumn("_chars", so_far).where(F.col("_chars") <= sample_chars).select(doc_id, "_label")
 
     def features(batches):
         slots = _Slots()

@@ -59,6 +59,32 @@ def test_toxicity_of_awkward_rows(docs, empty, labelled, spark):
     assert [toxicity.score_text(t, toxicity._Weights(model.weights), model.bias)[0] for t in texts[:3]] == [0.0, 0.0, 0.0]
 
 
+def test_length_alone_is_not_toxic(labelled):
+    docs, labels = labelled
+    model = toxicity.learn(docs, labels, F.col("doc_id") % 3 != 1)
+    clean = docs.join(labels.where("toxic = 0"), "doc_id").where("doc_id % 3 = 1").select("text").distinct().collect()
+    joined = ". ".join(r["text"] for r in clean) + ". "
+    table = toxicity._Weights(model.weights)
+    for length in (100_000, 1_000_000, 10_000_000):
+        text = (joined * (length // len(joined) + 1))[:length]
+        assert toxicity.score_text(text, table, model.bias)[0] < toxicity.THRESHOLD
+    # One toxic sentence makes a long text toxic.
+    score, spans = toxicity.score_text(f"{text}. you vilest thing. {text[:1000]}", table, model.bias)
+    assert score >= toxicity.THRESHOLD and len(spans) == 1
+
+
+def test_toxicity_learns_from_long_texts(labelled):
+    docs, labels = labelled
+    tail = " ".join(["harmless words " * 30 + "."] * 100)
+    long = docs.withColumn("text", F.concat("text", F.lit(". " + tail)))
+    model = toxicity.learn(long, labels, F.lit(True))
+    table = toxicity._Weights(model.weights)
+    assert toxicity.score_text("you vilest thing", table, model.bias)[0] >= toxicity.THRESHOLD
+    # The sample is bounded by characters over all its texts, not by length per text.
+    few = toxicity.learn(long, labels, F.lit(True), sample_chars=40_000)
+    assert not few.weights.any()
+
+
 def test_noisy_or():
     weights = np.zeros(toxicity.DIMENSIONS, np.float32)
     weights[toxicity._slot("bad")] = 2.0
