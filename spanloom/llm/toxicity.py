@@ -13,7 +13,8 @@ Length alone never makes a text toxic: the fit ends with a bias of ``LOW``, at w
 counts 2e-9, and weighs clean documents as if they were ``LONGER`` times as long.
 
 Null and empty texts have no sentence and score 0. Without labelled documents of both kinds every score is 0. Rows with a
-null id are scored but never learned from. Several labels of one id count as toxic if one is. All columns are kept; columns
+null id are scored but never learned from. Several labels of one id count as toxic if one is; of several
+usable rows of one id one is learned from. All columns are kept; columns
 of the new names are replaced.
 """
 
@@ -140,11 +141,13 @@ def learn(
     length = F.length(text).cast("bigint")
     usable = docs.where(learnable & F.col(text).isNotNull() & (length <= sample_chars))
     order = F.xxhash64(doc_id)
-    ids = known.join(usable.groupBy(doc_id).agg(F.max(length).alias("_length")), doc_id)
+    # One row per id: that of the smallest text hash.
+    row = F.min(F.struct(F.xxhash64(text).alias("hash"), length.alias("length"))).alias("_row")
+    ids = known.join(usable.groupBy(doc_id).agg(row), doc_id)
     first = ids.where("_label = 1").orderBy(order).limit(per_label).union(ids.where("_label = 0").orderBy(order).limit(per_label))
     # At most 2 * per_label rows.
-    so_far = F.sum("_length").over(Window.partitionBy("_label").orderBy(order, doc_id))
-    chosen = first.withColumn("_chars", so_far).where(F.col("_chars") <= sample_chars).select(doc_id, "_label")
+    so_far = F.sum("_row.length").over(Window.partitionBy("_label").orderBy(order, doc_id))
+    chosen = first.withColumn("_chars", so_far).where(F.col("_chars") <= sample_chars).select(doc_id, "_label", F.col("_row.hash").alias("_hash"))
 
     def features(batches):
         slots = _Slots()
@@ -158,8 +161,9 @@ def learn(
                 [b["_label"], pa.array(bags, pa.list_(pa.list_(pa.int32())))], names=["label", "bags"]
             )
 
-    # The sample is bounded by its parameters, so it can be sent to every task.
-    sample = docs.join(F.broadcast(chosen), doc_id).select("_label", F.col(text).alias("text"))
+    # The sample is bounded by its parameters, so it can be sent to every task. Equal rows meet in one before they are shuffled.
+    rows = usable.select(doc_id, F.col(text).alias("text"), F.xxhash64(text).alias("_hash"))
+    sample = rows.join(F.broadcast(chosen), [doc_id, "_hash"]).groupBy(doc_id, "_label").agg(F.min("text").alias("text")).select("_label", "text")
     rows = sample.mapInArrow(features, "label int, bags array<array<int>>").toArrow()
     return fit(rows["label"].to_numpy(), rows["bags"].combine_chunks())
 

@@ -85,6 +85,17 @@ def test_toxicity_learns_from_long_texts(labelled):
     assert not few.weights.any()
 
 
+def test_toxicity_learns_from_one_usable_row_per_id(labelled, monkeypatch):
+    docs, labels = labelled
+    sizes = []
+    monkeypatch.setattr(toxicity, "fit", lambda labels, bags: sizes.append((len(labels), int(labels.sum()))))
+    toxicity.learn(docs, labels, F.lit(True), sample_chars=1_000_000)
+    unusable = docs.withColumn("text", F.lit(None).cast("string")).union(docs.withColumn("text", F.repeat(F.lit("x"), 1_000_001)).where("doc_id < 5"))
+    other = docs.withColumn("text", F.concat("text", F.lit(" again")))
+    toxicity.learn(docs.union(docs).union(unusable).union(other), labels, F.lit(True), sample_chars=1_000_000)
+    assert sizes[0] == sizes[1] and sizes[0][0] == 600
+
+
 def test_noisy_or():
     weights = np.zeros(toxicity.DIMENSIONS, np.float32)
     weights[toxicity._slot("bad")] = 2.0
