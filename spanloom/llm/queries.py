@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, decontaminate, factor_dedup, language, line_chunks, minhash, page_difference, set_join, sharding, toxicity
+from spanloom.llm import bpe, decontaminate, factor_dedup, language, line_chunks, minhash, page_difference, posting_lists
+from spanloom.llm import set_join, sharding, spelling, toxicity, whitening
 from spanloom.llm.tables import small_batches, table, written
 
 SHARDS = 24
@@ -159,6 +160,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation that no long holds (over some 10**8 rows) is null; the operator gives it as a decimal."""
+    rows = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
+def op12_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posting_lists.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -176,5 +191,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_set_join": op8_set_join,
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
+    "op11_whitening": op11_whitening,
+    "op12_posting_lists": op12_posting_lists,
+    "op13_spelling": op13_spelling,
     "pipeline": pipeline,
 }
