@@ -153,22 +153,41 @@ def test_fingerprint_query_of_one_and_of_no_document(spark, tmp_path):
         assert [(r["doc_id"], r["near_next"]) for r in got] == [(i, 1.0) for i, _ in table]
 
 
+def text_chunks(text):
+    """Boundaries of one text as (first line, end line, bytes from line to line, line before, line after), by lists of lines."""
+    lines = text.split("\n")
+    inked = [i for i, x in enumerate(lines) if x.strip(" \t\r\x0b\x0c")]
+    parsed = line_chunks.Lines(pa.array([text]))
+    assert len(parsed.hashes) == max(0, len(inked) - 1) and len(parsed.starts) == len(lines)
+    out = []
+    for k in np.flatnonzero(parsed.boundary).tolist():
+        a, b = inked[k], inked[k + 1]
+        before = (inked[k - 1], tuple(lines[inked[k - 1] : a])) if k else None
+        after = (inked[k + 2] + 1, tuple(lines[b + 1 : inked[k + 2] + 1])) if k + 2 < len(inked) else None
+        out.append((a, b + 1, tuple(lines[a : b + 1]), before, after))
+    return out
+
+
 def expected_lines(rows):
-    """First place of every chunk wins; the same chunks, compared as text."""
-    first = {}
-    found = []
+    """First place of every chunk stays; other copies go with the lines around them that are equal there."""
+    first, found = {}, []
     for at, (i, t) in enumerate(rows):
-        for number, (a, b, chunk) in enumerate(line_chunks.chunks(t) if t else []):
-            found.append((at, number, a, b, chunk))
-            if chunk is not None:
-                place = (i is None, i if i is not None else 0, number)
-                first[chunk] = min(first.get(chunk, place), place)
-    out = {}
-    for at, number, a, b, chunk in found:
-        i, t = rows[at]
-        if chunk is None or first[chunk] == (i is None, i if i is not None else 0, number):
-            out.setdefault(at, []).extend(t.split("\n")[a:b])
-    return [None if t is None else "\n".join(out.get(at, [])) for at, (_, t) in enumerate(rows)]
+        for number, chunk in enumerate(text_chunks(t or "")):
+            found.append((at, i, number, chunk))
+            place = (i, number, at, chunk)
+            if chunk[2] not in first or place[:2] < first[chunk[2]][:2]:
+                first[chunk[2]] = place
+    gone = {}
+    for at, i, number, (a, b, body, before, after) in found:
+        _, first_number, home, (home_a, home_b, _, kept_before, kept_after) = first[body]
+        if (at, number) == (home, first_number):
+            continue
+        a = before[0] if before and kept_before and before[1] == kept_before[1] else a
+        b = after[0] if after and kept_after and after[1] == kept_after[1] else b
+        gone.setdefault(at, set()).update(k for k in range(a, b) if not (at == home and home_a <= k < home_b))
+    return [
+        None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(at, ())) for at, (_, t) in enumerate(rows)
+    ]
 
 
 def test_line_chunks_match_brute_force(docs, rows):
@@ -184,20 +203,52 @@ def test_line_chunks_match_brute_force(docs, rows):
     assert len([r for r in collected if r["doc_id"] == 1009]) == 2
 
 
-@settings(max_examples=50, deadline=None)
-@given(st.lists(st.text("ab \t", max_size=3), min_size=4, max_size=40), st.lists(st.text("xy", min_size=1, max_size=3), max_size=4))
-def test_chunk_boundaries_resist_shifts(lines, inserted):
-    """Lines put in front move no boundary but those next to them."""
-    before = {b for _, b, _ in line_chunks.chunks("\n".join(lines))}
-    after = {b - len(inserted) for _, b, _ in line_chunks.chunks("\n".join([*inserted, *lines]))}
-    assert {b for b in before if b > 2} <= after
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "c", "", " "]), max_size=12), min_size=1, max_size=5))
+def test_repeated_lines_match_brute_force_on_any_lines(texts):
+    """All texts in one pack; lines of few kinds overlap themselves in every way."""
+    rows = [(i, "\n".join(t)) for i, t in enumerate(texts)]
+    lines = line_chunks.Lines(pa.array([t for _, t in rows]))
+    kept = {}
+    for pair in np.flatnonzero(lines.boundary).tolist():
+        kept.setdefault(
+            int(lines.hashes.astype(np.int64)[pair]),
+            {"number": pair, "chunk": lines.chunk(pair), "line_before": lines.before(pair), "line_after": lines.after(pair)},
+        )
+    gone = line_chunks.repeated_lines(lines, kept)
+    left = ["\n".join(np.array(t.split("\n"), object)[~gone[a:b]]) for (_, t), a, b in zip(rows, lines.first, lines.first[1:], strict=False)]
+    assert left == expected_lines(rows)
+
+
+@pytest.mark.parametrize("length", [3, 4, 5, 8, 12, 40])
+def test_repeated_runs_go_whole(spark, length):
+    """Runs of three lines and more between foreign lines; one copy stays."""
+    rnd = np.random.default_rng(length)
+
+    def foreign(n):
+        return ["".join(map(chr, rnd.integers(97, 123, 12))) for _ in range(n)]
+
+    rows, runs = [], []
+    for i in range(60):
+        run = foreign(length)
+        runs.append(run)
+        for half in (0, 1):
+            lines = [*foreign(20), *run, *foreign(20)]
+            rows.append((2 * i + half, "\n".join(lines)))
+    got = {r["doc_id"]: r for r in line_chunks.without_repeated_chunks(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    whole = sum(got[2 * i + 1]["n_removed_lines"] == length for i in range(60))
+    assert all(got[2 * i]["n_removed_lines"] == 0 for i in range(60))
+    assert whole >= 57
+    assert all(not set(runs[i]) & set(got[2 * i + 1]["text"].split("\n")) for i in range(60) if got[2 * i + 1]["n_removed_lines"] == length)
 
 
-def test_chunks_cover_the_text():
-    text = "a\n\nb\nc\n" * 5
-    spans = [(a, b) for a, b, _ in line_chunks.chunks(text)]
-    assert spans[0][0] == 0 and spans[-1][1] == text.count("\n") + 1
-    assert all(x[1] == y[0] for x, y in zip(spans, spans[1:], strict=False))
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.text("abc", min_size=1, max_size=3), min_size=4, max_size=40), st.lists(st.text("xy", min_size=1, max_size=3), max_size=4))
+def test_chunk_boundaries_resist_shifts(lines, inserted):
+    """Lines put in front move no boundary but that of the first line."""
+    before = {c[0] for c in text_chunks("\n".join(lines))}
+    after = {c[0] - len(inserted) for c in text_chunks("\n".join([*inserted, *lines]))}
+    assert {b for b in before if b > 0} <= after
 
 
 def test_components_of_chains_and_stars(spark):
