@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators.ordered import top_rows
+from spanloom.session import ship_package
 
 # Both sides are cut into blocks of about this many rows, and a block is compared in slices of so many stored vectors.
 BLOCK_ROWS = 8_192
@@ -89,6 +90,7 @@ def nearest_by_blocks(
         best.add(stored["id"].to_numpy(np.int64), _unit(stored["embedding"]))
         return best.frame()
 
+    ship_package(vectors.sparkSession)
     pairs = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb"))
     return _ranked(pairs.applyInPandas(search, RESULT), k)
 
@@ -118,6 +120,7 @@ def embed(df: DataFrame, text: str, embedder: Callable[[], Embedder], name: str
         for texts in batches:
             yield pd.Series(model([t or "" for t in texts]))
 
+    ship_package(df.sparkSession)
     return df.withColumn(name, F.pandas_udf(run, "array<float>")(F.col(text)))
 
 

@@ -13,6 +13,7 @@ from spanloom.functions.timeparts import ingestion_date, ingestion_hour, now_ms
 from spanloom.operators.ordered import ordered_lines, step_slice
 from spanloom.operators.trajectory import step_order
 from spanloom.options import STEPS, StepOptions
+from spanloom.session import ship_package
 
 # Made once per partition: returns the function that answers one batch of prompts.
 JudgeFactory = Callable[[], Callable[[list[str]], list[str]]]
@@ -104,6 +105,7 @@ def ask(df: DataFrame, judge: JudgeFactory, prompt: str = "prompt", reply: str =
                 found = [alone(answer, text) for text in texts]
             yield pd.Series(found, dtype="object")
 
+    ship_package(df.sparkSession)
     return df.withColumn(reply, F.pandas_udf(replies, "string")(F.col(prompt)))
 
 

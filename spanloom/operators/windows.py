@@ -26,21 +26,25 @@ def _fold_all() -> list[Column]:
     ]
 
 
-def signature_slices(correlated: DataFrame, options: DriftOptions = DRIFT) -> DataFrame:
-    """Measures per (finest bucket, signature): one pass over the traces, combined before it shuffles."""
+def contribution(options: DriftOptions = DRIFT) -> list[Column]:
+    """What a correlated trace adds to the slice (finest bucket) and signature it counts in; without a start the slice is null."""
     finest = reduce(gcd, (ms for _, ms in options.window_sizes))
-    zero = F.lit(0.0)
-    rows = correlated.where(F.coalesce("start_ts_ms", F.lit(0)) != 0).select(
-        (floor_div(F.col("start_ts_ms"), finest) * finest).alias("slice_ms"),
+    started = F.nullif(F.col("start_ts_ms"), F.lit(0).cast("bigint"))
+    return [
+        (floor_div(started, finest) * finest).alias("slice_ms"),
         F.coalesce("trajectory_signature", F.lit("")).alias("signature"),
         F.col("quality_overall").alias("q"),
         F.col("quality_hallucination").alias("h"),
         F.col("gpu_contention_avg").alias("c"),
         F.col("inter_node_latency_avg").alias("l"),
         F.coalesce("packet_drop_total", F.lit(0)).cast("bigint").alias("d"),
-        F.coalesce("gpu_contention_avg", zero).alias("x"),
-        F.coalesce("quality_overall", zero).alias("y"),
-    )
+    ]
+
+
+def sliced(rows: DataFrame) -> DataFrame:
+    """Measures per (slice, signature) of contributions, combined before they shuffle."""
+    zero = F.lit(0.0)
+    rows = rows.withColumns({"x": F.coalesce("c", zero), "y": F.coalesce("q", zero)})
     x, y = F.col("x"), F.col("y")
     return rows.groupBy("slice_ms", "signature").agg(
         F.count("*").alias("n"),
@@ -59,6 +63,16 @@ def signature_slices(correlated: DataFrame, options: DriftOptions = DRIFT) -> Da
     )
 
 
+def added(slices: DataFrame) -> DataFrame:
+    """Measures of the same (slice, signature) from several tables, folded into one row."""
+    return slices.groupBy("slice_ms", "signature").agg(*_fold_all())
+
+
+def signature_slices(correlated: DataFrame, options: DriftOptions = DRIFT) -> DataFrame:
+    """Measures per (finest bucket, signature): one pass over the traces."""
+    return sliced(correlated.where(F.coalesce("start_ts_ms", F.lit(0)) != 0).select(*contribution(options)))
+
+
 def sized_distribution(slices: DataFrame, options: DriftOptions = DRIFT) -> DataFrame:
     """Measures per (window size, window, signature), every size from the finest buckets."""
     sizes = F.array(

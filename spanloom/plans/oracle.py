@@ -1119,3 +1119,5 @@ def _streamed(names: str, select: str) -> str:
 
 ORACLES["stream_backfill"] = _streamed("windows", "select * from windows")
 ORACLES["stream_in_batches"] = _streamed("correlated", "select * exclude (ingestion_date, ingestion_hour) from correlated")
+ORACLES["stream_late_samples"] = ORACLES["stream_in_batches"]
+ORACLES["stream_late_windows"] = ORACLES["stream_backfill"]

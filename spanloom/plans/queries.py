@@ -767,25 +767,55 @@ def stream_backfill(spark, sf_dir):
     i.network.write.json(f"{folder}/network")
     chain = jobs.Pipeline(folder=f"{folder}/tables", trigger=None, correlation=SPARSE)
     jobs.run_to_end(spark, chain, f"{folder}/messages", f"{folder}/gpu", f"{folder}/network")
-    return tables.scan(spark, chain.path("analytics_windows"), schemas.ANALYTICS_WINDOWS)
+    return jobs.current_windows(spark, chain)
 
 
-@query
-def stream_in_batches(spark, sf_dir):
+def _in_batches(spark, sf_dir: str, samples_last: bool) -> jobs.Pipeline:
     """The spans of every trace land in four sets of files, children before their parents; the whole chain runs after two of
-    them and again after all.
-
-    What comes out in the end are the correlated traces of the batch form: late entry spans retract calls, and every table
-    replaces what it said about a trace before.
-    """
+    them and again after all. Samples land before everything else or after it."""
     i = Inputs(spark, sf_dir)
     folder = scratch(spark)
-    i.gpu.write.json(f"{folder}/gpu")
-    i.network.write.json(f"{folder}/network")
     chain = jobs.Pipeline(folder=f"{folder}/tables", trigger=None, correlation=SPARSE)
+
+    def land(part: int) -> None:
+        landed = i.landed_messages.where(F.col("event_id") % 4 == part).select("value")
+        landed.write.mode("append").text(f"{folder}/messages")
+
+    def samples() -> None:
+        i.gpu.write.mode("overwrite").json(f"{folder}/gpu")
+        i.network.write.mode("overwrite").json(f"{folder}/network")
+
+    def run() -> None:
+        jobs.run_to_end(spark, chain, f"{folder}/messages", f"{folder}/gpu", f"{folder}/network")
+
+    i.gpu.limit(0).write.json(f"{folder}/gpu")
+    i.network.limit(0).write.json(f"{folder}/network")
+    if not samples_last:
+        samples()
     for parts in ((3, 1), (2, 0)):
         for part in parts:
-            landed = i.landed_messages.where(F.col("event_id") % 4 == part).select("value")
-            landed.write.mode("append").text(f"{folder}/messages")
-        jobs.run_to_end(spark, chain, f"{folder}/messages", f"{folder}/gpu", f"{folder}/network")
-    return jobs.current(spark, chain, "trace_correlated").drop("ingestion_date", "ingestion_hour")
+            land(part)
+        run()
+    if samples_last:
+        samples()
+        run()
+    return chain
+
+
+@query
+def stream_in_batches(spark, sf_dir):
+    """What comes out in the end are the correlated traces of the batch form: late entry spans retract calls, and every table
+    replaces what it said about a trace before."""
+    return jobs.current(spark, _in_batches(spark, sf_dir, False), "trace_correlated").drop("ingestion_date", "ingestion_hour")
+
+
+@query
+def stream_late_samples(spark, sf_dir):
+    """All samples land after the traces, which are routed and correlated again."""
+    return jobs.current(spark, _in_batches(spark, sf_dir, True), "trace_correlated").drop("ingestion_date", "ingestion_hour")
+
+
+@query
+def stream_late_windows(spark, sf_dir):
+    """The windows after retracted calls and late samples, changed batch by batch, are those of one pass over everything."""
+    return jobs.current_windows(spark, _in_batches(spark, sf_dir, True))

@@ -72,6 +72,18 @@ packet_drop_total BIGINT, quality_drop INT, trajectory_drift INT, gpu_pressure I
 network_pressure INT, contention_quality_corr DOUBLE, correlation_flag STRING,
 correlation_details STRING"""
 
+# What one version of a trace adds to (sign 1) or takes back from (sign -1) a slice of time and a signature.
+WINDOW_CHANGES = """slice_ms BIGINT, signature STRING, q DOUBLE, h DOUBLE, c DOUBLE, l DOUBLE, d BIGINT, sign INT,
+ingestion_date STRING, ingestion_hour INT"""
+
+SIGNATURE_SLICES = """slice_ms BIGINT, signature STRING, n BIGINT, q_n BIGINT, q_sum DOUBLE, h_n BIGINT, h_sum DOUBLE,
+c_n BIGINT, c_sum DOUBLE, l_n BIGINT, l_sum DOUBLE, drops BIGINT, x_sum DOUBLE, y_sum DOUBLE, xx DOUBLE, yy DOUBLE, xy DOUBLE,
+x_min DOUBLE, y_min DOUBLE, x_max DOUBLE, y_max DOUBLE, c_max DOUBLE, ingestion_date STRING, ingestion_hour INT"""
+
+# Tiles of time and nodes around the model calls of a correlated trace, and calls whose node had no sample yet.
+TRACE_TILES = "node_id STRING, tile BIGINT, trace_id STRING, ingestion_date STRING, ingestion_hour INT"
+UNPLACED_CALLS = "node_id STRING, trace_id STRING"
+
 TOPOLOGY = "entity_type STRING, entity_id STRING, parent_id STRING, properties STRING"
 
 MESSAGES = "session_id STRING, turn_number INT, role STRING, content STRING, `timestamp` STRING, metadata STRING"
@@ -86,5 +98,9 @@ TABLES: dict[str, tuple[str, tuple[str, ...]]] = {
     "network_metrics": (NETWORK_METRICS, ("timestamp_ms", "node_id")),
     "request_routing": (ROUTING, ("trace_id", "span_id")),
     "trace_correlated": (CORRELATED, ("trace_id", "session_id")),
+    "trace_tiles": (TRACE_TILES, ("node_id", "tile", "trace_id")),
+    "unplaced_calls": (UNPLACED_CALLS, ("node_id", "trace_id")),
+    "window_changes": (WINDOW_CHANGES, ()),
+    "signature_slices": (SIGNATURE_SLICES, ("slice_ms", "signature")),
     "analytics_windows": (ANALYTICS_WINDOWS, ("window_size", "window_start_ms")),
 }

@@ -10,20 +10,22 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from spanloom import schemas
-from spanloom.operators.correlate import correlate, in_time_range
+from spanloom.functions.timeparts import floor_div, ingestion_date, ingestion_hour
+from spanloom.operators.correlate import correlate, in_time_range, timed_calls
 from spanloom.operators.infra import route_calls
 from spanloom.operators.otlp import flatten, undecodable
 from spanloom.operators.scoring import JudgeFactory, evaluate, rule_judge
 from spanloom.operators.steps import agent_steps, before_lookback, impacted_traces, of_traces, within_lookback
 from spanloom.operators.trajectory import trajectories
-from spanloom.operators.windows import drift_of, signature_windows
 from spanloom.options import CORRELATION, DRIFT, ROUTING, STEPS, CorrelationOptions, DriftOptions, RoutingOptions, StepOptions
+from spanloom.session import ship_package
 from spanloom.sources import changelog, tables
+from spanloom.streaming import incremental
 
 DEFAULT_TRIGGER = "5 minutes"
 
@@ -152,13 +154,29 @@ def start_quality(spark: SparkSession, chain: Pipeline) -> StreamingQuery:
     return start(_changes(spark, chain, "agent_steps"), "quality", work, chain)
 
 
+def _unplaced(spark: SparkSession, chain: Pipeline, batch: DataFrame, batch_id: int) -> DataFrame:
+    """Traces with calls that were routed before their node had any sample, if the batch brings samples of that node."""
+    waiting = _log(spark, chain, "unplaced_calls").where(F.col(changelog.BATCH) < batch_id)
+    nodes = batch.where("node_id IS NOT NULL").select("node_id").distinct()
+    return waiting.join(nodes, "node_id", "left_semi").select("trace_id").distinct()
+
+
 def start_routing(spark: SparkSession, chain: Pipeline) -> StreamingQuery:
+    """Calls of changed traces, and of traces that were routed before their node had a sample, by the newest sample of the node."""
+    changed = _changes(spark, chain, "agent_steps").select("trace_id", F.lit(None).cast("string").alias("node_id"))
+    sampled = _changes(spark, chain, "gpu_metrics").select(F.lit(None).cast("string").alias("trace_id"), "node_id")
+
     def work(batch: DataFrame, batch_id: int) -> None:
-        steps = current(spark, chain, "agent_steps", impacted_traces(batch))
+        named = batch.where("trace_id IS NOT NULL").select("trace_id")
+        traces = named.union(_unplaced(spark, chain, batch, batch_id)).distinct()
+        steps = current(spark, chain, "agent_steps", traces)
         gpus = current(spark, chain, "gpu_metrics")
         _write(route_calls(steps, gpus, options=chain.routing), chain, "request_routing", batch_id)
+        routed = _log(spark, chain, "request_routing").where(F.col(changelog.BATCH) == batch_id)
+        unplaced = routed.select("node_id", "trace_id").distinct().join(gpus.select("node_id"), "node_id", "left_anti")
+        changelog.write_batch(unplaced, chain.path("unplaced_calls"), batch_id)
 
-    return start(_changes(spark, chain, "agent_steps"), "routing", work, chain)
+    return start(changed.unionByName(sampled), "routing", work, chain)
 
 
 def start_metrics(
@@ -182,38 +200,75 @@ def start_network_metrics(spark: SparkSession, chain: Pipeline, landing: str) ->
     return start_metrics(spark, chain, landing, "network_metrics", tables.NETWORK_FORMAT)
 
 
+def tile_of(at: Column, chain: Pipeline) -> Column:
+    """Tiles as wide as the interval around a call, so that an interval meets two of them at most."""
+    return floor_div(at, 2 * chain.correlation.tolerance_ms + 1)
+
+
+def trace_tiles(calls: DataFrame, chain: Pipeline) -> DataFrame:
+    """The reverse index of correlation: tiles of time and nodes whose samples count for a trace."""
+    reach = chain.correlation.tolerance_ms
+    ends = F.array(tile_of(F.col("call_ts") - reach, chain), tile_of(F.col("call_ts") + reach, chain))
+    tiles = calls.select("node_id", "trace_id", F.explode(F.array_distinct(ends)).alias("tile")).distinct()
+    at = F.col("tile") * (2 * reach + 1)
+    return tiles.select("node_id", "tile", "trace_id", ingestion_date(at).alias("ingestion_date"), ingestion_hour(at).alias("ingestion_hour"))
+
+
+def sampled_traces(spark: SparkSession, chain: Pipeline, batch: DataFrame, batch_id: int) -> DataFrame:
+    """Correlated traces near the batch's samples. The index is divided by date, and only the samples' dates are read."""
+    width = 2 * chain.correlation.tolerance_ms + 1
+    tiles = batch.where("timestamp_ms IS NOT NULL").select("node_id", tile_of(F.col("timestamp_ms"), chain).alias("tile")).distinct()
+    tiles = tiles.withColumn("ingestion_date", ingestion_date(F.col("tile") * width))
+    index = _log(spark, chain, "trace_tiles").where(F.col(changelog.BATCH) < batch_id)
+    near = index.join(tiles.select("ingestion_date").distinct(), "ingestion_date", "left_semi")
+    return near.join(tiles, ["node_id", "tile"], "left_semi").select("trace_id").distinct()
+
+
 def start_correlated(spark: SparkSession, chain: Pipeline) -> StreamingQuery:
-    """Driven by new scores, trajectories and routed calls, so a trace is correlated whichever of them comes last."""
-    touched = _changes(spark, chain, "quality_scores").select("trace_id")
-    for table in ("trajectory_templates", "request_routing"):
-        touched = touched.unionByName(_changes(spark, chain, table).select("trace_id"))
+    """Driven by new scores, trajectories, routed calls and samples, so a trace is correlated whichever of them comes last."""
+    none = F.lit(None)
+    touched = None
+    for table in ("quality_scores", "trajectory_templates", "request_routing"):
+        rows = _changes(spark, chain, table).select("trace_id", none.cast("string").alias("node_id"), none.cast("bigint").alias("timestamp_ms"))
+        touched = rows if touched is None else touched.unionByName(rows)
+    for table in ("gpu_metrics", "network_metrics"):
+        touched = touched.unionByName(_changes(spark, chain, table).select(none.cast("string").alias("trace_id"), "node_id", "timestamp_ms"))
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        traces = impacted_traces(batch)
+        named = batch.where("trace_id IS NOT NULL").select("trace_id")
+        traces = named.union(sampled_traces(spark, chain, batch, batch_id)).distinct()
         paths = current(spark, chain, "trajectory_templates", traces)
+        routing = current_routing(spark, chain, traces)
         rows = correlate(
             paths,
             current(spark, chain, "quality_scores", traces),
-            current_routing(spark, chain, traces),
+            routing,
             samples_near(spark, chain, "gpu_metrics", paths),
             samples_near(spark, chain, "network_metrics", paths),
             options=chain.correlation,
         )
+        # The index first: a crash in between leaves tiles too many, never one too few.
+        changelog.write_batch(trace_tiles(timed_calls(paths, routing), chain), chain.path("trace_tiles"), batch_id)
         _write(rows, chain, "trace_correlated", batch_id)
 
     return start(touched, "correlated", work, chain)
 
 
 def start_windows(spark: SparkSession, chain: Pipeline) -> StreamingQuery:
-    """Full recompute of the small window table per trigger."""
+    """Correlated traces -> changes of slices -> the windows they are in; work follows the batch (see ``incremental``)."""
+    ship_package(spark)
+    signed = incremental.changes(_changes(spark, chain, "trace_correlated"), chain.drift)
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        incremental.update(batch, chain.folder.rstrip("/"), batch_id, chain.drift)
+
+    writer = signed.writeStream.outputMode("update").foreachBatch(on_batch)
+    writer = writer.option("checkpointLocation", chain.checkpoint("windows")).queryName("windows")
+    return _triggered(writer, chain).start()
 
-    def work(batch: DataFrame, batch_id: int) -> None:
-        # Written first, so that the history of correlated traces is read once per trigger.
-        folder = chain.path("signature_windows")
-        tables.overwrite(signature_windows(current(spark, chain, "trace_correlated"), chain.drift), folder)
-        tables.overwrite(drift_of(spark.read.parquet(folder), chain.drift), chain.path("analytics_windows"))
 
-    return start(_changes(spark, chain, "trace_correlated"), "windows", work, chain)
+def current_windows(spark: SparkSession, chain: Pipeline) -> DataFrame:
+    return incremental.current_windows(spark, chain.folder.rstrip("/"))
 
 
 def run_to_end(spark: SparkSession, chain: Pipeline, messages: str, gpu: str, network: str) -> None:

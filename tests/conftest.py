@@ -3,13 +3,11 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
 
 from spanloom import schemas  # noqa: E402
 from spanloom.session import local_session  # noqa: E402
-
-T = 1_700_000_000_000
-
+from times import T  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import T
+from times import T
 from pyspark.sql import functions as F
 
 from spanloom import schemas

@@ -39,8 +39,32 @@ def test_agents_without_an_end_stay_active(spark):
     assert rows == [(1000, 1), (2000, 2), (3000, 1)]
 
 
+LIBRARY = f"""
+import sys; sys.path.insert(0, {str(ROOT)!r})
+from spanloom.operators import retrieval, scoring
+from spanloom.session import local_session
+spark = local_session("elsewhere", 2)
+rows = spark.createDataFrame([(i, "text " + str(i)) for i in range(9)], "id BIGINT, text STRING")
+vectors = retrieval.embed(rows, "text", retrieval.hashing_embedder())
+print("nearest", retrieval.nearest(vectors, vectors.withColumnRenamed("id", "query_id"), 2).count())
+print("asked", scoring.ask(rows, scoring.rule_judge, "text").where("reply IS NOT NULL").count())
+"""
+
+
+def _elsewhere(script, folder):
+    """Python started in another folder, without a search path."""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "-c", script], cwd=folder, env=env, capture_output=True, text=True, timeout=300)
+    assert run.returncode == 0, run.stderr[-2000:]
+    return run.stdout.split()
+
+
+def test_workers_get_the_package_from_the_library(tmp_path):
+    assert _elsewhere(LIBRARY, tmp_path) == ["nearest", "18", "asked", "9"]
+
+
 def test_workers_get_the_package(tmp_path):
-    """Python started elsewhere, without a search path, imports the entry by its path and runs queries that need Python workers."""
+    """The entry is imported by its path, and queries that need Python workers run."""
     script = f"""
 import importlib.util
 spec = importlib.util.spec_from_file_location("entry", {str(ROOT / "__spark_entry__.py")!r})
@@ -50,7 +74,4 @@ spark = local_session("elsewhere", 2)
 for name in ("judged_traces", "nearest_vectors"):
     print(name, entry.queries()[name](spark, "/root/testdata/sf0.001").count())
 """
-    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
-    run = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
-    assert run.returncode == 0, run.stderr[-2000:]
-    assert len(run.stdout.split()) == 4
+    assert len(_elsewhere(script, tmp_path)) == 4

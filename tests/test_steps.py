@@ -1,7 +1,5 @@
-import json
-
 import pytest
-from conftest import T
+from times import T, message
 
 from spanloom import schemas
 from spanloom.operators.otlp import flatten, undecodable
@@ -11,11 +9,6 @@ from spanloom.operators.trajectory import template_distribution, trajectories
 from spanloom.options import StepOptions
 
 
-def message(*spans, service="svc"):
-    resource = {"attributes": [{"key": "service.name", "value": {"stringValue": service}}]}
-    return json.dumps({"resourceSpans": [{"resource": resource, "scopeSpans": [{"spans": [s]} for s in spans]}]})
-
-
 def test_flatten_nested_and_broken(spark):
     texts = [
         message(

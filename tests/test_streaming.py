@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from test_steps import message
+from times import message
 
 from spanloom import schemas
 from spanloom.operators.otlp import flatten, undecodable
@@ -80,7 +80,7 @@ def test_whole_chain(spark, chain, tmp_path):
         (tmp_path / name).mkdir()
         (tmp_path / name / "1.json").write_text(json.dumps(row) + "\n")
     jobs.run_to_end(spark, pipeline, str(landing), str(tmp_path / "gpu"), str(tmp_path / "net"))
-    windows = tables.scan(spark, pipeline.path("analytics_windows"), schemas.ANALYTICS_WINDOWS)
+    windows = jobs.current_windows(spark, pipeline)
     assert {r["window_size"]: r["trace_count"] for r in windows.collect()} == {"5min": 2, "30min": 2, "1h": 2}
     rejects = changelog.read_log(spark, pipeline.path("gpu_metrics_rejects"), "value STRING, reject_reason STRING")
     assert rejects.count() == 1
