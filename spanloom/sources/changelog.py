@@ -47,6 +47,12 @@ def stream_log(spark: SparkSession, path: str, schema: str, max_files: int | Non
     return reader.parquet(path).select(full.names)
 
 
+def once(df: DataFrame, path: str) -> DataFrame:
+    """Rows a micro-batch uses several times, computed once: written to a scratch table of the job, which the next batch replaces."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def largest_per_key(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per key: the largest. An aggregation, not a window, so rows of one key are combined before the shuffle."""
     others = [c for c in rows.columns if c not in keys]

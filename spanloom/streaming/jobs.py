@@ -47,6 +47,9 @@ class Pipeline:
     def path(self, table: str) -> str:
         return f"{self.folder.rstrip('/')}/{table}"
 
+    def scratch(self, name: str) -> str:
+        return f"{self.folder.rstrip('/')}/scratch/{name}"
+
     def checkpoint(self, job: str) -> str:
         return f"{self.folder.rstrip('/')}/checkpoints/{job}"
 
@@ -235,10 +238,11 @@ def start_correlated(spark: SparkSession, chain: Pipeline) -> StreamingQuery:
         touched = touched.unionByName(_changes(spark, chain, table).select(none.cast("string").alias("trace_id"), "node_id", "timestamp_ms"))
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        named = batch.where("trace_id IS NOT NULL").select("trace_id")
-        traces = named.union(sampled_traces(spark, chain, batch, batch_id)).distinct()
-        paths = current(spark, chain, "trajectory_templates", traces)
-        routing = current_routing(spark, chain, traces)
+        near = changelog.once(batch, chain.scratch("touched"))
+        named = near.where("trace_id IS NOT NULL").select("trace_id")
+        traces = changelog.once(named.union(sampled_traces(spark, chain, near, batch_id)).distinct(), chain.scratch("traces"))
+        paths = changelog.once(current(spark, chain, "trajectory_templates", traces), chain.scratch("paths"))
+        routing = changelog.once(current_routing(spark, chain, traces), chain.scratch("routing"))
         rows = correlate(
             paths,
             current(spark, chain, "quality_scores", traces),
