@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.set_join import SETS, linked, packed_set
+from spanloom.llm.set_join import SETS, SETS_DDL, linked, packed_set
 from spanloom.llm.tables import small_batches, written
 from spanloom.llm.textarrays import mix, shingle_sets
 
@@ -73,7 +73,7 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (80, 100), doc
     def band(batches):
         permutations = Permutations()
         for b in batches:
-            out: dict[str, list] = {"doc_id": [], "n": [], "keys": [], "members": []}
+            out: dict[str, list] = {"doc_id": [], "n": [], "own": [], "keys": [], "members": []}
             for i, shingles in zip(b["doc_id"].to_pylist(), shingle_sets(b["text"], SHINGLE_WORDS), strict=True):
                 values = permutations.signature(shingles).reshape(-1, BAND_ROWS).astype(np.uint64)
                 number = np.arange(len(values), dtype=np.uint64)
@@ -81,12 +81,12 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (80, 100), doc
                 for column in values.T:
                     keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + column)
                 known = len(shingles) and i is not None
-                for name, value in zip(out, (i, len(shingles), keys.astype(np.int64) if known else [], packed_set(shingles)), strict=True):
+                for name, value in zip(out, (i, len(shingles), 0, keys.astype(np.int64) if known else [], packed_set(shingles)), strict=True):
                     out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, schema=SETS)
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sets = written(rows.mapInArrow(band, "doc_id bigint, n int, keys array<bigint>, members binary"), "bands")
-    lists = sets.select("doc_id", "n", F.explode("keys").alias("key"), F.lit(0).alias("place"))
-    labels = linked(lists, sets.select("doc_id", "n", "members"), threshold)
+    sets = written(rows.mapInArrow(band, SETS_DDL), "bands")
+    lists = sets.select("doc_id", "n", "own", F.explode("keys").alias("key"))
+    labels = linked(lists, sets.select("doc_id", "members"), threshold)
     return sets.select("doc_id").join(labels, "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))

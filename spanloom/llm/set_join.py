@@ -7,10 +7,12 @@ Two sets of n and m shingles reach similarity t (a rational) only if they share
 * Heavy pairs: inverted lists, scanned for the rarest n - ceil(t n) + 1 shingles of each set (two sets that link share one of
   these). Shingles no other document has cannot join anything, so they open no list; in most documents none is left.
 
-A list is not expanded into pairs. First its sets are verified against one set of the list, the star, and the links found are
-closed into components. Only lists that still hold several components compare sets of different components, with the size
-and position filters before verification; this finds every link that could still join components. Equal sets are one class
-from the start, represented by their smallest id.
+A list is not expanded into pairs. Its sets are verified against one set of the list, the star, and the links found are closed
+into components: first the set with the fewest shingles of its own, which is the one all copies come from, then, while lists
+hold many pairs of components, sets in random order. Lists that still hold several components are cut into blocks, ordered by component
+and size; blocks are compared as wholes, unless they are of one component or their sizes rule links out, and only links that
+join components come out. This finds every link that could still join components, and no row is made per pair. Equal sets are one
+class from the start, represented by their smallest id.
 
 Null or empty texts have an empty set and link with nothing. Rows with one id are one node. A null id is linked with nothing
 and keeps a null component. Empty tables give no rows; other columns are not read.
@@ -25,12 +27,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.bucketed import bucket_count, dealt, first_of
 from spanloom.llm.components import components
-from spanloom.llm.packs import decode, packed
+from spanloom.llm.packs import decode, encode, packed
 from spanloom.llm.tables import written
 from spanloom.llm.textarrays import mix, shingle_sets
 
@@ -42,8 +44,13 @@ SCAN = 4
 # Sets are verified on 48-bit hashes kept as 6 bytes.
 _KEPT_BYTES = 6
 
-SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("members", pa.binary())])
-SETS_DDL = "doc_id bigint, n int, keys array<bigint>, members binary"
+# Rounds of stars go on while lists hold more than so many pairs of sets of different components per entry.
+OPEN_PAIRS, MOST_ROUNDS = 4, 6
+# Sets and shingles of one block.
+BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 16
+
+SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("own", pa.int32()), ("keys", pa.list_(pa.int64())), ("members", pa.binary())])
+SETS_DDL = "doc_id bigint, n int, own int, keys array<bigint>, members binary"
 
 
 def needed(n: int, m: int, threshold: tuple[int, int]) -> int:
@@ -197,15 +204,12 @@ def _emit(k: int, buckets: int, light: int, threshold: tuple[int, int]):
                 if len(own) in _in_lists(light, threshold, len(own)):
                     rarest = np.lexsort((own, levels))[: prefix_length(len(own), threshold)]
                     shared = rarest[levels[rarest] > 1]
-                    # The place of the shingle in its set's order goes into the list, for the position filter.
-                    place = np.flatnonzero(levels[rarest] > 1)
-                    entries = np.concatenate([own[shared].astype(np.int64), place.astype(np.int64)])
+                    entries = own[shared].astype(np.int64)
                 else:
                     entries = np.zeros(0, np.int64)
                 if len(keys) or len(entries):
-                    half = len(entries) // 2
-                    values = np.concatenate([[half], entries, keys.astype(np.int64)])
-                    for name, value in zip(SETS.names, (p.ids[row], len(own), values, packed_set(own)), strict=True):
+                    values = np.concatenate([entries, keys.astype(np.int64)])
+                    for name, value in zip(SETS.names, (p.ids[row], len(own), int((levels < 2).sum()), values, packed_set(own)), strict=True):
                         out[name].append(value)
         return pa.table(out, schema=SETS)
 
@@ -236,42 +240,150 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) ->
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(verify, "a bigint, b bigint")
 
 
-def _sizes_fit(n: Column, m: Column, threshold: tuple[int, int]) -> Column:
+def _open(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Entries of the lists that hold several components, with their component."""
+    if labels is None:
+        labelled = lists.withColumn("component", F.col("doc_id"))
+    else:
+        labelled = lists.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component_id", "doc_id")).drop("component_id")
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return written(labelled.join(mixed.select("key"), "key", "left_semi"), "open")
+
+
+def _starred(entries: DataFrame, round_: int, threshold: tuple[int, int]) -> DataFrame:
+    """(a, b): each set with the star of its lists that it meets most often, among sets of about its size."""
     num, den = threshold
-    return (den * F.least(n, m) >= num * F.greatest(n, m))
+    step = float(np.log(den / num) / 2)
+    sized = entries.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int"))
+    order = F.col("own").cast("bigint") if round_ == 0 else F.xxhash64("doc_id", F.lit(round_))
+    stars = sized.groupBy("key", "size").agg(F.min(F.struct(order.alias("order"), F.col("doc_id").alias("star"), F.col("component").alias("of"))).alias("s"))
+    met = sized.join(stars, ["key", "size"]).where("component <> s.of").groupBy("doc_id", "s.star").count()
+    best = met.groupBy("doc_id").agg(F.max_by("star", F.struct("count", -F.col("star"))).alias("b"))
+    return best.withColumnRenamed("doc_id", "a")
+
+
+_BLOCKS = pa.schema([("key", pa.int64()), ("first", pa.int64()), ("least", pa.int32()), ("most", pa.int32()), ("component", pa.int64()), ("body", pa.binary())])
+_BLOCKS_DDL = "key bigint, first bigint, least int, most int, component bigint, body binary"
+
+
+def _cut(batches):
+    """Blocks of the entries of a list, which come in order of component and size; their component is null if they hold several."""
+    held: list[dict] = []
+    shingles = 0
+
+    def block() -> pa.RecordBatch:
+        rows = pa.Table.from_pylist(held)
+        sizes, of = [r["n"] for r in held], {r["component"] for r in held}
+        row = (held[0]["key"], held[0]["doc_id"], min(sizes), max(sizes), of.pop() if len(of) == 1 else None, encode(rows))
+        return pa.RecordBatch.from_pylist([dict(zip(_BLOCKS.names, row, strict=True))], schema=_BLOCKS)
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and (row["key"] != held[0]["key"] or len(held) == BLOCK_SETS or shingles + row["n"] > BLOCK_SHINGLES):
+                yield block()
+                held, shingles = [], 0
+            held.append(row)
+            shingles += row["n"]
+    if held:
+        yield block()
+
+
+class _Sets:
+    def __init__(self, body: bytes):
+        rows = decode(body)
+        self.ids, self.components = rows["doc_id"].to_numpy(), rows["component"].to_numpy()
+        self.sizes = rows["n"].to_numpy().astype(np.int64)
+        self.values = np.concatenate([unpacked_set(m) for m in rows["members"].to_pylist()])
+        self.owner = np.repeat(np.arange(len(self.ids)), self.sizes)
+
+
+def joining_links(a: _Sets, b: _Sets, threshold: tuple[int, int]) -> list[tuple[int, int]]:
+    """Links between sets of different components; of those that join the same components one is enough."""
+    num, den = threshold
+    every, place = np.unique(np.concatenate([a.values, b.values]), return_inverse=True)
+    # Only shingles that both sides have add to an intersection.
+    x, y = (np.zeros(len(every), bool) for _ in range(2))
+    x[place[: len(a.values)]] = True
+    y[place[len(a.values) :]] = True
+    column = np.cumsum(x & y) - 1
+    left, right = (np.zeros((len(s.ids), int((x & y).sum())), np.float32) for s in (a, b))
+    for matrix, s, own in ((left, a, place[: len(a.values)]), (right, b, place[len(a.values) :])):
+        both = (x & y)[own]
+        matrix[s.owner[both], column[own[both]]] = 1
+    shared = np.rint(left @ right.T).astype(np.int64)
+    near = (den * shared >= num * (a.sizes[:, None] + b.sizes - shared)) & (a.components[:, None] != b.components)
+    parent: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while v in parent:
+            v = parent[v]
+        return v
+
+    out = []
+    for i, j in zip(*np.nonzero(near), strict=True):
+        p, q = root(int(a.components[i])), root(int(b.components[j]))
+        if p != q:
+            parent[p] = q
+            out.append((int(a.ids[i]), int(b.ids[j])))
+    return out
+
+
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _compared(threshold: tuple[int, int]):
+    def run(batches):
+        for batch in batches:
+            bodies = zip(*(batch[c] for c in (("left", "right") if "right" in batch.schema.names else ("body", "body"))), strict=True)
+            out = []
+            for left, right in bodies:
+                a = _Sets(left.as_py())
+                out += joining_links(a, a if left is right else _Sets(right.as_py()), threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], []))], schema=_LINKS)
+
+    return run
+
+
+def _block_links(entries: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(a, b) of links that join components of open lists."""
+    num, den = threshold
+    full = written(entries.join(sets, "doc_id").select("key", "component", "n", "doc_id", "members"), "open_sets")
+    order = ["key", "component", "n", "doc_id"]
+    blocks = written(full.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_cut, _BLOCKS_DDL), "blocks")
+    inside = blocks.where("component IS NULL").select("body").mapInArrow(_compared(threshold), "a bigint, b bigint")
+    long = blocks.groupBy("key").count().where("count > 1").select("key")
+    some = blocks.join(long, "key", "left_semi")
+    x, y = some.alias("x"), some.alias("y")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.first") < F.col("y.first")))
+    met = met.where(~F.col("x.component").eqNullSafe(F.col("y.component")) | F.col("x.component").isNull())
+    met = met.where((den * F.col("x.most") >= num * F.col("y.least")) & (den * F.col("y.most") >= num * F.col("x.least")))
+    across = met.select(F.col("x.body").alias("left"), F.col("y.body").alias("right")).mapInArrow(_compared(threshold), "a bigint, b bigint")
+    return written(inside.union(across), "links")
 
 
 def linked(lists: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """(doc_id, component_id) of the ids that link with another. ``lists``: doc_id, n, key, place; ``sets``: doc_id, members."""
+    """(doc_id, component_id) of the ids that link with another. ``lists``: doc_id, n, own, key; ``sets``: doc_id, members."""
     shared = lists.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     lists = written(lists.join(shared.select("key"), "key", "left_semi"), "lists")
-    # Each id is verified against one star first: the smallest of any list, among sets of about its size.
-    num, den = threshold
-    step = float(np.log(den / num) / 2)
-    sized = lists.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int"))
-    stars = sized.groupBy("key", "size").agg(F.min("doc_id").alias("star"))
-    met = sized.join(stars, ["key", "size"]).where("star < doc_id").groupBy("doc_id", "star").count()
-    first = met.groupBy("doc_id").agg(F.max_by("star", F.struct("count", -F.col("star"))).alias("b"))
-    links = written(_verified(first.withColumnRenamed("doc_id", "a"), sets, threshold), "links")
-    labels = written(components(links), "labels")
-    # Lists that still hold several components: sets of different components, after the cheap filters.
-    labelled = lists.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component_id", "doc_id"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    open_lists = written(labelled.join(mixed.select("key"), "key", "left_semi").select("key", "doc_id", "n", "place", "component"), "open")
-    x, y = open_lists.alias("x"), open_lists.alias("y")
-    rest = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
-    # A pair that links keeps the list of its first shared shingle: from these places on, at most ``rest`` can be shared.
-    enough = (den + num) * rest >= num * (F.col("x.n") + F.col("y.n"))
-    pairs = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")))
-        .where(_sizes_fit(F.col("x.n"), F.col("y.n"), threshold) & enough)
-        .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-        .distinct()
-    )
-    more = written(_verified(pairs, sets, threshold), "links")
-    if more.isEmpty():
-        return labels
-    return components(links.union(more))
+    labels, links = None, None
+    for round_ in range(MOST_ROUNDS):
+        entries = _open(lists, labels)
+        if round_:
+            per = entries.groupBy("key", "component").count().groupBy("key").agg(F.sum("count").alias("t"), F.sum(F.col("count") * F.col("count")).alias("s"))
+            pairs, count = per.agg(F.sum((F.col("t") * F.col("t") - F.col("s")) / 2), F.sum("t")).first()
+            if not count:
+                return labels
+            if pairs <= OPEN_PAIRS * count:
+                break
+        found = written(_verified(_starred(entries, round_, threshold), sets, threshold), "links")
+        if round_ and found.isEmpty():
+            break
+        links = found if links is None else links.union(found)
+        labels = written(components(links), "labels")
+    else:
+        entries = _open(lists, labels)
+    more = _block_links(entries, sets, threshold)
+    return labels if more.isEmpty() else components(links.union(more))
 
 
 def similar_components(
@@ -305,14 +417,9 @@ def similar_components(
     sets = written(
         bodies.groupBy("pack_id").cogroup(right.groupBy("pack_id")).applyInArrow(_emit(k, buckets, light, threshold), SETS_DDL), "keys"
     )
-    # keys: the number of list entries, their shingles, their places, then the subset keys.
-    size = F.col("keys")[0].cast("int")
-    entries = F.arrays_zip(
-        F.slice("keys", F.lit(2), size).alias("key"), F.slice("keys", size + 2, size).alias("place")
-    )
-    heavy = sets.select("doc_id", "n", F.explode(entries).alias("e")).select("doc_id", "n", F.col("e.key").alias("key"), F.col("e.place").cast("int").alias("place"))
-    subsets = sets.select("doc_id", "n", F.explode(F.slice("keys", size * 2 + 2, F.size("keys"))).alias("key"), F.lit(0).alias("place"))
-    labels = linked(heavy.union(subsets), sets.select("doc_id", "members"), threshold)
+    # keys: shingles whose list the set is in, and its subsets.
+    lists = sets.select("doc_id", "n", "own", F.explode("keys").alias("key"))
+    labels = linked(lists, sets.select("doc_id", "members"), threshold)
     classes = firsts.select("class", "doc_id").join(labels, "doc_id", "left")
     named = classes.select("class", F.coalesce("component_id", "doc_id").alias("component"))
     counted = F.when(F.col("n") > 0, F.col("class"))

@@ -88,6 +88,36 @@ def test_boundary_sizes_and_chains(spark):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("block", [2, 256])
+def test_many_sets_that_share_a_passage(spark, monkeypatch, block):
+    """One large list of sets that do not link, of sets that link with the text they come from only, and of chains."""
+    monkeypatch.setattr(set_join, "BLOCK_SETS", block)
+    rnd = np.random.default_rng(block)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 60):
+        own = list(base)
+        for at in rnd.choice(60, rnd.integers(1, 5), replace=False):
+            own[at] = f"x{i}.{at}"
+        rows.append((i, " ".join(own)))
+    rows += [(100 + i, " ".join([*base[:20], *(f"y{i}.{k}" for k in range(40))])) for i in range(40)]
+    rows += [(200 + i, " ".join([*base[:20], *(f"z{k}" for k in range(i, i + 60))])) for i in range(20)]
+    got = Counter(tuple(r) for r in set_join.similar_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == brute_components(rows)
+
+
+def test_links_between_blocks_are_those_that_join_components():
+    def block(ids, components, sets):
+        packed = [set_join.packed_set(np.array(sorted(x), np.uint64)) for x in sets]
+        table = pa.table({"doc_id": ids, "component": components, "n": pa.array([len(x) for x in sets], pa.int32()), "members": packed})
+        return set_join._Sets(set_join.encode(table))
+
+    a = block([1, 2, 3], [1, 1, 3], [range(10), range(1, 11), range(50, 60)])
+    b = block([4, 5, 6], [4, 5, 3], [range(10), range(1, 10), range(50, 60)])
+    assert set_join.joining_links(a, b, (80, 100)) == [(1, 4), (1, 5)]
+    assert set_join.joining_links(a, a, (80, 100)) == []
+
+
 @pytest.mark.parametrize("n", range(1, 40))
 def test_sizes_of_partners_and_overlaps(n):
     for m in range(1, 60):
