@@ -5,8 +5,8 @@ computed by the forward algorithm; a text is the product of its words. Piece pro
 maximisation, whose expected counts also sum over all segmentations. Words are runs of letters in lower case with the
 vocabulary's word mark in front; a letter without a piece is a piece of its own with a small fixed probability.
 
-The model is fitted on a bounded sample, about ``per_language`` documents of each language in the order of a hash of their
-id; prediction covers all documents and whole texts.
+The model is fitted on a bounded sample, about ``per_language`` documents and at most about ``sample_chars`` characters of each
+language in the order of a hash of their id, of which every word counts; prediction covers all documents and whole texts.
 
 Texts without letters (null, empty) get ``und`` with score 0, as does everything if nothing could be learned. Ties go to the
 alphabetically first language. All columns are kept; columns of the new names are replaced.
@@ -27,9 +27,8 @@ from pyspark.sql import types as T
 
 from spanloom.llm.tables import small_batches
 
-PER_LANGUAGE, ROUNDS = 1500, 3
-# Words met once in the fitted sample are left out of the fit if there are more distinct words than this.
-FITTED_WORDS = 60_000
+# The fitted sample: so many documents and characters of each language, as expected numbers (one text may go beyond by itself).
+PER_LANGUAGE, SAMPLE_CHARS, ROUNDS = 1500, 4_000_000, 3
 # Pieces that stand for a letter the vocabulary does not have; smoothing of the expected counts.
 UNKNOWN, SMOOTHING = 1e-6, 0.05
 # Probabilities are scaled per letter so that those of words of up to LONG letters stay within doubles.
@@ -122,17 +121,21 @@ def scaled(p: np.ndarray, listed: list[str]) -> np.ndarray:
 
 def fit_pieces(words: dict[str, int], listed: list[str], rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities of one language from its word counts; one more for the unknown letter."""
-    number = piece_numbers(listed)
-    used = [w for w in words if len(w) <= LONG]
-    if len(used) > FITTED_WORDS:
-        used = [w for w in used if words[w] > 1]
+    number, width = piece_numbers(listed), widths(listed)
+    counted: Counter[str] = Counter()
+    for word, count in words.items():
+        # Longer words are fitted in parts, so that every letter counts.
+        for i in range(0, len(word), LONG):
+            counted[word[i : i + LONG]] += count
+    used = sorted(counted, key=len)
     p = np.full(len(listed) + 1, 1 / len(listed))
     p[-1] = UNKNOWN
-    parts = [used[i : i + 4096] for i in range(0, len(used), 4096)]
-    lattices = [(Lattice(part, number, widths(listed)), np.array([words[w] for w in part], float)) for part in parts]
     for _ in range(rounds if used else 0):
         expected, q = np.zeros(len(p)), scaled(p[:, None], listed)
-        for lattice, counts in lattices:
+        # One part's edges at a time, whatever the number of words.
+        for i in range(0, len(used), 4096):
+            part = used[i : i + 4096]
+            lattice, counts = Lattice(part, number, width), np.array([counted[w] for w in part], float)
             alpha, beta = lattice.forward(q)[:, :, 0], lattice.backward(q)[:, :, 0]
             whole = alpha[np.arange(len(counts)), lattice.sizes]
             through = alpha[lattice.word, lattice.start] * q[lattice.piece, 0] * beta[lattice.word, lattice.end]
@@ -221,17 +224,19 @@ class Scorer:
 
 
 def learn(
-    docs: DataFrame, learnable: Column, vocabulary: str | Path, per_language: int = PER_LANGUAGE,
+    docs: DataFrame, learnable: Column, vocabulary: str | Path, per_language: int = PER_LANGUAGE, sample_chars: int = SAMPLE_CHARS,
     doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
 ) -> Model:
     """Fits piece probabilities of every language of the learnable rows."""
     small_batches(docs.sparkSession)
     listed = pieces(vocabulary)
     usable = docs.where(learnable & F.col(text).isNotNull() & F.col(lang).isNotNull())
-    counts = usable.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("_rows"))
+    counts = usable.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("_rows"), F.sum(F.char_length(text)).alias("_chars"))
     place = F.pmod(F.xxhash64(doc_id), F.lit(1 << 52)) / F.lit(float(1 << 52))
     # One row per language, as the model has one column for each: small enough for every task, so no text is shuffled.
-    sample = usable.join(F.broadcast(counts), F.col(lang) == F.col("_lang")).where(place < F.lit(float(per_language)) / F.col("_rows"))
+    sample = usable.join(F.broadcast(counts), F.col(lang) == F.col("_lang")).where(
+        (place < F.lit(float(per_language)) / F.col("_rows")) & (place * F.col("_chars") <= F.lit(float(sample_chars)))
+    )
 
     def count(batches):
         for b in batches:

@@ -87,6 +87,6 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (80, 100), doc
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sets = written(rows.mapInArrow(band, SETS_DDL), "bands")
-    lists = sets.select("doc_id", "n", "own", F.explode("keys").alias("key"))
+    lists = sets.select("doc_id", "n", "own", F.explode("keys").alias("key"), F.lit(0).alias("place"))
     labels = linked(lists, sets.select("doc_id", "members"), threshold)
     return sets.select("doc_id").join(labels, "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -8,11 +8,12 @@ Two sets of n and m shingles reach similarity t (a rational) only if they share
   these). Shingles no other document has cannot join anything, so they open no list; in most documents none is left.
 
 A list is not expanded into pairs. Its sets are verified against one set of the list, the star, and the links found are closed
-into components: first the set with the fewest shingles of its own, which is the one all copies come from, then, while lists
-hold many pairs of components, sets in random order. Lists that still hold several components are cut into blocks, ordered by component
-and size; blocks are compared as wholes, unless they are of one component or their sizes rule links out, and only links that
-join components come out. This finds every link that could still join components, and no row is made per pair. Equal sets are one
-class from the start, represented by their smallest id.
+into components: first the set with the fewest shingles of its own, which is the one all copies come from, then, while long lists
+hold many pairs of components, sets in random order. Of the lists that still hold several components, short ones give their pairs, after
+the size and position filters; long ones are cut into blocks, ordered by component and size, that are compared as
+wholes, unless they are of one component or their sizes rule links out. A long list makes no row per pair, and only links that join
+components come out of it. This finds every link that could still join components. Equal sets are one class from the start,
+represented by their smallest id.
 
 Null or empty texts have an empty set and link with nothing. Rows with one id are one node. A null id is linked with nothing
 and keeps a null component. Empty tables give no rows; other columns are not read.
@@ -44,7 +45,7 @@ SCAN = 4
 # Sets are verified on 48-bit hashes kept as 6 bytes.
 _KEPT_BYTES = 6
 
-# Rounds of stars go on while lists hold more than so many pairs of sets of different components per entry.
+# A list is long while it holds more than so many pairs of sets of different components per entry; rounds of stars.
 OPEN_PAIRS, MOST_ROUNDS = 4, 6
 # Sets and shingles of one block.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 16
@@ -204,11 +205,13 @@ def _emit(k: int, buckets: int, light: int, threshold: tuple[int, int]):
                 if len(own) in _in_lists(light, threshold, len(own)):
                     rarest = np.lexsort((own, levels))[: prefix_length(len(own), threshold)]
                     shared = rarest[levels[rarest] > 1]
-                    entries = own[shared].astype(np.int64)
+                    # The place of the shingle in its set's order goes into the list, for the position filter.
+                    place = np.flatnonzero(levels[rarest] > 1)
+                    entries = np.concatenate([own[shared].astype(np.int64), place.astype(np.int64)])
                 else:
                     entries = np.zeros(0, np.int64)
                 if len(keys) or len(entries):
-                    values = np.concatenate([entries, keys.astype(np.int64)])
+                    values = np.concatenate([[len(entries) // 2], entries, keys.astype(np.int64)])
                     for name, value in zip(SETS.names, (p.ids[row], len(own), int((levels < 2).sum()), values, packed_set(own)), strict=True):
                         out[name].append(value)
         return pa.table(out, schema=SETS)
@@ -344,8 +347,21 @@ def _compared(threshold: tuple[int, int]):
     return run
 
 
+def _pair_links(entries: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(a, b) of links in short lists: their pairs of sets of different components, after the size and position filters."""
+    num, den = threshold
+    x, y = entries.alias("x"), entries.alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
+    sizes = den * F.least(n, m) >= num * F.greatest(n, m)
+    rest = F.least(n - F.col("x.place"), m - F.col("y.place"))
+    # A pair that links keeps the list of its first shared shingle: from these places on, at most ``rest`` can be shared.
+    enough = (den + num) * rest >= num * (n + m)
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))).where(sizes & enough)
+    return _verified(pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), sets, threshold)
+
+
 def _block_links(entries: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """(a, b) of links that join components of open lists."""
+    """(a, b) of links that join components of long lists."""
     num, den = threshold
     full = written(entries.join(sets, "doc_id").select("key", "component", "n", "doc_id", "members"), "open_sets")
     order = ["key", "component", "n", "doc_id"]
@@ -362,27 +378,24 @@ def _block_links(entries: DataFrame, sets: DataFrame, threshold: tuple[int, int]
 
 
 def linked(lists: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """(doc_id, component_id) of the ids that link with another. ``lists``: doc_id, n, own, key; ``sets``: doc_id, members."""
+    """(doc_id, component_id) of the ids that link with another. ``lists``: doc_id, n, own, key, place; ``sets``: doc_id, members."""
     shared = lists.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     lists = written(lists.join(shared.select("key"), "key", "left_semi"), "lists")
-    labels, links = None, None
+    labels, links, entries, long = None, None, _open(lists, None), None
     for round_ in range(MOST_ROUNDS):
-        entries = _open(lists, labels)
-        if round_:
-            per = entries.groupBy("key", "component").count().groupBy("key").agg(F.sum("count").alias("t"), F.sum(F.col("count") * F.col("count")).alias("s"))
-            pairs, count = per.agg(F.sum((F.col("t") * F.col("t") - F.col("s")) / 2), F.sum("t")).first()
-            if not count:
-                return labels
-            if pairs <= OPEN_PAIRS * count:
-                break
         found = written(_verified(_starred(entries, round_, threshold), sets, threshold), "links")
         if round_ and found.isEmpty():
             break
         links = found if links is None else links.union(found)
         labels = written(components(links), "labels")
-    else:
         entries = _open(lists, labels)
-    more = _block_links(entries, sets, threshold)
+        # Lists whose pairs of sets of different components outnumber their entries by far.
+        per = entries.groupBy("key", "component").count().groupBy("key").agg(F.sum("count").alias("t"), F.sum(F.col("count") * F.col("count")).alias("s"))
+        long = written(per.where((F.col("t") * F.col("t") - F.col("s")) / 2 > OPEN_PAIRS * F.col("t")).select("key"), "long")
+        if long.isEmpty():
+            break
+    pairs = _pair_links(entries.join(long, "key", "left_anti"), sets, threshold)
+    more = written(pairs.union(_block_links(entries.join(long, "key", "left_semi"), sets, threshold)), "links")
     return labels if more.isEmpty() else components(links.union(more))
 
 
@@ -417,8 +430,12 @@ def similar_components(
     sets = written(
         bodies.groupBy("pack_id").cogroup(right.groupBy("pack_id")).applyInArrow(_emit(k, buckets, light, threshold), SETS_DDL), "keys"
     )
-    # keys: shingles whose list the set is in, and its subsets.
-    lists = sets.select("doc_id", "n", "own", F.explode("keys").alias("key"))
+    # keys: the number of list entries, their shingles, their places, then the subset keys.
+    size = F.col("keys")[0].cast("int")
+    entries = F.arrays_zip(F.slice("keys", F.lit(2), size).alias("key"), F.slice("keys", size + 2, size).alias("place"))
+    heavy = sets.select("doc_id", "n", "own", F.explode(entries).alias("e")).select("doc_id", "n", "own", "e.key", F.col("e.place").cast("int").alias("place"))
+    subsets = sets.select("doc_id", "n", "own", F.explode(F.slice("keys", size * 2 + 2, F.size("keys"))).alias("key"), F.lit(0).alias("place"))
+    lists = heavy.union(subsets)
     labels = linked(lists, sets.select("doc_id", "members"), threshold)
     classes = firsts.select("class", "doc_id").join(labels, "doc_id", "left")
     named = classes.select("class", F.coalesce("component_id", "doc_id").alias("component"))

@@ -136,6 +136,45 @@ def test_forward_sums_all_segmentations(words):
             assert scorer._long(w)[k] == pytest.approx(math.log(expected))
 
 
+def cuts(word, listed):
+    """All segmentations as lists of pieces; a letter without a piece is None."""
+    if not word:
+        return [[]]
+    out = [[word[:j], *rest] for j in range(1, len(word) + 1) if word[:j] in listed for rest in cuts(word[j:], listed)]
+    return out if word[0] in listed else out + [[None, *rest] for rest in cuts(word[1:], listed)]
+
+
+def test_fit_equals_expectation_maximisation_by_enumeration():
+    listed = ["▁", "▁a", "a", "b", "ab", "abc", "ba", "c", "▁ab"]
+    words = {"abc": 4, "ab": 1, "baab": 2, "cübc": 1, "aaba": 3, "once": 1, "x" * 3: 2}
+    p = dict.fromkeys(listed, 1 / len(listed)) | {None: language.UNKNOWN}
+    for _ in range(language.ROUNDS):
+        expected = dict.fromkeys(p, 0.0)
+        for word, count in words.items():
+            weighted = [(math.prod(p[x] for x in cut), cut) for cut in cuts("▁" + word, listed)]
+            total = sum(w for w, _ in weighted)
+            for w, cut in weighted:
+                for piece in cut:
+                    expected[piece] += count * w / total
+        smooth = {k: v + language.SMOOTHING for k, v in expected.items()}
+        known = sum(v for k, v in smooth.items() if k)
+        p = {k: v / known for k, v in smooth.items()} | {None: language.UNKNOWN}
+    got = language.fit_pieces(words, listed)
+    assert got == pytest.approx([p[k] for k in listed] + [language.UNKNOWN])
+
+
+def test_fit_uses_every_word_and_letter():
+    """Many words met once, and words of any length, count as they do in parts."""
+    listed = ["▁", "a", "b", "ab"]
+    once = {f"{'a' * (1 + i % 90)}{'b' * (i // 90)}": 1 for i in range(9000)}
+    assert len(once) == 9000
+    few = language.fit_pieces({"ab": 1}, listed)
+    many = language.fit_pieces(once | {"ab" * 5000: 1}, listed)
+    assert not np.allclose(few, many)
+    halves = {"ab" * 60: 83, "ab" * 20: 1}
+    assert language.fit_pieces({"ab" * 5000: 1}, listed) == pytest.approx(language.fit_pieces(halves, listed))
+
+
 def test_language_on_held_out_documents(spark, empty):
     path = tokenizer_file("piece_bpe_32k.model")
     rnd = random.Random(2)
