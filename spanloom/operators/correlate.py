@@ -255,19 +255,22 @@ def correlate_live(
     # Numbers only, so that the wide aggregation stays a hash aggregation; the GPU's name is looked up at the end.
     gpu_measures = [*GPU_MEASURES, Measure("first_age", "max", "-timestamp_ms")]
     trace = [c for c in traces.columns if c != "trace_id"]
+    # Every trace meets every node, but a tile's nodes are dealt into groups, so that no task holds a tile of all of them.
+    grouped = gpu.withColumn("_group", F.pmod(F.xxhash64("node_id"), F.lit(options.node_groups)))
+    groups = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(options.node_groups - 1).cast("bigint")))
+    reach = traces.select("trace_id", "lo", "hi", groups.alias("_group"))
     gpu_by_node = aggregate_over_intervals(
-        traces, gpu, group_by=["trace_id"], keys=[], sample_groups=["node_id"], lo="lo", hi="hi", ts="timestamp_ms",
-        measures=gpu_measures, tile_ms=options.tile_ms, levels=LIVE_LEVELS, carry=trace,
+        reach, grouped, group_by=["trace_id"], keys=["_group"], sample_groups=["node_id"], lo="lo", hi="hi", ts="timestamp_ms",
+        measures=gpu_measures, tile_ms=options.tile_ms, levels=LIVE_LEVELS,
     )
     busiest_first = F.struct(
         (-F.try_divide(F.col("contention_sum"), F.col("gpu_n"))).alias("calm"), "node_id", *[m.name for m in gpu_measures]
     )
-    found = F.when(F.col("node_id").isNotNull(), busiest_first)
     latest = gpu.orderBy(F.desc("timestamp_ms"), "node_id", "gpu_id").limit(options.live_fallback_samples)
     fallback = latest.groupBy("node_id").agg(*fold_samples(gpu_measures)).agg(F.min(busiest_first).alias("b")).scalar()
+    busiest = gpu_by_node.groupBy("trace_id").agg(F.min(busiest_first).alias("b"))
     placed = (
-        gpu_by_node.groupBy("trace_id", *trace)
-        .agg(F.min(found).alias("b"))
+        traces.join(busiest, "trace_id", "left")
         .withColumn("b", F.coalesce("b", fallback))
         .select(
             "trace_id",

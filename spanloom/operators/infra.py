@@ -190,12 +190,14 @@ def label_incidents(
 
 
 def downsample(
-    metrics: DataFrame, every: int, order_by: list[str], per: list[str] | None = None, slice_ms: int = 60_000
+    metrics: DataFrame, every: int, order_by: list[str], per: list[str] | None = None, slice_ms: int | None = None
 ) -> DataFrame:
     """Every n-th row in time order, over all rows or within each series ``per``.
 
-    Row numbers come from counts per time slice plus the position inside the slice, so no task sorts a whole series.
+    Row numbers come from counts per time slice plus the position inside the slice, so no task sorts a whole series, or, where
+    all series are numbered together, more than a second of them.
     """
+    slice_ms = slice_ms or (60_000 if per else 1_000)
     if every <= 1:
         return metrics
     numbered = running_total(

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from spanloom.functions.timeparts import floor_div
 
@@ -27,21 +28,45 @@ def step_slice(ts_ms: Column, span_id: Column, slice_ms: int) -> Column:
     )
 
 
+# Slices of one section: the most rows that meet in one task, per key, to find what lies before a slice.
+SECTION_SLICES = 1024
+
+
+def _section(sliced: DataFrame) -> Column:
+    """Number of a slice's section; it does not decrease along the slices."""
+    slot = F.col("_slice.slot") if isinstance(sliced.schema["_slice"].dataType, StructType) else F.col("_slice")
+    return F.floor(slot.cast("double") / SECTION_SLICES).cast("bigint")
+
+
 def _with_earlier_slices(
-    sliced: DataFrame, inside: Column, fold: Callable[[Column | str], Column], keys: list[str]
+    sliced: DataFrame, inside: Column, fold: Callable[[Column | str], Column], both: Callable[[Column, Column], Column], keys: list[str]
 ) -> DataFrame:
-    """Adds ``_inside`` (a fold over the rows before within the slice) and ``_before`` (over the earlier slices)."""
-    per_slice = sliced.groupBy(*keys, "_slice").agg(fold("_value").alias("_folded"))
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_slice.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_slice").alias("_at"), fold("_folded").over(earlier).alias("_before")
+    """Adds ``_inside`` (a fold over the rows before within the slice) and ``_before`` (over the earlier slices).
+
+    Slices meet in sections, and only one row per section meets the others. ``both`` folds two values, either of which may be null.
+    """
+    per_slice = sliced.withColumn("_section", _section(sliced)).groupBy(*keys, "_section", "_slice").agg(fold("_value").alias("_folded"))
+    earlier = Window.partitionBy(*keys, "_section").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sections = per_slice.groupBy(*keys, "_section").agg(fold("_folded").alias("_whole"))
+    earlier_sections = Window.partitionBy(*keys).orderBy("_section").rowsBetween(Window.unboundedPreceding, -1)
+    entered = sections.select(
+        *[F.col(k).alias(f"_e_{k}") for k in keys], F.col("_section").alias("_e_section"), fold("_whole").over(earlier_sections).alias("_entered")
     )
+    same = F.col("_section").eqNullSafe(F.col("_e_section"))
     match = F.col("_slice").eqNullSafe(F.col("_at"))
     for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_e_{k}"))
         match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    offsets = per_slice.withColumn("_own", fold("_folded").over(earlier)).join(entered, same).select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_slice").alias("_at"), both(F.col("_own"), F.col("_entered")).alias("_before")
+    )
     return sliced.withColumn("_inside", inside).join(offsets, match).drop("_at", *[f"_k_{k}" for k in keys])
 
 
+def _sum_of(a: Column, b: Column) -> Column:
+    return F.coalesce(a + b, a, b)
+
+
 def running_total(
     df: DataFrame, order_by: list[str], weight: Column, slice_of: Column, name: str, keys: list[str] | None = None
 ) -> DataFrame:
@@ -52,7 +77,7 @@ def running_total(
     keys = keys or []
     rows = Window.partitionBy(*keys, "_slice").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sliced = df.select("*", slice_of.alias("_slice"), weight.alias("_value"))
-    summed = _with_earlier_slices(sliced, F.sum("_value").over(rows), F.sum, keys)
+    summed = _with_earlier_slices(sliced, F.sum("_value").over(rows), F.sum, _sum_of, keys)
     total = F.coalesce(F.col("_before"), F.lit(0)) + F.col("_inside")
     return summed.select(*df.columns, total.alias(name))
 
@@ -63,7 +88,7 @@ def running_max_before(
     """Adds the largest ``value`` of the rows before this one (null for the first), like ``running_total``."""
     rows = Window.partitionBy(*keys, "_slice").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
     sliced = df.select("*", slice_of.alias("_slice"), value.alias("_value"))
-    folded = _with_earlier_slices(sliced, F.max("_value").over(rows), F.max, keys)
+    folded = _with_earlier_slices(sliced, F.max("_value").over(rows), F.max, F.greatest, keys)
     return folded.select(*df.columns, F.greatest("_before", "_inside").alias(name))
 
 

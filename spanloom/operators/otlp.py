@@ -63,3 +63,13 @@ def flatten(messages: DataFrame, ingested_at: Column | None = None, column: str
         F.to_json(o.link_map(F.col("s.links"))).alias("references"),
         ingested_at.cast("timestamp").alias("ingested_at"),
     )
+
+
+def identified(spans: DataFrame) -> DataFrame:
+    """Spans that belong to a trace."""
+    return spans.where(F.col("trace_id") != "")
+
+
+def unidentified(spans: DataFrame) -> DataFrame:
+    """Spans without a trace id, for a reject log: together they would be one giant trace of spans that have nothing in common."""
+    return spans.where(F.coalesce("trace_id", F.lit("")) == "")

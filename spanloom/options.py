@@ -25,6 +25,8 @@ class CorrelationOptions:
     live_margin_ms: int = 15_000
     live_fallback_samples: int = 2
     tile_ms: int = 10_000
+    # Nodes are dealt into so many groups where traces meet the samples of all nodes.
+    node_groups: int = 16
 
 
 @dataclass(frozen=True)

@@ -56,13 +56,18 @@ class Inputs:
     def events(self) -> DataFrame:
         return self.table("events")
 
+    @property
+    def dealt_events(self) -> DataFrame:
+        """Events dealt by id: spans and messages land as many files, while the test table is one row group."""
+        return self.events.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "event_id")
+
     @property
     def landed_messages(self) -> DataFrame:
-        return self._table("landed_messages", lambda: b.otlp_messages(self.events))
+        return self._table("landed_messages", lambda: b.otlp_messages(self.dealt_events))
 
     @property
     def spans(self) -> DataFrame:
-        return b.spans(self.events)
+        return b.spans(self.dealt_events)
 
     @property
     def steps(self) -> DataFrame:

@@ -1121,3 +1121,23 @@ ORACLES["stream_backfill"] = _streamed("windows", "select * from windows")
 ORACLES["stream_in_batches"] = _streamed("correlated", "select * exclude (ingestion_date, ingestion_hour) from correlated")
 ORACLES["stream_late_samples"] = ORACLES["stream_in_batches"]
 ORACLES["stream_late_windows"] = ORACLES["stream_backfill"]
+ORACLES["stream_timed"] = ORACLES["stream_in_batches"]
+oracle(
+    "rejected_spans",
+    "spans",
+    f"select span_id, operation_name, start_time_unix_nano from spans where k <> {b.BROKEN_MESSAGE_K} and {b.NAMELESS}",
+)
+LANDED = f"""with landed as (select *, start_ts_ms // 3600000 * 3600000 as w, {b.LANDED_PART} as part from traj where start_ts_ms > 0),
+per_part as (select part, max(start_ts_ms) as latest from landed group by part),
+marked as (select *, (select max(latest) from per_part p where p.part < landed.part) - 600000 as mark from landed)"""
+oracle(
+    "stream_closed_windows",
+    "traj",
+    f"""select * from ({LANDED} select w as window_start_ms, w + 3600000 as window_end_ms, trajectory_signature as signature, count(*) as n from marked
+    where (mark is null or w + 3600000 > mark) and w + 3600000 <= (select max(latest) - 600000 from per_part) group by all)""",
+)
+oracle(
+    "stream_late_rows",
+    "traj",
+    f"select * from ({LANDED} select w as window_start_ms, count(*) as late from marked where w + 3600000 <= mark group by all)",
+)

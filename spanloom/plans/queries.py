@@ -819,3 +819,52 @@ def stream_late_samples(spark, sf_dir):
 def stream_late_windows(spark, sf_dir):
     """The windows after retracted calls and late samples, changed batch by batch, are those of one pass over everything."""
     return jobs.current_windows(spark, _in_batches(spark, sf_dir, True))
+
+
+@query
+def stream_timed(spark, sf_dir):
+    """All jobs run side by side, each every second; the messages come in files of their own micro-batches. Stopped when idle."""
+    i = Inputs(spark, sf_dir)
+    folder = scratch(spark)
+    i.landed_messages.select("value").repartition(3).write.text(f"{folder}/messages")
+    i.gpu.coalesce(1).write.json(f"{folder}/gpu")
+    i.network.repartition(2).write.json(f"{folder}/network")
+    chain = jobs.Pipeline(folder=f"{folder}/tables", trigger="1 second", max_files=1, correlation=SPARSE)
+    jobs.run_until_idle(jobs.start_all(spark, chain, f"{folder}/messages", f"{folder}/gpu", f"{folder}/network"))
+    return jobs.current(spark, chain, "trace_correlated").drop("ingestion_date", "ingestion_hour")
+
+
+def _closed_windows(spark, sf_dir) -> str:
+    """Traces land by time in six files, some of them one file late; hours close ten minutes after the latest row."""
+    folder = scratch(spark)
+    traces = Inputs(spark, sf_dir).trajectories.where(F.col("start_ts_ms") > 0)
+    parts = traces.selectExpr("timestamp_millis(start_ts_ms) as start_ts", "trajectory_signature", f"{b.LANDED_PART} as part")
+    parts.write.parquet(f"{folder}/parts")
+    parts = spark.read.parquet(f"{folder}/parts")
+    for part in range(7):
+        tables.append(parts.where(F.col("part") == part).drop("part").coalesce(1), f"{folder}/traces")
+    stream = tables.table_stream(spark, f"{folder}/traces", "start_ts TIMESTAMP, trajectory_signature STRING", max_files=1)
+    for running in jobs.start_closed_windows(spark, stream, folder):
+        running.awaitTermination()
+    return folder
+
+
+@query
+def stream_closed_windows(spark, sf_dir):
+    """Signatures of the hours that have closed; late rows are not in them."""
+    schema = "window_start_ms BIGINT, window_end_ms BIGINT, signature STRING, n BIGINT"
+    return changelog.read_log(spark, f"{_closed_windows(spark, sf_dir)}/closed", schema).drop(changelog.BATCH)
+
+
+@query
+def stream_late_rows(spark, sf_dir):
+    """Rows that came after their hour had closed, per hour."""
+    log = changelog.read_log(spark, f"{_closed_windows(spark, sf_dir)}/late", "window_start_ms BIGINT, start_ts TIMESTAMP, trajectory_signature STRING")
+    return log.groupBy("window_start_ms").agg(F.count("*").alias("late"))
+
+
+@query
+def rejected_spans(spark, sf_dir):
+    """Spans without a trace id, a third of all."""
+    spans = otlp.unidentified(otlp.flatten(b.otlp_messages(Inputs(spark, sf_dir).dealt_events, b.NAMELESS)))
+    return spans.select("span_id", "operation_name", "start_time_unix_nano")

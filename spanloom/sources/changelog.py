@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from spanloom.sources.tables import PARTITIONS, SORTED, create_if_missing, parsed_schema
 
@@ -41,7 +42,9 @@ def stream_log(spark: SparkSession, path: str, schema: str, max_files: int | Non
     """Incremental scan of an upserted table."""
     create_if_missing(spark, path, schema)
     full = parsed_schema(f"{schema}, {BATCH} BIGINT")
-    reader = spark.readStream.schema(full)
+    # Folder columns last, in the order of the folders: that is where Spark puts them once an empty table gets its first batch.
+    folders = [f for f in (BATCH, *PARTITIONS) if f in full.names]
+    reader = spark.readStream.schema(StructType([*[f for f in full if f.name not in folders], *[full[f] for f in folders]]))
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.parquet(path).select(full.names)

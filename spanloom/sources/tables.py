@@ -141,6 +141,6 @@ def metric_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def metric_stream(spark: SparkSession, path: str) -> DataFrame:
+def metric_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Stream over a folder of metric JSON lines; each file is read once."""
-    return spark.readStream.format("text").load(path)
+    return message_stream(spark, path, max_files)

@@ -12,13 +12,14 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming.listener import QueryIdleEvent, QueryProgressEvent, QueryStartedEvent, QueryTerminatedEvent
 
 from spanloom import schemas
 from spanloom.functions.timeparts import floor_div, ingestion_date, ingestion_hour
 from spanloom.operators.correlate import correlate, in_time_range, timed_calls
 from spanloom.operators.infra import route_calls
-from spanloom.operators.otlp import flatten, undecodable
+from spanloom.operators.otlp import flatten, identified, undecodable, unidentified
 from spanloom.operators.scoring import JudgeFactory, evaluate, rule_judge
 from spanloom.operators.steps import agent_steps, before_lookback, impacted_traces, of_traces, within_lookback
 from spanloom.operators.trajectory import trajectories
@@ -36,7 +37,8 @@ class Pipeline:
 
     folder: str
     trigger: str | None = DEFAULT_TRIGGER  # None: work off what is there, then stop
-    max_files: int | None = None
+    max_files: int | None = None  # landed files per micro-batch
+    max_log_files: int | None = None  # files of the logs between the jobs per micro-batch
     judge: JudgeFactory = rule_judge
     eval_model: str = "rules"
     steps: StepOptions = field(default=STEPS)
@@ -105,7 +107,7 @@ def samples_near(spark: SparkSession, chain: Pipeline, table: str, paths: DataFr
 
 
 def _changes(spark: SparkSession, chain: Pipeline, table: str) -> DataFrame:
-    return changelog.stream_log(spark, chain.path(table), schemas.TABLES[table][0], chain.max_files)
+    return changelog.stream_log(spark, chain.path(table), schemas.TABLES[table][0], chain.max_log_files)
 
 
 def _write(df: DataFrame, chain: Pipeline, table: str, batch_id: int, keys: bool = True) -> None:
@@ -113,11 +115,13 @@ def _write(df: DataFrame, chain: Pipeline, table: str, batch_id: int, keys: bool
 
 
 def start_spans(spark: SparkSession, chain: Pipeline, landing: str) -> StreamingQuery:
-    """Message files -> span table, and undecodable messages -> ``dead_letters``."""
+    """Message files -> span table; undecodable messages -> ``dead_letters``, spans without a trace id -> ``rejected_spans``."""
     messages = tables.message_stream(spark, landing, chain.max_files)
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        changelog.write_batch(flatten(batch), chain.path("trace_delta_table"), batch_id)
+        spans = changelog.once(flatten(batch), chain.scratch("spans"))
+        changelog.write_batch(identified(spans), chain.path("trace_delta_table"), batch_id)
+        changelog.write_batch(unidentified(spans), chain.path("rejected_spans"), batch_id)
         changelog.write_batch(undecodable(batch), chain.path("dead_letters"), batch_id)
 
     return start(messages, "spans", work, chain)
@@ -192,7 +196,7 @@ def start_metrics(
         _write(tables.accepted(checked, fmt), chain, table, batch_id)
         changelog.write_batch(tables.rejected(checked), chain.path(f"{table}_rejects"), batch_id)
 
-    return start(tables.metric_stream(spark, landing), table, work, chain)
+    return start(tables.metric_stream(spark, landing, chain.max_files), table, work, chain)
 
 
 def start_gpu_metrics(spark: SparkSession, chain: Pipeline, landing: str) -> StreamingQuery:
@@ -275,20 +279,65 @@ def current_windows(spark: SparkSession, chain: Pipeline) -> DataFrame:
     return incremental.current_windows(spark, chain.folder.rstrip("/"))
 
 
+JOBS: tuple[Callable[[SparkSession, Pipeline, str, str, str], StreamingQuery], ...] = (
+    lambda spark, chain, messages, gpu, network: start_gpu_metrics(spark, chain, gpu),
+    lambda spark, chain, messages, gpu, network: start_network_metrics(spark, chain, network),
+    lambda spark, chain, messages, gpu, network: start_spans(spark, chain, messages),
+    lambda spark, chain, *_: start_agent_steps(spark, chain),
+    lambda spark, chain, *_: start_trajectories(spark, chain),
+    lambda spark, chain, *_: start_quality(spark, chain),
+    lambda spark, chain, *_: start_routing(spark, chain),
+    lambda spark, chain, *_: start_correlated(spark, chain),
+    lambda spark, chain, *_: start_windows(spark, chain),
+)
+
+
 def run_to_end(spark: SparkSession, chain: Pipeline, messages: str, gpu: str, network: str) -> None:
     """Backfill: run every job of a chain with ``trigger=None`` once, in order."""
-    for begin in (
-        lambda: start_gpu_metrics(spark, chain, gpu),
-        lambda: start_network_metrics(spark, chain, network),
-        lambda: start_spans(spark, chain, messages),
-        lambda: start_agent_steps(spark, chain),
-        lambda: start_trajectories(spark, chain),
-        lambda: start_quality(spark, chain),
-        lambda: start_routing(spark, chain),
-        lambda: start_correlated(spark, chain),
-        lambda: start_windows(spark, chain),
-    ):
-        begin().awaitTermination()
+    for begin in JOBS:
+        begin(spark, chain, messages, gpu, network).awaitTermination()
+
+
+def start_all(spark: SparkSession, chain: Pipeline, messages: str, gpu: str, network: str) -> list[StreamingQuery]:
+    """Create the tables that are missing and start every job of a chain with a time trigger, side by side."""
+    tables.create_all(spark, chain.folder.rstrip("/"))
+    return [begin(spark, chain, messages, gpu, network) for begin in JOBS]
+
+
+class BatchCounts(StreamingQueryListener):
+    """Micro-batches with rows and the most rows of one, per job, as a running chain reports them."""
+
+    def __init__(self) -> None:
+        self.batches: dict[str, int] = {}
+        self.most_rows: dict[str, int] = {}
+
+    def onQueryStarted(self, event: QueryStartedEvent) -> None: ...
+
+    def onQueryProgress(self, event: QueryProgressEvent) -> None:
+        name, rows = event.progress.name, event.progress.numInputRows
+        if rows:
+            self.batches[name] = self.batches.get(name, 0) + 1
+            self.most_rows[name] = max(self.most_rows.get(name, 0), rows)
+
+    def onQueryIdle(self, event: QueryIdleEvent) -> None: ...
+
+    def onQueryTerminated(self, event: QueryTerminatedEvent) -> None: ...
+
+
+def run_until_idle(running: list[StreamingQuery]) -> None:
+    """Let jobs that run side by side work until none of them has anything new, then stop them."""
+
+    def at() -> list[int]:
+        return [q.lastProgress["batchId"] if q.lastProgress else -1 for q in running]
+
+    try:
+        before = None
+        while before != (before := at()):
+            for job in running:
+                job.processAllAvailable()
+    finally:
+        for job in running:
+            job.stop()
 
 
 def signature_counts(traces: DataFrame, size: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
@@ -307,3 +356,40 @@ def signature_counts(traces: DataFrame, size: str = "1 hour", lateness: str = "1
             "n",
         )
     )
+
+
+def start_closed_windows(
+    spark: SparkSession, traces: DataFrame, folder: str, size: str = "1 hour", lateness_ms: int = 600_000
+) -> tuple[StreamingQuery, StreamingQuery]:
+    """Counts of windows that have closed -> ``closed``, rows that come after their window closed -> ``late``.
+
+    ``traces``: a stream of start_ts and trajectory_signature. A window closes once a row ``lateness_ms`` after its end was seen; it
+    is written once, and its state goes. Late rows are told by the same rule: the latest start of each micro-batch is
+    kept in ``seen``, one row per batch, and a batch is held against what the batches before it have seen.
+    """
+    schema = "latest_ms BIGINT"
+
+    def on_closed(batch: DataFrame, batch_id: int) -> None:
+        changelog.write_batch(batch, f"{folder}/closed", batch_id)
+
+    def on_rows(batch: DataFrame, batch_id: int) -> None:
+        earlier = changelog.read_log(spark, f"{folder}/seen", schema).where(F.col(changelog.BATCH) < batch_id)
+        mark = earlier.agg((F.max("latest_ms") - lateness_ms).alias("mark")).scalar()
+        timed = batch.withColumn("_w", F.window("start_ts", size))
+        late = timed.where(F.unix_millis("_w.end") <= mark).select(F.unix_millis("_w.start").alias("window_start_ms"), "start_ts", "trajectory_signature")
+        changelog.write_batch(late, f"{folder}/late", batch_id)
+        changelog.write_batch(batch.agg(F.max(F.unix_millis("start_ts")).alias("latest_ms")), f"{folder}/seen", batch_id)
+
+    def begin(stream: DataFrame, work: BatchWork, name: str) -> StreamingQuery:
+        writer = stream.writeStream.outputMode("append").foreachBatch(work).option("checkpointLocation", f"{folder}/checkpoints/{name}")
+        return writer.trigger(availableNow=True).start()
+
+    # One stateful step: rows count as late by the same time that closes windows, not by that of the batch before.
+    setting = "spark.sql.streaming.statefulOperator.allowMultiple"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        closed = begin(signature_counts(traces, size, f"{lateness_ms} milliseconds"), on_closed, "closed")
+    finally:
+        spark.conf.set(setting, before)
+    return closed, begin(traces, on_rows, "late")
