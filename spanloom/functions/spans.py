@@ -34,6 +34,16 @@ def parse_tags(tags_json: Column) -> Column:
     return F.coalesce(F.from_json(tags_json, "map<string,string>"), empty_map())
 
 
+# The tags that entry and reasoning spans have.
+ENTRY_TAG, REASON_TAG = "http.route", "gen_ai.system"
+
+
+def may_have_tag(tags_json: Column, key: str) -> Column:
+    """False only if the JSON text cannot hold the key: it has neither its letters nor any escape that could stand for them."""
+    text = F.coalesce(tags_json, F.lit(""))
+    return F.contains(text, F.lit(key)) | F.contains(text, F.lit("\\u"))
+
+
 def classify(tags: Column) -> Column:
     """(kind, sub) of a span, null when no rule matches. Rules test for a key, also with an empty value."""
 
@@ -47,10 +57,10 @@ def classify(tags: Column) -> Column:
         return F.when(has(key), tags[key]).otherwise(F.lit("unknown"))
 
     return (
-        F.when(has("http.route"), step("ENTRY", tags["http.route"]))
+        F.when(has(ENTRY_TAG), step("ENTRY", tags[ENTRY_TAG]))
         .when(tags["orchestration.type"] == "plan_execution", step("PLAN", F.lit("plan_execution")))
         .when(has("agent.name"), step("AGENT", named("agent.operation")))
-        .when(has("gen_ai.system"), step("REASON", named("gen_ai.operation.name")))
+        .when(has(REASON_TAG), step("REASON", named("gen_ai.operation.name")))
         .when(has("db.system"), step("RETRIEVE", named("db.operation.name")))
         .when(has("rpc.system"), step("TOOL", F.lit("MCP")))
         .when(has("url.full") & has("http.request.method"), step("TOOL", F.lit("HTTP")))

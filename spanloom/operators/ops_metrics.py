@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import spans as s
@@ -172,17 +172,65 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, quantiles: dict[str
 PERCENTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
 
-def latency_report(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Requests, success rate and mean per key, with exact percentiles over the successful ones."""
+def _rates(spans: DataFrame, keys: list[str]) -> DataFrame:
     ok = F.col("status_code") != "ERROR"
-    timed = spans.withColumn("_seconds", F.col("duration_ns") / F.lit(NANOS))
-    rates = timed.groupBy(*keys).agg(
+    return spans.groupBy(*keys).agg(
         F.count("*").alias("requests"),
         F.round(F.count_if(ok) / F.count("*") * 100, 1).alias("success_pct"),
         F.round(F.try_divide(F.sum(F.when(ok, F.col("duration_ns"))), F.count_if(ok)) / F.lit(NANOS), 2).alias("mean_s"),
     )
-    ranks = nearest_rank(timed.where(ok), keys, "_seconds", PERCENTILES)
-    return rates.join(ranks.drop("n"), keys, "left")
+
+
+def latency_report(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Requests, success rate and mean per key, with exact percentiles over the successful ones."""
+    timed = spans.where(F.col("status_code") != "ERROR").withColumn("_seconds", F.col("duration_ns") / F.lit(NANOS))
+    ranks = nearest_rank(timed, keys, "_seconds", PERCENTILES)
+    return _rates(spans, keys).join(ranks.drop("n"), keys, "left")
+
+
+# --- percentiles from mergeable sketches ---
+
+
+def latency_sketch(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Numbers of successful requests per key, hour and logarithmic bucket of their seconds: small, and sketches of parts add up.
+
+    A bucket is about two percent wide, so a key has some two thousand at most, whatever the number of requests.
+    """
+    ok = spans.where(F.coalesce(F.col("status_code") != "ERROR", F.lit(False)) & F.col("duration_ns").isNotNull())
+    hour = floor_div(F.col("start_time_unix_nano"), HOUR_MS * 1_000_000).alias("hour")
+    return ok.groupBy(*keys, hour, _value_slice(F.col("duration_ns") / F.lit(NANOS)).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def _wanted_buckets(sketch: DataFrame, keys: list[str], quantiles: dict[str, float]) -> DataFrame:
+    """Per key and percentile: the bucket that holds its rank, and the rank within it. The hours of a sketch are added up first."""
+    merged = sketch.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
+    # One row per bucket of a key meets here, never one per request.
+    upto = merged.withColumn("_upto", F.sum("n").over(Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)))
+    total = upto.withColumn("_total", F.sum("n").over(Window.partitionBy(*keys)))
+    picks = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(q).alias("q")) for name, q in quantiles.items()])
+    asked = total.withColumn("p", F.explode(picks)).withColumn("_rank", F.least(F.floor(F.col("_total") * F.col("p.q")), F.col("_total") - 1))
+    inside = asked.where((F.col("_rank") >= F.col("_upto") - F.col("n")) & (F.col("_rank") < F.col("_upto")))
+    return inside.select(*keys, "bucket", F.col("p.name").alias("name"), (F.col("_rank") - F.col("_upto") + F.col("n")).alias("offset"))
+
+
+def percentiles_from_sketch(spans: DataFrame, sketch: DataFrame, keys: list[str], quantiles: dict[str, float]) -> DataFrame:
+    """Exact nearest-rank percentiles: the sketch says in which bucket each rank lies, and only values of these buckets are looked at.
+
+    Keys must not be null. The second scan keeps some percent of the rows; equal values are counted before they meet.
+    """
+    wanted = _wanted_buckets(sketch, keys, quantiles)
+    seconds = F.col("duration_ns") / F.lit(NANOS)
+    ok = spans.where((F.col("status_code") != "ERROR") & F.col("duration_ns").isNotNull())
+    values = ok.select(*keys, seconds.alias("value"), _value_slice(seconds).alias("bucket"))
+    near = values.join(wanted.select(*keys, "bucket").distinct(), [*keys, "bucket"], "left_semi").groupBy(*keys, "bucket", "value").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*keys, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    found = near.withColumn("_upto", upto).join(wanted, [*keys, "bucket"]).where(F.col("_upto") > F.col("offset"))
+    return found.groupBy(*keys).agg(*[F.min(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in quantiles])
+
+
+def latency_report_from_sketch(spans: DataFrame, sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """``latency_report`` with its percentiles from a stored sketch of the same spans."""
+    return _rates(spans, keys).join(percentiles_from_sketch(spans, sketch, keys, PERCENTILES), keys, "left")
 
 
 def approximate_latency(spans: DataFrame, keys: list[str], accuracy: int = 10_000) -> DataFrame:

@@ -104,6 +104,124 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     return nearest_by_blocks(vectors, queries, k, max(1, stored), max(1, asked))
 
 
+# --- the same result with pivots: cells that cannot hold a nearer vector are not searched ---
+
+MOST_PIVOTS = 1024
+# Slack for rounding in the bounds, far above the error of a distance and below what changes the work.
+SLACK = 1e-7
+
+
+def _chords(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Straight-line distances between unit vectors: a metric, unlike 1 - cosine, of which it is sqrt(2 x)."""
+    return np.sqrt(np.maximum(2.0 - 2.0 * (a @ b.T), 0.0))
+
+
+def _celled(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """(id, embedding, cell, reach): the nearest pivot and its distance. Vectors of length zero are a cell of their own, -1."""
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if len(rows):
+                unit = _unit(rows["embedding"])
+                far = _chords(unit, pivots)
+                cell = np.where(unit.any(axis=1), far.argmin(axis=1), -1)
+                yield rows.assign(cell=cell.astype(np.int32), reach=far.min(axis=1))
+
+    return vectors.select("id", "embedding").mapInPandas(assign, "id long, embedding array<double>, cell int, reach double")
+
+
+class Cells:
+    """Pivots with the size and radius of their cells, and which cells a query has to read."""
+
+    def __init__(self, pivots: np.ndarray, counts: dict[int, int], radii: dict[int, float]):
+        self.pivots = pivots
+        self.counts = np.array([counts.get(c, 0) for c in range(len(pivots))], np.int64)
+        self.radii = np.array([radii.get(c, 0.0) for c in range(len(pivots))])
+        self.zeros = counts.get(-1, 0)
+
+    def _always(self) -> np.ndarray:
+        return np.array([-1] if self.zeros else [], np.int64)
+
+    def near(self, queries: np.ndarray, k: int) -> list[np.ndarray]:
+        """The nearest cells that together hold k vectors."""
+        out = []
+        for far in _chords(queries, self.pivots):
+            order = np.argsort(far, kind="stable")
+            enough = np.searchsorted(np.cumsum(self.counts[order]), k) + 1
+            out.append(np.concatenate([self._always(), order[:enough][self.counts[order[:enough]] > 0]]))
+        return out
+
+    def able(self, queries: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+        """The cells that can hold a vector within the bound (a distance 1 - cosine), by the triangle inequality."""
+        least = np.maximum(_chords(queries, self.pivots) - self.radii, 0.0)
+        possible = (least * least / 2 <= bounds[:, None] + SLACK) & (self.counts > 0)
+        # A query of length zero is at distance 1 of everything.
+        possible |= ~queries.any(axis=1)[:, None] & (self.counts > 0)
+        return [np.concatenate([self._always(), np.flatnonzero(row)]) for row in possible]
+
+
+def _routed(queries: DataFrame, cells: Callable[[pd.DataFrame], list[np.ndarray]]) -> DataFrame:
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if len(rows):
+                found = pd.Series(cells(rows), index=rows.index, dtype="object")
+                yield rows[["query_id", "embedding"]].assign(cell=found).explode("cell").dropna(subset=["cell"]).astype({"cell": np.int32})
+
+    return queries.mapInPandas(route, "query_id long, embedding array<double>, cell int")
+
+
+def _compared(celled: DataFrame, routes: DataFrame, k: int, counts: dict[int, int]) -> DataFrame:
+    """The best k of the cells each query reads. Cells and the queries of a cell are both cut into bounded blocks."""
+    asked = {r["cell"]: r["count"] for r in routes.groupBy("cell").count().collect()}  # one row per pivot
+    sizes = [(c, max(1, -(-counts.get(c, 0) // BLOCK_ROWS)), max(1, -(-asked[c] // BLOCK_ROWS))) for c in asked]
+    shape = F.broadcast(celled.sparkSession.createDataFrame(sizes, "cell int, vbs int, qbs int"))
+
+    def every(count: str):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    left = celled.join(shape, "cell").withColumn("vb", F.pmod(F.xxhash64("id"), F.col("vbs")).cast("int")).withColumn("qb", every("qbs"))
+    right = routes.join(shape, "cell").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("qbs")).cast("int")).withColumn("vb", every("vbs"))
+
+    def search(stored: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        if stored.empty or wanted.empty:
+            return pd.DataFrame({"query_id": [], "id": [], "distance": []})
+        best = _Best(wanted["query_id"].to_numpy(np.int64), _unit(wanted["embedding"]), k)
+        best.add(stored["id"].to_numpy(np.int64), _unit(stored["embedding"]))
+        return best.frame()
+
+    groups = ("cell", "vb", "qb")
+    pairs = left.select(*groups, "id", "embedding").groupBy(*groups).cogroup(right.select(*groups, "query_id", "embedding").groupBy(*groups))
+    return _ranked(pairs.applyInPandas(search, RESULT), k)
+
+
+def nearest_by_pivots(vectors: DataFrame, queries: DataFrame, k: int = 3, pivots: int | None = None, tell: dict[str, int] | None = None) -> DataFrame:
+    """What ``nearest`` finds, row for row, without comparing every pair.
+
+    Vectors are dealt to their nearest of some pivots. A query first reads the nearest cells that hold k vectors; the k-th
+    distance found bounds what can still be nearer, and only cells whose pivot and radius allow that are read then.
+    ``tell`` gets the pairs compared (``pairs``) and all there are (``all``). Pivots, sizes and radii, at most ``MOST_PIVOTS`` of
+    each, pass the driver.
+    """
+    spark = vectors.sparkSession
+    ship_package(spark)
+    count = vectors.count()
+    picked = vectors.orderBy(F.xxhash64("id"), "id").limit(min(MOST_PIVOTS, pivots or max(1, int(count**0.5)))).select("embedding").toPandas()
+    if picked.empty:
+        return spark.createDataFrame([], RESULT)
+    celled = _celled(vectors, _unit(picked["embedding"]))
+    stats = celled.groupBy("cell").agg(F.count("*").alias("n"), F.max("reach").alias("radius")).collect()
+    counts = {r["cell"]: r["n"] for r in stats}
+    cells = Cells(_unit(picked["embedding"]), counts, {r["cell"]: r["radius"] for r in stats})
+    first = _compared(celled, _routed(queries.select("query_id", "embedding"), lambda rows: cells.near(_unit(rows["embedding"]), k)), k, counts)
+    bounds = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("distance")).otherwise(F.lit(2.0)).alias("bound"))
+    bounded = queries.select("query_id", "embedding").join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(2.0)))
+    routes = _routed(bounded, lambda rows: cells.able(_unit(rows["embedding"]), rows["bound"].to_numpy(float)))
+    if tell is not None:
+        tell["all"] = count * queries.count()
+        tell["pairs"] = sum(r["count"] * counts.get(r["cell"], 0) for r in routes.groupBy("cell").count().collect())
+    return _compared(celled, routes, k, counts)
+
+
 def with_documents(hits: DataFrame, documents: DataFrame) -> DataFrame:
     """Text and metadata of the hits."""
     return hits.join(documents, "id", "left")

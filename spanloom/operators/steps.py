@@ -97,7 +97,22 @@ def without_entry_reasoning(steps: DataFrame) -> DataFrame:
 
 
 def agent_steps(spans: DataFrame, ingested_ms: Column | None = None, with_user_message: bool = False) -> DataFrame:
-    return without_entry_reasoning(classified(spans, ingested_ms, with_user_message))
+    """Classified steps without reasoning right under an entry span.
+
+    Only spans that can be such reasoning, by the text of their tags and a parent, meet the entry spans; all others stay where they
+    are. The text only says what cannot be: what is looked at more closely is classified by its parsed tags.
+    """
+    ingested_ms = now_ms() if ingested_ms is None else ingested_ms
+    can_go = s.may_have_tag(F.col("tags"), s.REASON_TAG) & (F.coalesce(F.col("parent_span_id"), F.lit("")) != "")
+    entries = (
+        with_step(spans.where(s.may_have_tag(F.col("tags"), s.ENTRY_TAG) & ~s.is_dropped(F.col("operation_name"))))
+        .where(F.col("_step.kind") == "ENTRY")
+        .select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit("REASON").alias("span_kind"))
+        .distinct()
+    )
+    stay = classified(spans.where(~can_go), ingested_ms, with_user_message)
+    asked = classified(spans.where(can_go), ingested_ms, with_user_message)
+    return stay.unionByName(asked.join(entries, ["trace_id", "parent_span_id", "span_kind"], "left_anti").select(stay.columns))
 
 
 def reasoning_calls(steps: DataFrame) -> DataFrame:

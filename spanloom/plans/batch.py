@@ -128,6 +128,10 @@ class Inputs:
     def measured(self) -> DataFrame:
         return ops_metrics.measured_spans(self.spans)
 
+    @property
+    def latency_sketch(self) -> DataFrame:
+        return self._table("latency_sketch", lambda: ops_metrics.latency_sketch(self.spans, ["service_name"]))
+
     @property
     def messages(self) -> DataFrame:
         return b.messages(self.table("conversations"))

@@ -1141,3 +1141,5 @@ oracle(
     "traj",
     f"select * from ({LANDED} select w as window_start_ms, count(*) as late from marked where w + 3600000 <= mark group by all)",
 )
+ORACLES["nearest_vectors_by_pivots"] = ORACLES["nearest_vectors"]
+ORACLES["latency_from_sketch"] = ORACLES["latency_percentiles"]

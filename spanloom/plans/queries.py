@@ -643,6 +643,19 @@ def latency_percentiles(spark, sf_dir):
     return ops_metrics.latency_report(Inputs(spark, sf_dir).spans, ["service_name"])
 
 
+@query
+def latency_from_sketch(spark, sf_dir):
+    """Exact percentiles from a stored sketch and one scan that looks only at the buckets of the wanted ranks."""
+    i = Inputs(spark, sf_dir)
+    return ops_metrics.latency_report_from_sketch(i.spans, i.latency_sketch, ["service_name"])
+
+
+@query
+def approximate_latency(spark, sf_dir):
+    """Percentiles of one mergeable sketch per service; each is within a share of 1/10,000 of its rank."""
+    return ops_metrics.approximate_latency(Inputs(spark, sf_dir).spans, ["service_name"])
+
+
 # --- sessions and retrieval ---
 
 
@@ -690,6 +703,16 @@ def nearest_vectors(spark, sf_dir):
     return retrieval.with_documents(hits, labels).select("query_id", "id", "label", F.round("distance", 5).alias("distance"))
 
 
+@query
+def nearest_vectors_by_pivots(spark, sf_dir):
+    """The same rows, without comparing vectors whose cells are too far from each other."""
+    stored = Inputs(spark, sf_dir).table("embeddings")
+    vectors = stored.select(F.col("vec_id").alias("id"), "embedding")
+    hits = retrieval.nearest_by_pivots(vectors, vectors.withColumnRenamed("id", "query_id"))
+    labels = stored.select(F.col("vec_id").alias("id"), "label")
+    return retrieval.with_documents(hits, labels).select("query_id", "id", "label", F.round("distance", 5).alias("distance"))
+
+
 @query
 def nearest_messages(spark, sf_dir):
     """Assistant answers nearest to each user message, by the hashing embedder."""

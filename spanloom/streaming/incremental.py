@@ -82,7 +82,7 @@ def fold_changes(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
     """Writes the new rows of ``signature_slices`` for one written batch of changes; returns the slices and dates touched."""
     log = _log(spark, folder, "window_changes")
     batch = log.where(F.col(changelog.BATCH) == batch_id)
-    touched = batch.groupBy(*_SLICE, "ingestion_date").agg((F.min("sign") < 0).alias("redo"))
+    touched = changelog.once(batch.groupBy(*_SLICE, "ingestion_date").agg((F.min("sign") < 0).alias("redo")), f"{folder}/scratch/touched_slices")
     more, again = touched.where(~F.col("redo")), touched.where("redo")
     before = _of(_log(spark, folder, "signature_slices").where(F.col(changelog.BATCH) < batch_id), more)
     before = changelog.current(before, _SLICE).where("n > 0").drop("ingestion_date", "ingestion_hour")
@@ -111,7 +111,7 @@ def write_windows(spark: SparkSession, folder: str, batch_id: int, touched: Data
     """Writes the windows that hold touched slices, or all if a baseline is among them."""
     log = _log(spark, folder, "signature_slices").where(F.col(changelog.BATCH) <= batch_id)
     known = changelog.current(_log(spark, folder, "analytics_windows").where(F.col(changelog.BATCH) < batch_id), windows.WINDOW)
-    starts = _starts(touched, options)
+    starts = changelog.once(_starts(touched, options), f"{folder}/scratch/touched_windows")
     # Two numbers per window size: the earliest window there was, and the earliest that changes.
     was = {r["window_size"]: r["t"] for r in known.where("trace_count > 0").groupBy("window_size").agg(F.min("window_start_ms").alias("t")).collect()}
     now = {r["window_size"]: r["t"] for r in starts.groupBy("window_size").agg(F.min("window_start_ms").alias("t")).collect()}

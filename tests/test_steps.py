@@ -100,3 +100,19 @@ def test_call_graph(make):
         {"trace_id": "A", "span_id": s, "parent_span_id": p, "operation_name": n} for s, p, n in rows
     ])
     assert {tuple(r) for r in call_graph(spans).collect()} == {("a", "b", 2), ("b", "c", 1)}
+
+
+def test_tags_with_escaped_names_are_classified(spark):
+    """Names of tags written with escapes are looked at like any others."""
+    def row(span_id, parent, tags):
+        return ("t", "s", span_id, parent, "op", "svc", 10**9, 2 * 10**9, 10**9, "OK", "", "", tags, "{}", None)
+
+    spans = spark.createDataFrame(
+        [
+            row("1", "", '{"http\\u002eroute":"/a"}'), row("2", "1", '{"gen\\u005fai.system":"x"}'), row("3", "2", '{"gen_ai.system":"x"}'),
+            row("4", "1", '{"gen_ai.system":"x","agent.name":"a"}'), row("5", "1", '{"note":"gen_ai.system"}'), row("6", "1", "{gen_ai.system"),
+            row("7", None, '{"gen_ai.system":"x"}'), row("8", "1", None),
+        ],
+        schemas.SPANS,
+    )
+    assert {r["span_id"]: r["span_kind"] for r in agent_steps(spans).collect()} == {"1": "ENTRY", "3": "REASON", "4": "AGENT", "7": "REASON"}
