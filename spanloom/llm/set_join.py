@@ -8,8 +8,8 @@ Two sets of n and m shingles reach similarity t (a rational) only if they share
   these). Shingles no other document has cannot join anything, so they open no list; in most documents none is left.
 
 A list is not expanded into pairs. Its sets are verified against one set of the list, the star, and the links found are closed
-into components: first the set with the fewest shingles of its own, which is the one all copies come from, then, while long lists
-hold many pairs of components, sets in random order. Of the lists that still hold several components, short ones give their pairs, after
+into components: first the set with the fewest shingles of its own, which is the one all copies come from, then sets in random
+order, while that halves what is left of long lists. Of the lists that still hold several components, short ones give their pairs, after
 the size and position filters; long ones are cut into blocks, ordered by component and size, that are compared as
 wholes, unless they are of one component or their sizes rule links out. A long list makes no row per pair, and only links that join
 components come out of it. This finds every link that could still join components. Equal sets are one class from the start,
@@ -382,18 +382,19 @@ def linked(lists: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> Dat
     shared = lists.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     lists = written(lists.join(shared.select("key"), "key", "left_semi"), "lists")
     labels, links, entries, long = None, None, _open(lists, None), None
+    left = entries.count()
     for round_ in range(MOST_ROUNDS):
         found = written(_verified(_starred(entries, round_, threshold), sets, threshold), "links")
-        if round_ and found.isEmpty():
-            break
         links = found if links is None else links.union(found)
         labels = written(components(links), "labels")
         entries = _open(lists, labels)
         # Lists whose pairs of sets of different components outnumber their entries by far.
         per = entries.groupBy("key", "component").count().groupBy("key").agg(F.sum("count").alias("t"), F.sum(F.col("count") * F.col("count")).alias("s"))
-        long = written(per.where((F.col("t") * F.col("t") - F.col("s")) / 2 > OPEN_PAIRS * F.col("t")).select("key"), "long")
-        if long.isEmpty():
+        long = written(per.where((F.col("t") * F.col("t") - F.col("s")) / 2 > OPEN_PAIRS * F.col("t")).select("key", "t"), "long")
+        before, left = left, long.agg(F.sum("t")).first()[0] or 0
+        if not left or 2 * left > before:
             break
+    long = long.select("key")
     pairs = _pair_links(entries.join(long, "key", "left_anti"), sets, threshold)
     more = written(pairs.union(_block_links(entries.join(long, "key", "left_semi"), sets, threshold)), "links")
     return labels if more.isEmpty() else components(links.union(more))
