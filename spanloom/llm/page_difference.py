@@ -1,12 +1,15 @@
 """Main text of HTML pages: markup rules and the difference to the page with the nearest URL.
 
-Markup first: scripts, styles, menus, headers, footers, asides, forms, adverts, notices and reader comments go by tag, role
-and class; if the page marks an article or main part, the rest goes too. What is left is a sequence of lines (blocks).
+Markup first (``html_lines``): scripts, styles, menus, headers, footers, asides, forms, adverts, notices and reader comments go
+by tag, role and the words of class and id; if the page marks an article or main part, the rest goes too. What is left is a
+sequence of lines (blocks).
 
 Then the difference: pages of a host are ordered by URL path, every page is paired with the neighbour that shares more of its
 path (the one before it on a tie; addresses that differ in scheme, query, fragment, final slash or .html only count as one
-page), the two line sequences are aligned by longest common subsequence, and the shared lines go. Two exceptions keep articles whole: lines that markup places inside an article stay, because articles of
-one host quote the same passages, and nothing goes if the shared lines are half of the page's text or more (copies).
+page, unless the host has a single path: then queries tell pages apart), the two line sequences are aligned by longest common
+subsequence, and the shared lines go. Two exceptions keep articles whole: lines that markup places inside an article stay, because
+articles of one host quote the same passages, and nothing goes if the shared lines are nine tenths of the lines of both
+pages or more (copies).
 
 Only line hashes meet in the pairing; the ordering is by ranges, so a host with a third of all pages is spread over tasks.
 
@@ -16,134 +19,73 @@ tables give no rows; other columns are not read.
 
 from __future__ import annotations
 
-import html as entities
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.llm.html_lines import lines
 from spanloom.llm.tables import small_batches, written
 from spanloom.llm.textarrays import mix, span_hashes, utf8
 
-# Shared lines that make up this share of a page's text mean that the two pages are copies.
-COPY_SHARE = 0.5
-
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|object|head|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?][^>]*>"
-    r"|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
-_BLOCKS = frozenset(
-    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 "
-    "h4 h5 h6 header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
-)
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_OFF = frozenset("nav header footer aside form button menu dialog".split())
-_OFF_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-_OFF_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|footer|sidebar|side|widget\w*|cookies?|"
-    r"consent|notices?|newsletter|subscribe|popup|modal|share|social|related|comments?|replies|disqus)(?:$|[\s_-])",
-    re.I,
-)
-_NAMED = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_ROLE = re.compile(r"\brole\s*=\s*[\"']?([\w-]+)", re.I)
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-
-
-def _is_off(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in ("html", "body", "main", "article"):
-        return False
-    if tag in _OFF and not (tag == "header" and in_article):
-        return True
-    if not attributes.strip():
-        return False
-    role = _ROLE.search(attributes)
-    if role and role[1].lower() in _OFF_ROLES:
-        return True
-    if any(_OFF_NAMES.search(next(filter(None, m.groups()), "")) for m in _NAMED.finditer(attributes)):
-        return True
-    return bool(_HIDDEN.search(attributes))
-
-
-def lines(page: str | None) -> list[tuple[str, bool]]:
-    """The page's blocks that markup does not rule out, each with whether it lies in a marked article."""
-    out: list[tuple[str, bool]] = []
-    held: list[str] = []
-    article, off, depth = 0, "", 0
-
-    def flush() -> None:
-        if held:
-            text = " ".join(entities.unescape("".join(held)).split())
-            held.clear()
-            if text:
-                out.append((text, article > 0))
-
-    for m in _TOKEN.finditer(page or ""):
-        text = m["text"]
-        if text is not None:
-            if not off:
-                held.append(text)
-            continue
-        tag = m["tag"]
-        if tag is None:
-            continue
-        tag, closes = tag.lower(), bool(m["close"])
-        if off:
-            # Inside a part that is left out only its own tag counts.
-            if tag == off:
-                depth += -1 if closes else 1
-                if depth == 0:
-                    off = ""
-            continue
-        if not closes and tag not in _VOID and not m["attributes"].endswith("/") and _is_off(tag, m["attributes"], article > 0):
-            flush()
-            off, depth = tag, 1
-            continue
-        if tag == "br":
-            held.append(" ")
-        elif tag in _BLOCKS:
-            flush()
-            if tag in ("article", "main"):
-                article = max(0, article + (-1 if closes else 1))
-    flush()
-    if any(marked for _, marked in out):
-        return [x for x in out if x[1]]
-    return out
+# Pages whose shared lines are this share of the lines of either are copies of each other.
+COPY_LINES = 0.9
 
 
 def common(a: list[int], b: list[int]) -> list[int]:
-    """Positions in ``a`` of a longest common subsequence with ``b``."""
-    shared = set(a) & set(b)
-    x = [i for i, v in enumerate(a) if v in shared]
-    y = np.array([v for v in b if v in shared], np.uint64)
-    if not x:
-        return []
-    rows = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-    for i, at in enumerate(x):
-        same = y == np.uint64(a[at])
-        best = np.maximum(rows[i, 1:], np.where(same, rows[i, :-1] + 1, 0))
-        rows[i + 1, 1:] = np.maximum.accumulate(best)
-    out, i, j = [], len(x), len(y)
-    while i and j:
-        if rows[i, j] == rows[i - 1, j]:
-            i -= 1
-        elif rows[i, j] == rows[i, j - 1]:
-            j -= 1
-        else:
-            out.append(x[i - 1])
-            i, j = i - 1, j - 1
-    return out[::-1]
-
-
-def shared_lines(own: list[int], sizes: list[int], marked: list[bool], other: list[int]) -> list[int]:
+    """Positions in ``a`` of a longest common subsequence with ``b``.
+
+    Bit-parallel over the rows of the usual table: a row is one integer of as many bits as ``b`` has shared lines. Every so many rows
+    are kept, and those between are made again while walking back, so memory grows with the lines times the root of their number.
+    """
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    shared = set(a[head : len(a) - tail]) & set(b[head : len(b) - tail])
+    x = [i for i in range(head, len(a) - tail) if a[i] in shared]
+    masks: dict[int, int] = {}
+    width = 0
+    for v in b[head : len(b) - tail]:
+        if v in shared:
+            masks[v] = masks.get(v, 0) | 1 << width
+            width += 1
+    every = (1 << width) - 1
+
+    def after(row: int, i: int) -> int:
+        met = row & masks[a[x[i]]]
+        return ((row + met) | (row - met)) & every
+
+    step = int(len(x) ** 0.5) + 1
+    kept, row = [], every
+    for i in range(len(x)):
+        if i % step == 0:
+            kept.append(row)
+        row = after(row, i)
+    out, column = [], width
+    for block in range(len(kept) - 1, -1, -1):
+        first = block * step
+        rows = [kept[block]]  # before the block's first line, then after each
+        for i in range(first, min(first + step, len(x))):
+            rows.append(after(rows[-1], i))
+        i = len(rows) - 1
+        while i and column:
+            if rows[i] >> (column - 1) & 1:
+                column -= 1
+            else:
+                i -= 1
+                if rows[i] >> (column - 1) & 1:
+                    out.append(x[first + i])
+                    column -= 1
+    return [*range(head), *reversed(out), *range(len(a) - tail, len(a))]
+
+
+def shared_lines(own: list[int], marked: list[bool], other: list[int]) -> list[int]:
     """The lines to delete from a page, given its neighbour's lines."""
     found = common(own, other)
-    if not found or sum(sizes[i] for i in found) >= COPY_SHARE * sum(sizes):
+    if len(found) >= COPY_LINES * max(len(own), len(other)):
         return []
     return [i for i in found if not marked[i]]
 
@@ -157,6 +99,10 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
 
 
+def query_of(url: Column) -> Column:
+    return F.regexp_extract(url, r"\?([^#]*)", 1)
+
+
 def path_of(url: Column) -> Column:
     """The path without what does not name another page."""
     path = F.regexp_replace(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*|[?#].*$", "")
@@ -165,25 +111,23 @@ def path_of(url: Column) -> Column:
 
 def _hash_lines(batches):
     for b in batches:
-        out: dict[str, list] = {"hashes": [], "sizes": [], "marked": []}
+        out: dict[str, list] = {"hashes": [], "marked": []}
         for page in b["html"].to_pylist():
             found = lines(page)
             texts = [t for t, _ in found]
             out["hashes"].append(_hashed(texts).tobytes())
-            out["sizes"].append(np.array([len(t) for t in texts], np.int32).tobytes())
             out["marked"].append(np.array([k for _, k in found], np.uint8).tobytes())
-        columns = [b["host"], b["path"], b["row"], *(pa.array(v, pa.binary()) for v in out.values())]
-        yield pa.RecordBatch.from_arrays(columns, names=["host", "path", "row", *out])
+        columns = [b["host"], b["path"], b["query"], b["row"], *(pa.array(v, pa.binary()) for v in out.values())]
+        yield pa.RecordBatch.from_arrays(columns, names=["host", "path", "query", "row", *out])
 
 
 def _differences(batches):
     for b in batches:
         gone = []
-        for own, sizes, marked, other in zip(*(b[c].to_pylist() for c in ("hashes", "sizes", "marked", "other")), strict=True):
+        for own, marked, other in zip(*(b[c].to_pylist() for c in ("hashes", "marked", "other")), strict=True):
             gone.append(
                 shared_lines(
                     np.frombuffer(own, np.uint64).tolist(),
-                    np.frombuffer(sizes, np.int32).tolist(),
                     np.frombuffer(marked, np.uint8).astype(bool).tolist(),
                     np.frombuffer(other, np.uint64).tolist() if other else [],
                 )
@@ -220,20 +164,28 @@ def neighbours(pages: DataFrame) -> DataFrame:
     return best.select(F.col("own_host").alias("host"), F.col("own_path").alias("path"), "other")
 
 
+def _named_by_query(pages: DataFrame) -> DataFrame:
+    """Where a host has one path only, its pages are told apart by their queries."""
+    one = pages.where("host IS NOT NULL").groupBy("host").agg((F.min("path") == F.max("path")).alias("_one"))
+    path = F.when(F.col("_one"), F.concat("path", F.lit("?"), "query")).otherwise(F.col("path"))
+    return pages.join(one, "host", "left").withColumn("path", path).drop("_one", "query")
+
+
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url and text of every page."""
     small_batches(pages.sparkSession)
     source = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     # Equal rows have equal keys and results.
     row = F.xxhash64("page_id", "url", "html")
-    keyed = source.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), row.alias("row"), "html")
-    hashed = keyed.mapInArrow(_hash_lines, "host string, path string, row bigint, hashes binary, sizes binary, marked binary")
-    hashed = written(hashed, "line_hashes")
+    place = [f(F.col("url")).alias(name) for f, name in ((host_of, "host"), (path_of, "path"), (query_of, "query"))]
+    keyed = source.select(*place, row.alias("row"), "html")
+    hashed = keyed.mapInArrow(_hash_lines, "host string, path string, query string, row bigint, hashes binary, marked binary")
+    hashed = _named_by_query(written(hashed, "line_hashes"))
     pairs = neighbours(hashed.select("host", "path", "row"))
     one = hashed.dropDuplicates(["row"])
     other_lines = hashed.groupBy(F.col("row").alias("paired")).agg(F.first("hashes").alias("other"))
     met = one.join(pairs.withColumnRenamed("other", "paired"), ["host", "path"]).join(other_lines, "paired")
-    gone = met.select("row", "hashes", "sizes", "marked", "other").mapInArrow(_differences, "row bigint, gone array<int>").where(F.size("gone") > 0)
+    gone = met.select("row", "hashes", "marked", "other").mapInArrow(_differences, "row bigint, gone array<int>").where(F.size("gone") > 0)
 
     def extract(batches):
         for b in batches:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -353,6 +354,112 @@ def test_markup_rules():
     assert [t for t, _ in page_difference.lines("a < b <p>c")] == ["a < b", "c"]
 
 
+@pytest.mark.parametrize(
+    ("html", "expected"),
+    [
+        ('<div class="entry-header"><h1>Title</h1></div><p>Text', ["Title", "Text"]),
+        ('<h2 id="related-work">Related work</h2><p>Text', ["Related work", "Text"]),
+        ('<p id="comments-on-method">On the method', ["On the method"]),
+        ('<p class="hidden gems">a<p data-hidden="1">b<p class="hidden-info">c', ["a", "b", "c"]),
+        ('<div class="social history">The history', ["The history"]),
+        ('<p class="ad">Buy<p>Two<p>Three', ["Two", "Three"]),
+        ('<ul><li class="promo">Ad<li>One</ul><p>Tail', ["One", "Tail"]),
+        ("<nav><ul><li>Menu<li>More</ul><h1>Title</h1><p>Text", ["Title", "Text"]),
+        ("<p title=it's>One<p title=\"a>b\">Two", ["One", "Two"]),
+        ("<textarea><p>typed</textarea><pre>a  b\nc</pre>", ["a b c"]),
+        ('<p hidden>a<p style="color:red; display : none">b<p aria-hidden="true">c<p>d', ["d"]),
+        ('<div class="comment-list"><p>first!</div><div id="site-nav">x</div><div role="navigation">y</div><p>z', ["z"]),
+        ("<table><tr><td>a<td>b<tr><td>c</table>d", ["a", "b", "c", "d"]),
+        ("<dl><dt>t<dd>d<dt>u</dl><b>x<p>y</b>z", ["t", "d", "u", "x", "yz"]),
+        ("<script>never closed <p>x", []),
+        ("<p>a<!-- never closed <p>b", ["a"]),
+        ("<p>a</div></p></nav><p>b</article>c", ["a", "b", "c"]),
+        ("<article><header><h1>T</h1></header><p>x<article class=comment>c</article></article>", ["T", "x"]),
+        ("1 < 2 <3 <a", ["1 < 2 <3"]),
+    ],
+)
+def test_pages_as_browsers_read_them(html, expected):
+    assert [t for t, _ in page_difference.lines(html)] == expected
+
+
+def test_very_long_pages():
+    """Two hundred thousand lines are aligned in memory that grows with the lines, and read in one pass."""
+    own = [i % 50_000 for i in range(200_000)]
+    other = [7, *(v for i, v in enumerate(own) if i % 1000), 9]
+    assert len(page_difference.common(own, other)) == 199_800
+    assert len(page_difference.lines("<p>line" * 200_000)) == 200_000
+
+
+def brute_text(rows):
+    """The query by plain lists: neighbours in order of path, alignment by the full table."""
+    def place(url):
+        host, _, rest = (url or "").partition("//")[2].partition("/")
+        return host.lower(), re.sub(r"(?:/(?:index\.\w+)?|\.\w{2,5})$", "", ("/" + rest if rest else "").split("#")[0].split("?")[0])
+
+    read = [page_difference.lines(html) for _, _, html in rows]
+    paths = {}
+    for i, (_, url, _) in enumerate(rows):
+        if url:
+            paths.setdefault(place(url)[0], {}).setdefault(place(url)[1], []).append(i)
+    out = []
+    for i, (page_id, url, _) in enumerate(rows):
+        host, path = place(url)
+        own, gone = [t for t, _ in read[i]], set()
+        order = sorted(paths.get(host, {}))
+        at = order.index(path) if url else 0
+        near = [order[j] for j in (at - 1, at + 1) if url and 0 <= j < len(order)]
+        if near:
+            def alike(q):
+                same = [x == y for x, y in zip(path.split("/"), q.split("/"), strict=False)] + [False]
+                return same.index(False)
+
+            other = [t for t, _ in read[paths[host][max(near, key=lambda q: (alike(q), -near.index(q)))][0]]]
+            table = [[0] * (len(other) + 1) for _ in range(len(own) + 1)]
+            for a, x in enumerate(own, 1):
+                for b, y in enumerate(other, 1):
+                    table[a][b] = table[a - 1][b - 1] + 1 if x == y else max(table[a - 1][b], table[a][b - 1])
+            if table[-1][-1] < 0.9 * max(len(own), len(other)):
+                a, b = len(own), len(other)
+                while a and b:
+                    if own[a - 1] == other[b - 1]:
+                        a, b = a - 1, b - 1
+                        gone.add(a)
+                    elif table[a - 1][b] >= table[a][b - 1]:
+                        a -= 1
+                    else:
+                        b -= 1
+        out.append((page_id, "\n\n".join(t for k, (t, marked) in enumerate(read[i]) if k not in gone or marked)))
+    return out
+
+
+def test_main_text_equals_brute_force(spark):
+    rnd = random.Random(4)
+    rows = []
+    for host in ("a.example", "b.example", "c.example"):
+        template = [f"{host} part {k}" for k in range(6)]
+        for i in range(8):
+            body = [f"own {host} {i} {k}" for k in range(rnd.randint(1, 9))]
+            kind = "article" if rnd.random() < 0.3 else "div"
+            html = "".join(f"<p>{t}" for t in template[:3]) + f"<{kind}>" + "".join(f"<p>{t}" for t in body) + f"</{kind}>" + "".join(f"<p>{t}" for t in template[3:])
+            rows.append((len(rows), f"http://{host}/{'news' if i % 2 else 'blog'}/{i}/{rnd.randint(0, 99)}.html", page(html)))
+    got = [(r["page_id"], r["text"]) for r in page_difference.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()]
+    assert sorted(got) == brute_text(rows)
+    assert any("part" not in t for i, t in got if "<article>" not in rows[i][2])
+
+
+def test_pages_told_apart_by_their_query(spark):
+    """A host with one path: pages differ in the query, and lines of the template go."""
+    rows = [(i, f"http://q.example/show?id={i}", page("<p>Head of the site", "".join(f"<p>text {i} {k}" for k in range(i + 1)))) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in page_difference.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: "\n\n".join(f"text {i} {k}" for k in range(i + 1)) for i in range(4)}
+
+
+def test_extra_columns_do_not_clash_with_pages(spark):
+    rows = [(1, "http://h/a", "<p>x", "t", "r", "h", "p", "q")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string, row string, host string, path string, query string")
+    assert [tuple(r) for r in page_difference.main_text(df).collect()] == [(1, "http://h/a", "x")]
+
+
 def test_template_lines_go_and_articles_stay(spark):
     top, bottom = "<div>Welcome to the site of many things</div>", "<div>All rights reserved by the owner</div>"
     rows = [(i, f"http://h.example/news/{i}.html?x=1", page(top, f"<div>{'story %d ' % i * 30}</div>", bottom), "x") for i in range(6)]
