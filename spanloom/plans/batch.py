@@ -49,6 +49,15 @@ class Inputs:
             _written[key] = path
         return self.spark.read.parquet(_written[key])
 
+    def folder(self, name: str, build: Callable[[str], None]) -> str:
+        """A folder of several tables that a chain of jobs writes, built once."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _written:
+            path = scratch(self.spark)
+            build(path)
+            _written[key] = path
+        return _written[key]
+
     def table(self, name: str) -> DataFrame:
         return b.table(self.spark, self.sf_dir, name)
 

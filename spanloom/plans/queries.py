@@ -797,32 +797,32 @@ def _in_batches(spark, sf_dir: str, samples_last: bool) -> jobs.Pipeline:
     """The spans of every trace land in four sets of files, children before their parents; the whole chain runs after two of
     them and again after all. Samples land before everything else or after it."""
     i = Inputs(spark, sf_dir)
-    folder = scratch(spark)
-    chain = jobs.Pipeline(folder=f"{folder}/tables", trigger=None, correlation=SPARSE)
 
-    def land(part: int) -> None:
-        landed = i.landed_messages.where(F.col("event_id") % 4 == part).select("value")
-        landed.write.mode("append").text(f"{folder}/messages")
+    def chain(folder: str) -> jobs.Pipeline:
+        return jobs.Pipeline(folder=f"{folder}/tables", trigger=None, correlation=SPARSE)
+
+    def build(folder: str) -> None:
+        def samples() -> None:
+            i.gpu.write.mode("overwrite").json(f"{folder}/gpu")
+            i.network.write.mode("overwrite").json(f"{folder}/network")
 
-    def samples() -> None:
-        i.gpu.write.mode("overwrite").json(f"{folder}/gpu")
-        i.network.write.mode("overwrite").json(f"{folder}/network")
+        def run() -> None:
+            jobs.run_to_end(spark, chain(folder), f"{folder}/messages", f"{folder}/gpu", f"{folder}/network")
 
-    def run() -> None:
-        jobs.run_to_end(spark, chain, f"{folder}/messages", f"{folder}/gpu", f"{folder}/network")
+        i.gpu.limit(0).write.json(f"{folder}/gpu")
+        i.network.limit(0).write.json(f"{folder}/network")
+        if not samples_last:
+            samples()
+        for parts in ((3, 1), (2, 0)):
+            for part in parts:
+                landed = i.landed_messages.where(F.col("event_id") % 4 == part).select("value")
+                landed.write.mode("append").text(f"{folder}/messages")
+            run()
+        if samples_last:
+            samples()
+            run()
 
-    i.gpu.limit(0).write.json(f"{folder}/gpu")
-    i.network.limit(0).write.json(f"{folder}/network")
-    if not samples_last:
-        samples()
-    for parts in ((3, 1), (2, 0)):
-        for part in parts:
-            land(part)
-        run()
-    if samples_last:
-        samples()
-        run()
-    return chain
+    return chain(i.folder(f"in_batches_{samples_last}", build))
 
 
 @query
@@ -859,17 +859,20 @@ def stream_timed(spark, sf_dir):
 
 def _closed_windows(spark, sf_dir) -> str:
     """Traces land by time in six files, some of them one file late; hours close ten minutes after the latest row."""
-    folder = scratch(spark)
-    traces = Inputs(spark, sf_dir).trajectories.where(F.col("start_ts_ms") > 0)
-    parts = traces.selectExpr("timestamp_millis(start_ts_ms) as start_ts", "trajectory_signature", f"{b.LANDED_PART} as part")
-    parts.write.parquet(f"{folder}/parts")
-    parts = spark.read.parquet(f"{folder}/parts")
-    for part in range(7):
-        tables.append(parts.where(F.col("part") == part).drop("part").coalesce(1), f"{folder}/traces")
-    stream = tables.table_stream(spark, f"{folder}/traces", "start_ts TIMESTAMP, trajectory_signature STRING", max_files=1)
-    for running in jobs.start_closed_windows(spark, stream, folder):
-        running.awaitTermination()
-    return folder
+    i = Inputs(spark, sf_dir)
+
+    def build(folder: str) -> None:
+        traces = i.trajectories.where(F.col("start_ts_ms") > 0)
+        parts = traces.selectExpr("timestamp_millis(start_ts_ms) as start_ts", "trajectory_signature", f"{b.LANDED_PART} as part")
+        parts.write.parquet(f"{folder}/parts")
+        landed = spark.read.parquet(f"{folder}/parts")
+        for part in range(7):
+            tables.append(landed.where(F.col("part") == part).drop("part").coalesce(1), f"{folder}/traces")
+        stream = tables.table_stream(spark, f"{folder}/traces", "start_ts TIMESTAMP, trajectory_signature STRING", max_files=1)
+        for running in jobs.start_closed_windows(spark, stream, folder):
+            running.awaitTermination()
+
+    return i.folder("closed_windows", build)
 
 
 @query
