@@ -19,17 +19,6 @@ def test_flatten_needs_no_shuffle_and_parses_once(spark):
     assert "Exchange" not in plan and plan.count("from_json(") == 1
 
 
-def test_only_possible_reasoning_is_shuffled(spark, tmp_path):
-    """Steps that cannot be removed reach the output without an exchange."""
-    from spanloom import schemas
-    from spanloom.operators.steps import agent_steps
-
-    spark.createDataFrame([], schemas.SPANS).write.parquet(f"{tmp_path}/spans")
-    plan = _plan(agent_steps(spark.read.parquet(f"{tmp_path}/spans")))
-    stays = plan[plan.index("Union") : plan.index("Join")]
-    assert "Exchange" not in stays[: stays.index("FileScan")] and "gen_ai.system" in plan
-
-
 def test_classification_parses_tags_once(spark):
     from spanloom import schemas
     from spanloom.operators.steps import classified
