@@ -1,12 +1,13 @@
 """Passages, line chunks, similarity joins and fingerprints against brute force, on awkward rows too."""
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
-from corpus import shingles, words
+from corpus import prose, shingles, vocabulary, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -47,6 +48,49 @@ def test_factors_cover_what_is_removed(docs):
         assert len(covered) == r["n_removed"]
 
 
+def test_factors_equal_the_words_they_copy(docs, rows):
+    """Also over several packs and blocks, and for windows of other sizes."""
+    texts: dict = {}
+    for r in rows:
+        texts.setdefault(r[0], []).append(words(r[1]))
+    for window in (1, 2, 5, factor_dedup.WINDOW):
+        got = factor_dedup.repeated_passages(docs.repartition(17), window).collect()
+        expected = expected_passages([r[:2] for r in rows], window)
+        assert Counter(tuple(r)[:4] for r in got) == Counter(expected)
+        for r in got:
+            assert len(r["factors"]) == len(r["sources"])
+            for (first, n), (source, place) in zip(r["factors"], r["sources"], strict=True):
+                assert n >= window and source < r["doc_id"]
+                assert any(
+                    own[first : first + n] == other[place : place + n] and len(own[first : first + n]) == n
+                    for own in texts[r["doc_id"]]
+                    for other in texts[source]
+                )
+
+
+def test_factors_follow_one_reference_as_far_as_it_goes(spark):
+    rnd, vocab = random.Random(5), vocabulary(5)
+    a, b = (prose(rnd, vocab, 120).split() for _ in range(2))
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, "  ".join([*a[10:70], *b[20:90]])), (4, " ".join([*a[5:40], "new", *a[41:70]]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"]: (r["factors"], r["sources"]) for r in factor_dedup.repeated_passages(docs).collect()}
+    assert got[1] == got[2] == ([], [])
+    assert got[3] == ([[0, 60], [60, 70]], [[1, 10], [2, 20]])
+    assert got[4] == ([[0, 35], [36, 29]], [[1, 5], [1, 41]])
+
+
+def test_blocks_compare_words_where_hashes_clash(monkeypatch):
+    raw = np.frombuffer(b"aa bb aa cc bb dd ee", np.uint8)
+    starts = np.arange(0, 20, 3)
+    monkeypatch.setattr(factor_dedup, "span_hashes", lambda raw, starts, ends: np.zeros(len(starts), np.uint64))
+    numbers = factor_dedup._word_numbers(raw, starts, starts + 2)
+    assert numbers[0] == numbers[2] and numbers[1] == numbers[4] and len(set(numbers.tolist())) == 5
+    monkeypatch.setattr(factor_dedup, "window_hashes", lambda words, k: np.zeros(len(words) - k + 1, np.uint64))
+    order, new = factor_dedup._window_groups(np.array([1, 2, 3, 1, 2, 4, 1, 2]), np.array([0, 1, 3, 4, 6]), 2)
+    groups = [sorted(g.tolist()) for g in np.split(order, new[1:])]
+    assert sorted(groups) == [[0, 2, 4], [1], [3]]
+
+
 def brute_components(rows, num=80, den=100):
     sets = [shingles(t) for _, t in rows]
     parent = {i: i for i, _ in rows if i is not None}
