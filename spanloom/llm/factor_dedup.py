@@ -349,8 +349,8 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     packs = packed(rows, "passages", order="doc_id", describe=lambda t: {"bytes": t["text"].nbytes}, described="bytes bigint")
     words = (packs.agg(F.sum("bytes")).first()[0] or 0) // 6
-    # An anchor stands for some four windows; a task of the second exchange holds at most some two million windows.
-    anchor_buckets, buckets = bucket_count(words // 4), bucket_count(words // 2)
+    # An anchor stands for some four windows; if all are shared, a task of the second exchange holds a million windows.
+    anchor_buckets, buckets = bucket_count(words // 4), bucket_count(words)
     keys = "pack_id bigint, bucket int, body binary"
     by_pack = packs.select("pack_id", "body").groupBy("pack_id")
     anchors = packs.select("pack_id", "body").mapInArrow(_send_anchors(window, anchor_buckets), keys)
