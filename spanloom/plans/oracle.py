@@ -899,13 +899,13 @@ oracle(
     order by gpu_contention_avg desc, trace_id limit 3""",
 )
 SUMMARY_SQL = "'" + SUMMARY_PROMPT.replace("'", "''").replace("%s", "' || context || '") + "'"
-oracle(
-    "fleet_summary",
-    "correlated windows traj",
-    f"""select n as total_traces, {rnd('q', 3)} as avg_quality, {rnd('c', 4)} as avg_contention, {rnd('h', 3)} as avg_hallucination,
+
+
+def _fleet(listed: str) -> str:
+    return f"""select n as total_traces, {rnd('q', 3)} as avg_quality, {rnd('c', 4)} as avg_contention, {rnd('h', 3)} as avg_hallucination,
     u as unique_templates, a as alert_count, context, {SUMMARY_SQL} as prompt, summary from (select *, 'Traces analyzed: ' || n || chr(10) || 'Average quality: ' || {fmt('q', 2)} || '/5'
     || chr(10) || 'Average hallucination score: ' || {fmt('h', 2)} || '/5' || chr(10) || 'Average GPU contention: ' || {fmt('c', 3)}
-    || chr(10) || 'Unique trajectory templates: ' || u || chr(10) || 'Traces per template: ' || dist || chr(10)
+    || chr(10) || 'Unique trajectory templates: ' || u || chr(10) {listed}
     || 'Correlation alerts: ' || a || chr(10) || 'Kinds of alerts: ' || kinds || chr(10)
     || 'Traces under the highest GPU contention:' || busiest as context,
     'Analytics summary (auto-generated): ' || n || ' traces analyzed. Avg quality: ' || {fmt('q', 2)} || '/5. Avg GPU contention: '
@@ -921,8 +921,11 @@ oracle(
       where rn <= 5 group by 1)) as kinds,
     (select string_agg(chr(10) || '  - trace ' || trace_id[1:12] || ': quality=' || {fmt('quality_overall', 1)} || ', gpu_contention='
       || {fmt('gpu_contention_avg', 3)} || ', steps=' || step_count, '' order by gpu_contention_avg desc, trace_id) from (
-      select * from correlated order by gpu_contention_avg desc, trace_id limit 3)) as busiest from correlated))""",
-)
+      select * from correlated order by gpu_contention_avg desc, trace_id limit 3)) as busiest from correlated))"""
+
+
+oracle("fleet_summary", "correlated windows traj", _fleet("|| 'Traces per template: ' || dist || chr(10)"))
+oracle("fleet_numbers", "correlated windows traj", _fleet(""))
 
 oracle(
     "trajectory_report",

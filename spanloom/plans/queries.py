@@ -525,6 +525,12 @@ def highest_contention(spark, sf_dir):
 
 @query
 def fleet_summary(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return reports.fleet_summary(i.correlated, i.windows, i.templates, listed=reports.template_text(i.templates))
+
+
+@query
+def fleet_numbers(spark, sf_dir):
     i = Inputs(spark, sf_dir)
     return reports.fleet_summary(i.correlated, i.windows, i.templates)
 

@@ -192,12 +192,16 @@ SUMMARY_PROMPT = (
 )
 
 
-def _template_text(templates: DataFrame) -> Column:
-    """Number of templates, and all of them as a JSON object in order of frequency: one short entry per template."""
+def template_text(templates: DataFrame) -> Column:
+    """All templates as a JSON object in order of frequency.
+
+    One text in one row, some twenty characters per template: it grows with the number of paths. ``templates`` itself has
+    the same numbers as rows.
+    """
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("rank"), "signature")))
     entries = F.transform(ranked, lambda t: F.format_string('"%s": %d', t["signature"], -t["rank"]))
     text = F.concat(F.lit("{"), F.array_join(entries, ", "), F.lit("}"))
-    return templates.agg(F.struct(F.count("*").alias("n"), text.alias("text")).alias("t")).scalar()
+    return templates.agg(text.alias("text")).scalar()
 
 
 def _alert_text(analytics_windows: DataFrame) -> Column:
@@ -229,12 +233,18 @@ def _contention_text(correlated: DataFrame) -> Column:
 
 
 def fleet_summary(
-    correlated: DataFrame, analytics_windows: DataFrame, templates: DataFrame, model: Callable[[Column], Column] | None = None
+    correlated: DataFrame,
+    analytics_windows: DataFrame,
+    templates: DataFrame,
+    model: Callable[[Column], Column] | None = None,
+    listed: Column | None = None,
 ) -> DataFrame:
     """One row of fleet numbers with a context text, the prompt for a language model, and its answer as the summary.
 
     ``templates`` is ``trajectory.template_counts``. ``model`` gives the answer to a prompt column (a pandas UDF, say);
-    without one, or where it gives null, the summary is a fixed sentence.
+    without one, or where it gives null, the summary is a fixed sentence. ``listed`` is the text about the templates that
+    the model shall read: ``template_text(templates)`` for all of them, which must fit one row and the model; without it
+    the context has their number only, and its size does not grow with the fleet.
     """
 
     def mean(column: str) -> Column:
@@ -248,18 +258,18 @@ def fleet_summary(
         mean("quality_hallucination").alias("h"),
     ).select(
         "*",
-        _template_text(templates).alias("t"),
+        templates.agg(F.count("*").alias("n")).scalar().alias("unique_templates"),
         alert_count.alias("alert_count"),
         _alert_text(analytics_windows).alias("alert_types"),
         _contention_text(correlated).alias("busiest"),
     )
-    stats = stats.withColumn("unique_templates", F.col("t.n"))
+    per_template = F.lit("") if listed is None else F.concat(F.lit("Traces per template: "), listed, F.lit("\n"))
     q, c, h = F.col("q"), F.col("c"), F.col("h")
     context = F.format_string(
         "Traces analyzed: %d\nAverage quality: %.2f/5\nAverage hallucination score: %.2f/5\n"
-        "Average GPU contention: %.3f\nUnique trajectory templates: %d\nTraces per template: %s\nCorrelation alerts: %d\n"
+        "Average GPU contention: %.3f\nUnique trajectory templates: %d\n%sCorrelation alerts: %d\n"
         "Kinds of alerts: %s\nTraces under the highest GPU contention:%s",
-        "total_traces", q, h, c, "unique_templates", "t.text", "alert_count", "alert_types", "busiest",
+        "total_traces", q, h, c, "unique_templates", per_template, "alert_count", "alert_types", "busiest",
     )
     prompt = F.format_string(SUMMARY_PROMPT, "context")
     sentence = F.format_string(
