@@ -8,6 +8,7 @@ from __future__ import annotations
 from spanloom.functions.judge import NO_EVIDENCE, NO_REASONING, NO_REQUEST, NO_RESPONSE, PROMPT_TEMPLATE
 from spanloom.plans import bindings as b
 from spanloom.plans.reports import SUMMARY_PROMPT
+from spanloom.schemas import TABLES
 
 INGESTED = "'2024-01-02' as ingestion_date, 3 as ingestion_hour"
 
@@ -341,6 +342,11 @@ oracle(
       when 'http' then 'HTTP' when 'plan' then 'plan_execution' else 'findNearest' end end as sub
     from spans s left join classified c on c.event_id = s.event_id""",
 )
+oracle(
+    "steps_of_broken_tags",
+    "classified",
+    "select span_id, span_kind, sub_span_kind from classified where right(span_id, 1) not in ('0', '1', '2', '3')",
+)
 oracle(
     "classified_steps",
     "classified",
@@ -1096,6 +1102,13 @@ partition by o_custkey order by o_orderkey % 100 desc, o_orderkey desc) as rn fr
 ORACLES["upsert_roundtrip"] = """select l_partkey, l_orderkey, l_linenumber, l_quantity from (select *, row_number() over (
 partition by l_partkey order by l_orderkey % 3 desc, l_orderkey desc, l_linenumber desc, l_quantity desc) as rn from lineitem)
 where rn = 1"""
+oracle(
+    "table_setup",
+    "spans",
+    f"""select unnest({list(TABLES)}) as table_name, true as created, false as created_again,
+    case when table_name = 'trace_delta_table' then (select count(*) from (select distinct trace_id, span_id from spans)) else 0 end
+    as row_count""",
+)
 oracle(
     "replaced_traces",
     "spans",

@@ -107,6 +107,21 @@ def classified_steps(spark, sf_dir):
     return steps.classified(Inputs(spark, sf_dir).spans, F.lit(INGESTED_MS))
 
 
+@query
+def steps_of_broken_tags(spark, sf_dir):
+    """Spans of every kind, some with tags that are cut off, no object or no value: those have no tags, so no kind."""
+    tags = F.col("tags")
+    broken = (
+        F.when(F.col("span_id").endswith("0"), F.left(tags, F.length(tags) - 1))
+        .when(F.col("span_id").endswith("1"), F.lit("[1, 2]"))
+        .when(F.col("span_id").endswith("2"), F.lit("null"))
+        .when(F.col("span_id").endswith("3"), F.concat(F.lit("x"), tags))
+        .otherwise(tags)
+    )
+    spans = Inputs(spark, sf_dir).spans.withColumn("tags", broken)
+    return steps.classified(spans, F.lit(INGESTED_MS)).select("span_id", "span_kind", "sub_span_kind")
+
+
 @query
 def agent_steps(spark, sf_dir):
     return Inputs(spark, sf_dir).steps.select(
@@ -755,6 +770,26 @@ def upsert_roundtrip(spark, sf_dir):
     return changelog.current(changelog.read_log(spark, path, schema), keys)
 
 
+@query
+def table_setup(spark, sf_dir):
+    """All tables created in a new folder, one filled with the spans, then all created again: existing ones stay as they are."""
+    folder = scratch(spark)
+    created = tables.create_all(spark, folder)
+    name = "trace_delta_table"
+    changelog.write_batch(Inputs(spark, sf_dir).spans, f"{folder}/{name}", 0, schemas.TABLES[name][1])
+    again = tables.create_all(spark, folder)
+    rows = None
+    for table, (schema, _) in schemas.TABLES.items():
+        own = changelog.read_log(spark, f"{folder}/{table}", schema).agg(F.count("*").alias("row_count")).select(
+            F.lit(table).alias("table_name"),
+            F.lit(table in created).alias("created"),
+            F.lit(table in again).alias("created_again"),
+            "row_count",
+        )
+        rows = own if rows is None else rows.union(own)
+    return rows
+
+
 @query
 def replaced_traces(spark, sf_dir):
     """A trace's newest batch replaces all of its rows."""
