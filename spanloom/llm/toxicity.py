@@ -7,7 +7,8 @@ locate them.
 
 The model is fitted on a bounded sample of whole texts, short and long: at most ``per_label`` documents of each label and
 ``sample_chars`` characters of them together, the first in the order of a hash of their id (a text longer than the whole
-sample is never learned from). Scoring covers all documents and whole texts.
+sample is never learned from). Its features are counted and screened by Spark; the driver gets those that pass, by sentence,
+and fits their weights. Scoring covers all documents and whole texts.
 
 Length alone never makes a text toxic: the fit ends with a bias of ``LOW``, at which a sentence without a learned feature
 counts 2e-9, and weighs clean documents as if they were ``LONGER`` times as long.
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.llm.tables import small_batches
+from spanloom.llm.tables import small_batches, written
 
 DIMENSIONS = 1 << 20
 PREFIX_LETTERS = 5
@@ -75,6 +76,14 @@ class Model:
     bias: float
 
 
+def _telling(held: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Which features are fitted. ``held``: documents of either label that hold a feature; ``many``: all of either label."""
+    many = many.reshape(2, 1)
+    both = held.sum(axis=0) / many.sum()
+    spread = np.sqrt(both * (1 - both) * (1 / many).sum()) + 1e-12
+    return (held.sum(axis=0) >= SUPPORT) & (np.abs((held / many)[1] - (held / many)[0]) >= CLEAR * spread)
+
+
 def fit(labels: np.ndarray, bags: pa.Array, rounds: int = 400, pace: float = 3.0, sparsity: float = 3e-4) -> Model:
     """Weights that minimise the noisy-or log loss of the bags (documents: sentences: slots) plus an L1 penalty.
 
@@ -89,17 +98,15 @@ def fit(labels: np.ndarray, bags: pa.Array, rounds: int = 400, pace: float = 3.0
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(DIMENSIONS, np.float32), -50.0)
     in_bag = bags.flatten()
-    slots = in_bag.flatten().to_numpy()
+    # All arrays are as long as the slots given and the distinct ones of them.
+    ids, slots = np.unique(in_bag.flatten().to_numpy(), return_inverse=True)
     bag_of = np.repeat(np.arange(len(bags)), pc.list_value_length(bags).to_numpy())
     sentence_of = np.repeat(np.arange(len(bag_of)), pc.list_value_length(in_bag).to_numpy())
     # Documents of each label that hold a feature.
     pairs = np.unique(bag_of[sentence_of] * DIMENSIONS + slots)
     label_of = y[pairs // DIMENSIONS]
-    held = np.stack([np.bincount(pairs[label_of == v] % DIMENSIONS, minlength=DIMENSIONS) for v in (0, 1)])
-    many = np.array([[(y == 0).sum()], [(y == 1).sum()]])
-    both = held.sum(axis=0) / many.sum()
-    spread = np.sqrt(both * (1 - both) * (1 / many).sum()) + 1e-12
-    used = (held.sum(axis=0) >= SUPPORT) & (np.abs((held / many)[1] - (held / many)[0]) >= CLEAR * spread)
+    held = np.stack([np.bincount(pairs[label_of == v] % DIMENSIONS, minlength=len(ids)) for v in (0, 1)])
+    used = _telling(held, np.array([(y == 0).sum(), (y == 1).sum()]))
     count, place = int(used.sum()), np.cumsum(used) - 1
     listed = used[slots]
     feature, sentence_of = place[slots[listed]], sentence_of[listed]
@@ -127,7 +134,7 @@ def fit(labels: np.ndarray, bags: pa.Array, rounds: int = 400, pace: float = 3.0
     if bias > LOW:
         w, bias = steps(w * (LOW / min(bias, -1.0)), LOW, LONGER, False, 3 * pace, sparsity / 3)
     weights = np.zeros(DIMENSIONS, np.float32)
-    weights[used] = w
+    weights[ids[used]] = w
     return Model(weights, float(bias))
 
 
@@ -164,10 +171,38 @@ def learn(
     # The sample is bounded by its parameters, so it can be sent to every task. Equal rows meet in one before they are shuffled.
     rows = usable.select(doc_id, F.col(text).alias("text"), F.xxhash64(text).alias("_hash"))
     sample = rows.join(F.broadcast(chosen), [doc_id, "_hash"]).groupBy(doc_id, "_label").agg(F.min("text").alias("text")).select("_label", "text")
-    rows = sample.mapInArrow(features, "label int, bags array<array<int>>").toArrow()
+    bags = written(sample.mapInArrow(features, "label int, bags array<array<int>>"), "bags")
+    rows = _screened(bags).toArrow()
     return fit(rows["label"].to_numpy(), rows["bags"].combine_chunks())
 
 
+def _screened(bags: DataFrame) -> DataFrame:
+    """The bags with the features that are fitted only; every sentence stays. One row per feature goes to the driver."""
+    many = dict(bags.groupBy("label").count().collect())
+    clean, toxic = (F.count_if(F.col("label") == v) for v in (0, 1))
+    held = bags.select("label", F.explode(F.array_distinct(F.flatten("bags"))).alias("slot")).groupBy("slot")
+    held = held.agg(clean.alias("clean"), toxic.alias("toxic")).where(F.col("clean") + F.col("toxic") >= SUPPORT).toArrow()
+    used = held["slot"].to_numpy()
+    if 0 in many and 1 in many:
+        used = used[_telling(np.stack([held["clean"].to_numpy(), held["toxic"].to_numpy()]), np.array([many[0], many[1]]))]
+    packed = used.astype(np.int32).tobytes()
+
+    def screen(batches):
+        kept = np.zeros(DIMENSIONS, bool)
+        kept[np.frombuffer(packed, np.int32)] = True
+        for b in batches:
+            in_bag = b["bags"].flatten()
+            slots = in_bag.flatten().to_numpy()
+            stays = kept[slots]
+            before = np.concatenate([[0], np.cumsum(stays)])
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(in_bag))])
+            left = pa.ListArray.from_arrays(pa.array(before[ends], pa.int32()), pa.array(slots[stays], pa.int32()))
+            bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(b["bags"]))])
+            yield pa.RecordBatch.from_arrays([b["label"], pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), left)], names=["label", "bags"])
+
+    return bags.mapInArrow(screen, bags.schema)
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -97,6 +98,30 @@ def test_toxicity_learns_from_one_usable_row_per_id(labelled, monkeypatch):
     assert sizes[0] == sizes[1] and sizes[0][0] == 600
 
 
+def test_toxicity_features_are_screened_before_the_driver(labelled, monkeypatch):
+    docs, labels = labelled
+    fit, seen = toxicity.fit, []
+    monkeypatch.setattr(toxicity, "fit", lambda labels, bags: seen.append((labels, bags)) or fit(labels, bags))
+    model = toxicity.learn(docs, labels, F.lit(True))
+    monkeypatch.setattr(toxicity, "_screened", lambda bags: bags)
+    whole = toxicity.learn(docs, labels, F.lit(True))
+    (few_labels, few), (all_labels, every) = seen
+    slots, all_slots = (set(b.flatten().flatten().to_pylist()) for b in (few, every))
+    # What is fitted goes to the driver and little else: every sentence, but not every word of it.
+    assert set(np.flatnonzero(model.weights).tolist()) <= slots and 10 * len(slots) < len(all_slots)
+    assert sorted(zip(few_labels.tolist(), map(len, few.to_pylist()), strict=True)) == sorted(zip(all_labels.tolist(), map(len, every.to_pylist()), strict=True))
+    assert model.weights.any() and model.weights == pytest.approx(whole.weights, abs=1e-5) and model.bias == whole.bias
+
+
+def test_toxicity_fit_takes_memory_by_its_bags():
+    bags = pa.array([[[1, 2]], [[1, 3], [2]]] * 20, pa.list_(pa.list_(pa.int32())))
+    tracemalloc.start()
+    model = toxicity.fit(np.array([0, 1] * 20), bags)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(np.flatnonzero(model.weights).tolist()) <= {1, 2, 3} and peak < 2 * model.weights.nbytes
+
+
 def test_noisy_or():
     weights = np.zeros(toxicity.DIMENSIONS, np.float32)
     weights[toxicity._slot("bad")] = 2.0
