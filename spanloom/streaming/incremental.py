@@ -1,7 +1,8 @@
 """Windows kept up to date by what a micro-batch changes.
 
-The newest version of every trace is kept in the state store, one small row by trace id. A new version gives signed changes: what
-the old version added is taken back, what the new one adds is put in. Three logs follow from the changes:
+The newest version of every trace is kept in the log ``trace_versions``, one small row per contribution; a micro-batch reads those of its
+own traces. A new version gives signed changes: what the old version added is taken back, what the new one adds is put in. All of
+that is joins and sums, with no step per trace in Python. Three logs follow from the changes:
 
 * ``window_changes``: the changes themselves, divided by the date of the slice they belong to;
 * ``signature_slices``: measures per (slice, signature), one new row for each one that changed. Additions are folded into the row
@@ -10,20 +11,14 @@ the old version added is taken back, what the new one adds is put in. Three logs
 * ``analytics_windows``: one new row for each window that holds a changed slice. If a window size's baseline (its earliest window)
   changes, all windows are written again, as all compare with it.
 
-All three are append-only logs of batches: a replayed batch is written again as it was, and readers always find the newest
+All are append-only logs of batches: a replayed batch is written again as it was, and readers always find the newest
 row of each key. Windows and slices that hold no trace any more keep a row with a count of 0, which readers leave out.
 """
 
 from __future__ import annotations
 
-import json
-from collections import Counter
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from spanloom import schemas
 from spanloom.functions.timeparts import ingestion_date, ingestion_hour
@@ -36,28 +31,45 @@ _CHANGES = "slice_ms BIGINT, signature STRING, q DOUBLE, h DOUBLE, c DOUBLE, l D
 _SLICE = ["slice_ms", "signature"]
 
 
-def _changed(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Signed changes from the newest version in the batch, if it is newer than the one in the state."""
-    rows = pd.concat(parts)
-    batch = int(rows[changelog.BATCH].max())
-    newest = rows[(rows[changelog.BATCH] == batch) & rows["slice_ms"].notna()]
-    version = [
-        (int(r.slice_ms), r.signature, *(None if pd.isna(v) else float(v) for v in (r.q, r.h, r.c, r.l)), int(r.d)) for r in newest.itertuples()
-    ]
-    known, before = json.loads(state.get[0]) if state.exists else (-1, [])
-    if batch <= known:
-        return
-    state.update((json.dumps([batch, version]),))
-    old, new = Counter(map(tuple, before)), Counter(version)
-    signed = [(*c, -1) for c in (old - new).elements()] + [(*c, 1) for c in (new - old).elements()]
-    if signed:
-        yield pd.DataFrame(signed, columns=[*_CONTRIBUTION, "sign"]).astype({"q": "float64", "h": "float64", "c": "float64", "l": "float64"})
+# What the newest version of each trace adds. A trace that counts nowhere has a row with a null slice.
+_VERSIONS = "trace_id STRING, version BIGINT, slice_ms BIGINT, signature STRING, q DOUBLE, h DOUBLE, c DOUBLE, l DOUBLE, d BIGINT"
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    """The rows of each trace's newest version."""
+    newest = rows.groupBy(F.col("trace_id").alias("_trace")).agg(F.max("version").alias("_newest"))
+    same = F.col("trace_id").eqNullSafe(F.col("_trace")) & (F.col("version") == F.col("_newest"))
+    return rows.join(newest, same, "left_semi")
+
+
+def _with_known(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Adds ``_known``, the version a trace had before, or null."""
+    versions = known.groupBy(F.col("trace_id").alias("_trace")).agg(F.max("version").alias("_known"))
+    return rows.join(versions, F.col("trace_id").eqNullSafe(F.col("_trace")), "left").drop("_trace")
+
 
+def changes(correlated: DataFrame, folder: str, batch_id: int, options: DriftOptions = DRIFT) -> DataFrame:
+    """A micro-batch of correlated rows (with batch numbers) as signed changes from the newest versions before it.
 
-def changes(correlated: DataFrame, options: DriftOptions = DRIFT) -> DataFrame:
-    """A stream of correlated rows (with batch numbers) as signed changes. A trace that counts nowhere has a null slice."""
-    rows = correlated.select("trace_id", changelog.BATCH, *windows.contribution(options))
-    return rows.groupBy("trace_id").applyInPandasWithState(_changed, _CHANGES, "version STRING", "update", GroupStateTimeout.NoTimeout)
+    A trace that counts nowhere has a null slice. Versions that are not newer than what is known change nothing.
+    """
+    spark = correlated.sparkSession
+    numbers = [F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c) for c in "qhcl"]
+    rows = correlated.select("trace_id", F.col(changelog.BATCH).alias("version"), *windows.contribution(options))
+    batch = changelog.once(rows.select("trace_id", "version", "slice_ms", "signature", *numbers, "d"), f"{folder}/scratch/window_rows")
+    log = changelog.read_log(spark, f"{folder}/trace_versions", _VERSIONS).where(F.col(changelog.BATCH) < batch_id)
+    touched = batch.select(F.col("trace_id").alias("_trace")).distinct()
+    before = log.drop(changelog.BATCH).join(touched, F.col("trace_id").eqNullSafe(F.col("_trace")), "left_semi")
+    known = changelog.once(_newest(before), f"{folder}/scratch/known_versions")
+    newer = _with_known(_newest(batch), known).where("_known IS NULL OR version > _known").drop("_known")
+    changelog.write_batch(newer, f"{folder}/trace_versions", batch_id)
+    new = changelog.read_log(spark, f"{folder}/trace_versions", _VERSIONS).where(F.col(changelog.BATCH) == batch_id).drop(changelog.BATCH)
+    fresh = new.select(F.col("trace_id").alias("_trace")).distinct()
+    old = known.join(fresh, F.col("trace_id").eqNullSafe(F.col("_trace")), "left_semi")
+    both = new.withColumn("sign", F.lit(1)).unionByName(old.withColumn("sign", F.lit(-1))).where("slice_ms IS NOT NULL")
+    moved = both.groupBy("trace_id", *_CONTRIBUTION).agg(F.sum("sign").alias("_n")).where("_n <> 0")
+    copies = F.explode(F.array_repeat(F.signum("_n").cast("int"), F.abs("_n").cast("int")))
+    return moved.select(*_CONTRIBUTION, copies.alias("sign"))
 
 
 def _dated(rows: DataFrame, at: str = "slice_ms") -> DataFrame:
@@ -145,7 +157,7 @@ def current_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def update(signed: DataFrame, folder: str, batch_id: int, options: DriftOptions = DRIFT) -> None:
-    """One micro-batch of changes into the three logs. The changes are computed once: their plan holds the state."""
+    """One micro-batch of changes into the three logs. The changes are computed once."""
     spark = signed.sparkSession
     write_changes(signed, folder, batch_id)
     batch = _log(spark, folder, "window_changes").where(F.col(changelog.BATCH) == batch_id)

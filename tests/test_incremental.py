@@ -72,3 +72,19 @@ def test_only_touched_dates_are_read(spark, make, fed):
     touched = log.where(F.col("slice_ms") == START).select("slice_ms", "signature", "ingestion_date")
     plan = incremental._of(log, touched)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LeftSemi") == 2 and "dynamicpruning" in plan.lower()
+
+
+def test_versions_are_kept_without_state_per_trace(spark, make, fed):
+    """The newest version of each trace is a table, not a Python state per trace; several batches can come at once."""
+    chain, feed = fed
+    feed(0, trace(1, START), trace(2, START), trace(6, START, session="x"), trace(6, START, session="y"))
+    for batch_id, row in ((1, trace(1, START + DAY)), (2, trace(1, START + 2 * DAY, "b"))):
+        changelog.write_batch(make(schemas.CORRELATED, [row]), chain.path("trace_correlated"), batch_id, schemas.TABLES["trace_correlated"][1])
+    feed(3, trace(6, START, session="x"), trace(2, 0))
+    changed = changelog.read_log(spark, chain.path("window_changes"), schemas.WINDOW_CHANGES).where(F.col(changelog.BATCH) == 1)
+    got = sorted((r["slice_ms"] - START, r["signature"], r["d"], r["sign"]) for r in changed.collect())
+    assert got == [(0, "a", 1, -1), (0, "a", 2, -1), (0, "a", 6, -1), (2 * DAY, "b", 1, 1)]
+    rows = [{**trace(2, START), "batch_id": 2}, {**trace(7, START, contention=float("nan")), "batch_id": 2}]
+    signed = incremental.changes(make(f"{schemas.CORRELATED}, batch_id BIGINT", rows), chain.folder, 2)
+    assert [(r["d"], r["c"], r["sign"]) for r in signed.collect()] == [(7, None, 1)]
+    assert "FlatMapGroupsInPandas" not in signed._jdf.queryExecution().executedPlan().toString()
