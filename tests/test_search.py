@@ -115,3 +115,36 @@ def test_no_task_sees_all_slices(spark):
     plan = ordered.running_total(df, ["id"], F.col("v"), F.floor(F.col("id") / 7), "n")._jdf.queryExecution().optimizedPlan().toString()
     unpartitioned = re.findall(r"windowspecdefinition\((\w+)#\d+L? ASC", plan)
     assert unpartitioned == ["_section"]
+
+
+@pytest.mark.parametrize("places", [0, 1, 6])
+def test_best_equals_a_full_sort(places):
+    """Only vectors within a query's bound are sorted; ties, repeated ids and values that are no numbers come out the same."""
+    rng = np.random.default_rng(places)
+    vectors = retrieval._unit(list(np.round(rng.normal(size=(2500, 4)), places)))
+    vectors[::400] = np.nan
+    ids = rng.permutation(2500) // (2 if places else 1)
+    best = retrieval._Best(np.arange(300), vectors[:300], 3)
+    widths = []
+    fold = best._fold
+    best._fold = lambda q, *rest: (widths.append(len(q)), fold(q, *rest))
+    best.add(ids[:2000], vectors[:2000])
+    best.add(ids[2000:], vectors[2000:])
+    distances = np.round(1.0 - vectors[:300] @ vectors.T, retrieval.DIGITS)
+    named = np.broadcast_to(ids, distances.shape)
+    order = np.lexsort((named, distances), axis=1)[:, :3]
+    got = best.frame()
+    assert (got["id"].to_numpy() == np.take_along_axis(named, order, 1).ravel()).all()
+    assert np.array_equal(got["distance"].to_numpy(), np.take_along_axis(distances, order, 1).ravel(), equal_nan=True)
+    if places == 6:
+        assert sum(widths) < distances.size / 20
+
+
+def test_a_query_is_sent_once_per_shelf_of_cells():
+    counts = {-1: 3, **{c: 10 for c in range(900)}}
+    shelves = retrieval._shelves(counts)
+    assert len(set(shelves.values())) <= 3 and set(shelves) == set(counts)
+
+
+def test_blocks_of_large_tables_grow():
+    assert [retrieval._blocks(n) for n in (0, 8_192, 50_000, 600_000, 6_000_000)] == [1, 1, 7, 12, 92]
