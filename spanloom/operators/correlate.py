@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -243,13 +245,23 @@ def correlate_live(
     network: DataFrame,
     ingested_ms: Column | None = None,
     options: CorrelationOptions = CORRELATION,
+    keep: Callable[[str, DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Correlate traces by time alone. Traces without a sample in reach take the latest samples instead."""
+    """Correlate traces by time alone. Traces without a sample in reach take the latest samples instead.
+
+    ``keep`` may write a named table and read it back. That cuts the plan, which is otherwise planned again as a whole, in the
+    driver's memory, after each of its shuffles.
+    """
     ingested_ms = now_ms() if ingested_ms is None else ingested_ms
-    traces = (
-        live_traces(steps)
-        .withColumn("lo", F.col("start_ts_ms") - options.live_margin_ms)
-        .withColumn("hi", F.col("end_ts_ms") + options.live_margin_ms)
+    kept = keep or (lambda _, rows: rows)
+    spans = live_traces(steps)
+    traces = kept(
+        "traces",
+        spans.select(
+            "*",
+            (F.col("start_ts_ms") - options.live_margin_ms).alias("lo"),
+            (F.col("end_ts_ms") + options.live_margin_ms).alias("hi"),
+        ),
     )
     gpu = gpu.withColumn("node_id", F.coalesce(F.nullif(F.col("node_id"), F.lit("")), F.lit(ROUTING.default_node)))
     # Numbers only, so that the wide aggregation stays a hash aggregation; the GPU's name is looked up at the end.
@@ -257,8 +269,9 @@ def correlate_live(
     trace = [c for c in traces.columns if c != "trace_id"]
     # Every trace meets every node, but a tile's nodes are dealt into groups, so that no task holds a tile of all of them.
     grouped = gpu.withColumn("_group", F.pmod(F.xxhash64("node_id"), F.lit(options.node_groups)))
-    groups = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(options.node_groups - 1).cast("bigint")))
-    reach = traces.select("trace_id", "lo", "hi", groups.alias("_group"))
+    # Only groups that have a node, at most ``node_groups`` numbers.
+    groups = grouped.agg(F.collect_set("_group").alias("g")).scalar()
+    reach = traces.select("trace_id", "lo", "hi", groups.alias("_groups")).select("trace_id", "lo", "hi", F.explode("_groups").alias("_group"))
     gpu_by_node = aggregate_over_intervals(
         reach, grouped, group_by=["trace_id"], keys=["_group"], sample_groups=["node_id"], lo="lo", hi="hi", ts="timestamp_ms",
         measures=gpu_measures, tile_ms=options.tile_ms, levels=LIVE_LEVELS,
@@ -268,7 +281,7 @@ def correlate_live(
     )
     latest = gpu.orderBy(F.desc("timestamp_ms"), "node_id", "gpu_id").limit(options.live_fallback_samples)
     fallback = latest.groupBy("node_id").agg(*fold_samples(gpu_measures)).agg(F.min(busiest_first).alias("b")).scalar()
-    busiest = gpu_by_node.groupBy("trace_id").agg(F.min(busiest_first).alias("b"))
+    busiest = kept("busiest", gpu_by_node.groupBy("trace_id").agg(F.min(busiest_first).alias("b")))
     placed = (
         traces.join(busiest, "trace_id", "left")
         .withColumn("b", F.coalesce("b", fallback))
@@ -280,11 +293,12 @@ def correlate_live(
         )
     )
     names = [m.name for m in NETWORK_MEASURES]
-    with_network = aggregate_over_intervals(
+    around = aggregate_over_intervals(
         placed, network, group_by=["trace_id"], keys=["node_id"], lo="lo", hi="hi", ts="timestamp_ms",
         measures=[count_of("net_n"), *NETWORK_MEASURES], tile_ms=options.tile_ms, levels=LIVE_LEVELS,
         carry=[*trace, "node_id", *[m.name for m in gpu_measures]],
     )
+    with_network = kept("network", around)
     last = top_rows(network, ["node_id"], [F.desc("timestamp_ms")], options.live_fallback_samples)
     net_last = last.groupBy("node_id").agg(*fold_samples(NETWORK_MEASURES)).select("node_id", F.struct(*names).alias("_last"))
     first_gpu = gpu.groupBy("node_id", (-F.col("timestamp_ms")).alias("first_age")).agg(F.min("gpu_id").alias("first_gpu"))

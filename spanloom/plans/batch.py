@@ -49,6 +49,10 @@ class Inputs:
             _written[key] = path
         return self.spark.read.parquet(_written[key])
 
+    def kept(self, prefix: str) -> Callable[[str, DataFrame], DataFrame]:
+        """Writes the intermediate tables of an operator."""
+        return lambda name, rows: self._table(f"{prefix}_{name}", lambda: rows)
+
     def folder(self, name: str, build: Callable[[str], None]) -> str:
         """A folder of several tables that a chain of jobs writes, built once."""
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
@@ -100,6 +104,11 @@ class Inputs:
     def network(self) -> DataFrame:
         return b.network_samples(self.table("events"))
 
+    @property
+    def landed_samples(self) -> tuple[DataFrame, DataFrame]:
+        """GPU and network samples, read from the dealt events: they land as many files, written by many tasks."""
+        return b.gpu_samples(self.dealt_events), b.network_samples(self.dealt_events)
+
     @property
     def routing(self) -> DataFrame:
         return self._table("request_routing", lambda: infra.route_calls(self.steps, self.gpu, F.lit(INGESTED_MS)))

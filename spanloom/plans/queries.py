@@ -435,7 +435,7 @@ def correlated_traces(spark, sf_dir):
 @query
 def live_correlation(spark, sf_dir):
     i = Inputs(spark, sf_dir)
-    return correlate.correlate_live(i.steps, i.gpu, i.network, F.lit(INGESTED_MS), SPARSE)
+    return correlate.correlate_live(i.steps, i.gpu, i.network, F.lit(INGESTED_MS), SPARSE, i.kept("live"))
 
 
 @query

@@ -111,3 +111,23 @@ def test_live_takes_busiest_node_and_falls_back(make, step):
     rows = {r["trace_id"]: r for r in c.correlate_live(steps, gpu, net).collect()}
     assert (rows["A"]["primary_node_id"], rows["A"]["gpu_contention_avg"], rows["A"]["inter_node_latency_avg"]) == ("n2", 0.9, 300.0)
     assert (rows["B"]["primary_node_id"], rows["B"]["gpu_contention_avg"], rows["B"]["packet_drop_total"]) == ("n1", 0.5, 2)
+
+
+def test_live_plan_can_be_cut(make, step, tmp_path, spark):
+    """Kept tables give the same rows, and a trace meets groups of nodes only where there is a node."""
+    steps = step(("A", "1", "REASON", 0), ("B", "1", "TOOL", 10_000), ("C", "1", "TOOL", 599))
+    gpu = make(schemas.GPU_SAMPLE, [sample(f"n{i % 3}", T + i * 7_000, 0.1 * (i % 7), 50.0, i % 2) for i in range(100)])
+    net = make(schemas.NETWORK_SAMPLE, [{"timestamp_ms": T + i, "node_id": f"n{i % 3}", "inter_node_latency_us": 100.0 + i, "packet_drop_count": 1}
+                                        for i in range(9)])
+    plain = c.correlate_live(steps, gpu, net, F.lit(T))
+    kept = {}
+
+    def keep(name, rows):
+        rows.write.parquet(f"{tmp_path}/{name}")
+        kept[name] = spark.read.parquet(f"{tmp_path}/{name}")
+        return kept[name]
+
+    cut = c.correlate_live(steps, gpu, net, F.lit(T), keep=keep)
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, plain.collect())) and set(kept) == {"traces", "busiest", "network"}
+    long = [len(df._jdf.queryExecution().optimizedPlan().toString()) for df in (cut, plain)]
+    assert long[0] < long[1] / 2
