@@ -827,8 +827,9 @@ def stream_backfill(spark, sf_dir):
     i = Inputs(spark, sf_dir)
     folder = scratch(spark)
     i.landed_messages.select("value").write.text(f"{folder}/messages")
-    i.gpu.write.json(f"{folder}/gpu")
-    i.network.write.json(f"{folder}/network")
+    gpu, network = i.landed_samples
+    gpu.write.json(f"{folder}/gpu")
+    network.write.json(f"{folder}/network")
     chain = jobs.Pipeline(folder=f"{folder}/tables", trigger=None, correlation=SPARSE)
     jobs.run_to_end(spark, chain, f"{folder}/messages", f"{folder}/gpu", f"{folder}/network")
     return jobs.current_windows(spark, chain)
@@ -844,8 +845,9 @@ def _in_batches(spark, sf_dir: str, samples_last: bool) -> jobs.Pipeline:
 
     def build(folder: str) -> None:
         def samples() -> None:
-            i.gpu.write.mode("overwrite").json(f"{folder}/gpu")
-            i.network.write.mode("overwrite").json(f"{folder}/network")
+            gpu, network = i.landed_samples
+            gpu.write.mode("overwrite").json(f"{folder}/gpu")
+            network.write.mode("overwrite").json(f"{folder}/network")
 
         def run() -> None:
             jobs.run_to_end(spark, chain(folder), f"{folder}/messages", f"{folder}/gpu", f"{folder}/network")

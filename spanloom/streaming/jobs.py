@@ -191,7 +191,9 @@ def start_metrics(
     """Metric JSON lines -> metric table by key; bad lines -> ``<table>_rejects``. Each file is read once."""
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        checked = tables.checked_metrics(batch, fmt)
+        # Parsed once; the text of good lines is not needed any more.
+        parsed = tables.checked_metrics(batch, fmt).withColumn("value", F.when(F.col("reject_reason").isNotNull(), F.col("value")))
+        checked = changelog.once(parsed, chain.scratch(f"checked_{table}"))
         _write(tables.accepted(checked, fmt), chain, table, batch_id)
         changelog.write_batch(tables.rejected(checked), chain.path(f"{table}_rejects"), batch_id)
 
